@@ -57,7 +57,7 @@ def join_deadlines(
         .withColumn("_back", -F.col("us"))
     )
     next_join = Ordered(log, ["key"], ["_back", "is_start"], policy).previous(
-        "join_us", F.when(F.col("is_start") == 0, F.col("us"))
+        join_us=F.when(F.col("is_start") == 0, F.col("us"))
     )
     deadline = F.col("us") + int(timeout * MICROS)
     joined = F.coalesce(F.col("join_us") <= deadline, F.lit(False))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import deterministic_uuid
 from ..model import DEPLOY_FAILED, DEPLOYING, LAUNCHING, SLOT_MODULUS
-from ..plans import DEFAULT_SKEW, Ordered, SkewPolicy, explode_ordinals, find_hot_keys, skew_join
+from ..plans import DEFAULT_SKEW, Ordered, SkewPolicy, explode_ordinals, find_hot_keys, largest_count, skew_join
 from .columns import apply_overrides
 from .registry import get_containers
 
@@ -34,7 +34,8 @@ def expand_deploys(requests: DataFrame, defs: DataFrame, policy: SkewPolicy = DE
     asked = requests.withColumnsRenamed({"jvm_args": "request_jvm_args", "properties": "request_properties"})
     found = get_containers(asked, defs, policy)
     accepted = apply_overrides(found.where(F.col("outcome") == "FOUND"))
-    expanded = explode_ordinals(accepted, "quantity", "ordinal", ["request_id", "seq"])
+    largest = largest_count(requests, "quantity")
+    expanded = explode_ordinals(accepted, "quantity", "ordinal", largest, ["request_id", "seq"])
     instance_id = F.concat_ws(
         "-", "name", deterministic_uuid(F.concat_ws(":", F.lit("new"), "request_id", F.col("ordinal").cast("string")))
     )

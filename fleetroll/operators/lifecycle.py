@@ -58,12 +58,12 @@ def _run_heads(rows: DataFrame, policy: SkewPolicy, hot: HotKeys | None = None)
     launching = F.col("kind") == LAUNCHING
     return (
         Ordered(rows, _KEY, _ORDER, policy, hot)
-        .previous("_was_launching", F.when(is_base, launching))
+        .previous(_was_launching=F.when(is_base, launching))
         .with_column(
             "_head",
             F.when(is_base & ~(launching & F.coalesce("_was_launching", F.lit(False))), F.struct("us", launching.alias("launching"))),
         )
-        .previous("_head_before", F.col("_head"))
+        .previous(_head_before=F.col("_head"))
     )
 
 
@@ -185,9 +185,12 @@ def fleet_transitions(
     at = F.struct("us", "event_id", "kind")
     seen = (
         Ordered(rows, _KEY, _ORDER, policy, hot)
-        .previous("base", F.when(kind.isin(*BASE_KINDS), at), inclusive=True)
-        .previous("removed", F.when(kind == REMOVED, at), inclusive=True)
-        .previous("reach", F.when(kind.isin(UNREACHABLE, REACHABLE), at), inclusive=True)
+        .previous(
+            inclusive=True,
+            base=F.when(kind.isin(*BASE_KINDS), at),
+            removed=F.when(kind == REMOVED, at),
+            reach=F.when(kind.isin(UNREACHABLE, REACHABLE), at),
+        )
         .where(F.col("base").isNotNull())
     )
     state = (
@@ -277,7 +280,7 @@ def outage_terminations(
 def registration_attempts(log: DataFrame, policy: SkewPolicy = DEFAULT_SKEW) -> DataFrame:
     """Per key of (key, ts, event_id, ok): attempts up to the first success and its time, null while open."""
     rows = log.select("key", micros("ts").alias("us"), "event_id", "ok")
-    tried = Ordered(rows, ["key"], _ORDER, policy).previous("_done", F.when(F.col("ok"), F.lit(True)))
+    tried = Ordered(rows, ["key"], _ORDER, policy).previous(_done=F.when(F.col("ok"), F.lit(True)))
     per_key = (
         tried.where(F.col("_done").isNull())
         .df.groupBy("key")
@@ -300,14 +303,16 @@ def match_members(events: DataFrame, reg: DataFrame, policy: SkewPolicy = DEFAUL
     )
 
 
-def unreachable_episodes(events: DataFrame, policy: SkewPolicy = DEFAULT_SKEW) -> DataFrame:
+def unreachable_episodes(
+    events: DataFrame, policy: SkewPolicy = DEFAULT_SKEW, hot: HotKeys | None = None
+) -> DataFrame:
     """Episodes (instance_id, start_us, end_us) from member events; an open episode has no end."""
     rows = events.where(F.col("kind").isin(*MEMBER_KINDS)).select(
         "instance_id", micros("ts").alias("us"), "event_id", (F.col("kind") == UNREACHABLE).alias("away")
     )
     changes = (
-        Ordered(rows, _KEY, _ORDER, policy)
-        .previous("_was_away", F.col("away"))
+        Ordered(rows, _KEY, _ORDER, policy, hot)
+        .previous(_was_away=F.col("away"))
         .where(F.col("away") != F.coalesce("_was_away", F.lit(False)))
         .next_row("end_us", F.col("us"))
         .where(F.col("away"))
@@ -325,7 +330,8 @@ def auto_down(
     """
     poll_us = int(poll * MICROS)
     gone = deregistered.select("instance_id", micros("deregistered_at").alias("gone_us"), F.lit(True).alias("_listed"))
-    joined = skew_join(unreachable_episodes(events, policy), gone, _KEY, "left", policy)
+    hot = find_hot_keys(events, _KEY, policy)  # only these can have many episodes
+    joined = skew_join(unreachable_episodes(events, policy, hot), gone, _KEY, "left", policy, hot)
     waited = F.greatest(F.lit(0), F.col("gone_us") - F.col("start_us"))
     first_poll = F.col("start_us") + waited + F.pmod(-waited, F.lit(poll_us))  # waited, rounded up to whole polls
     at = F.when(F.col("_listed").isNull(), F.col("start_us")).when(F.col("gone_us").isNotNull(), first_poll)

@@ -308,8 +308,8 @@ def reconcile_snapshot(local: DataFrame, storage: DataFrame) -> DataFrame:
     change = (
         F.when(F.col("l") & F.col("s"), "KEPT").when(F.col("s"), "ADDED").otherwise("DROPPED").alias("change")
     )
-    any_local = local.select(F.count(F.lit(1)) > 0).scalar()
-    any_stored = storage.select(F.count(F.lit(1)) > 0).scalar()
+    any_local = local.limit(1).select(F.count(F.lit(1)) > 0).scalar()
+    any_stored = storage.limit(1).select(F.count(F.lit(1)) > 0).scalar()
     differs = per_id.select(F.coalesce(F.bool_or(F.col("l") != F.col("s")), F.lit(False))).scalar()
     return per_id.where(any_local).select("instance_id", change, (differs & any_stored).alias("needs_refresh"))
 

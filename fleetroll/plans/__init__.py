@@ -1,4 +1,4 @@
-from .expand import explode_ordinals
+from .expand import explode_ordinals, largest_count
 from .ordered import Ordered
 from .skew import DEFAULT_SKEW, HotKeys, SkewPolicy, find_hot_keys, skew_join, skew_join_both
 
@@ -8,6 +8,7 @@ __all__ = [
     "Ordered",
     "SkewPolicy",
     "explode_ordinals",
+    "largest_count",
     "find_hot_keys",
     "skew_join",
     "skew_join_both",

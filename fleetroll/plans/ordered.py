@@ -57,33 +57,38 @@ class Ordered:
     def _order_struct(self) -> Column:
         return F.struct(*self.order)
 
-    def _carried(self, edge: Column, carry) -> DataFrame:
-        """One value per slice, made from the other slices of the key and joined back to the rows."""
+    def _carried(self, edges: dict[str, Column], carry) -> DataFrame:
+        """Values per slice, made from the other slices of the key and joined back to the rows under the same names."""
         slices = Window.partitionBy(*(self.keys or [F.lit(0)])).orderBy(_SLICE)
-        edges = self._df.where(F.col(_SLICE).isNotNull()).groupBy(*self.keys, _SLICE).agg(edge.alias("_edge"))
-        carried = edges.select(*self.keys, _SLICE, carry(F.col("_edge"), slices).alias("_carry"))
+        per_slice = (
+            self._df.where(F.col(_SLICE).isNotNull())
+            .groupBy(*self.keys, _SLICE)
+            .agg(*[edge.alias(name) for name, edge in edges.items()])
+        )
+        carried = per_slice.select(*self.keys, _SLICE, *[carry(F.col(n), slices).alias(n) for n in edges])
         return self._df.join(F.broadcast(carried), [*self.keys, _SLICE], "left")
 
-    def previous(self, name: str, value: Column, inclusive: bool = False) -> Ordered:
-        """Last non-null ``value`` before the row (or up to it when ``inclusive``)."""
-        local = F.last(value, ignorenulls=True).over(
-            self._window().rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-        )
+    def previous(self, inclusive: bool = False, **values: Column) -> Ordered:
+        """Per named value the last non-null one before the row (or up to it when ``inclusive``)."""
+        frame = self._window().rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        local = {n: F.last(v, ignorenulls=True).over(frame) for n, v in values.items()}
         if not self.sliced:
-            return self._with(self._df.withColumn(name, local))
-        edge = F.max(F.when(value.isNotNull(), F.struct(self._order_struct().alias("o"), value.alias("v"))))["v"]
+            return self._with(self._df.withColumns(local))
+        edges = {
+            f"_carry_{n}": F.max(F.when(v.isNotNull(), F.struct(self._order_struct().alias("o"), v.alias("v"))))["v"]
+            for n, v in values.items()
+        }
         df = self._carried(
-            edge,
-            lambda e, w: F.last(e, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+            edges, lambda e, w: F.last(e, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
         )
-        return self._with(df.withColumn(name, F.coalesce(local, "_carry")).drop("_carry"))
+        return self._with(df.withColumns({n: F.coalesce(v, f"_carry_{n}") for n, v in local.items()}).drop(*edges))
 
     def next_row(self, name: str, value: Column) -> Ordered:
         """``value`` of the row right after this one; null on the last row."""
         local = F.lead(value).over(self._window())
         if not self.sliced:
             return self._with(self._df.withColumn(name, local))
-        df = self._carried(F.min_by(value, self._order_struct()), lambda e, w: F.lead(e).over(w))
+        df = self._carried({"_carry": F.min_by(value, self._order_struct())}, lambda e, w: F.lead(e).over(w))
         is_last = F.lead(F.lit(1)).over(self._window()).isNull()
         return self._with(df.withColumn(name, F.when(is_last, F.col("_carry")).otherwise(local)).drop("_carry"))
 
@@ -93,7 +98,7 @@ class Ordered:
         if not self.sliced:
             return self._with(self._df.withColumn(name, local))
         df = self._carried(
-            F.sum(value), lambda e, w: F.sum(e).over(w.rowsBetween(Window.unboundedPreceding, -1))
+            {"_carry": F.sum(value)}, lambda e, w: F.sum(e).over(w.rowsBetween(Window.unboundedPreceding, -1))
         )
         return self._with(df.withColumn(name, local + F.coalesce("_carry", F.lit(0))).drop("_carry"))
 

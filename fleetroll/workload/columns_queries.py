@@ -176,18 +176,17 @@ def prj_5(spark, sf):
 
 @query(
     "prj_5_namespaces",
-    """SELECT n_nationkey::BIGINT AS n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN lower(r_name) || CASE WHEN n_nationkey % 2 = 0 THEN '/' ELSE '' END
-        ELSE lower(r_name) || '/' || lower(n_name) END AS namespace
-    FROM nation JOIN region ON n_regionkey = r_regionkey""",
+    """SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'ns' || (c_custkey % 7) || CASE WHEN c_custkey % 2 = 0 THEN '/' ELSE '' END
+        ELSE 'ns' || (c_custkey % 7) || '/' || lower(c_mktsegment) END AS namespace FROM customer""",
 )
 def prj_5_namespaces(spark, sf):
-    n = F.col("n_nationkey")
-    rows = fx.table(spark, sf, "nation").join(fx.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    slash = F.when(n % 2 == 0, "/").otherwise("")
-    rows = rows.select(
-        n, F.concat(F.lower("r_name"), slash).alias("parent"), F.when(n % 3 == 0, "").otherwise(F.lower("n_name")).alias("child")
+    k = F.col("c_custkey")
+    rows = fx.table(spark, sf, "customer").select(
+        k,
+        F.concat(F.lit("ns"), (k % 7).cast("string"), F.when(k % 2 == 0, "/").otherwise("")).alias("parent"),
+        F.when(k % 3 == 0, "").otherwise(F.lower("c_mktsegment")).alias("child"),
     )
-    return ops.child_namespaces(rows, "parent", "child").select("n_nationkey", "namespace")
+    return ops.child_namespaces(rows, "parent", "child").select("c_custkey", "namespace")
 
 
 @query(

@@ -226,8 +226,13 @@ WIN_1_SQL = with_views(
 )
 
 
+def _last_ts(spark, sf):
+    """Time of the last event, read from the raw table rather than from the derived events."""
+    return fx.events(spark, sf).select(F.max("ts")).scalar()
+
+
 def _fleet_state(spark, sf, policy=DEFAULT_SKEW):
-    return ops.fleet_state(fx.lifecycle_events(spark, sf, policy), SIX_HOURS, policy=policy)
+    return ops.fleet_state(fx.lifecycle_events(spark, sf, policy), SIX_HOURS, _last_ts(spark, sf), policy=policy)
 
 
 @query("win_1", WIN_1_SQL)
@@ -260,17 +265,17 @@ def transitions_sql(as_of: str) -> str:
 
 @query("win_1_transitions", transitions_sql(LAST))
 def win_1_transitions(spark, sf):
-    return ops.fleet_transitions(fx.lifecycle_events(spark, sf), SIX_HOURS)
+    return ops.fleet_transitions(fx.lifecycle_events(spark, sf), SIX_HOURS, _last_ts(spark, sf))
 
 
 @query("win_1_transitions_split", transitions_sql(LAST))
 def win_1_transitions_split(spark, sf):
-    return ops.fleet_transitions(fx.lifecycle_events(spark, sf), SIX_HOURS, policy=TINY)
+    return ops.fleet_transitions(fx.lifecycle_events(spark, sf), SIX_HOURS, _last_ts(spark, sf), policy=TINY)
 
 
 @query("win_2", with_views("f3", f"WITH {DEATHS.format(as_of=LAST)} SELECT instance_id, dead_us AS dead_at FROM deaths"))
 def win_2(spark, sf):
-    return ops.launch_timeouts(fx.lifecycle_events(spark, sf), SIX_HOURS)
+    return ops.launch_timeouts(fx.lifecycle_events(spark, sf), SIX_HOURS, _last_ts(spark, sf))
 
 
 WIN_2_REJECTED = with_views(
@@ -282,12 +287,12 @@ WIN_2_REJECTED = with_views(
 
 @query("win_2_rejected", WIN_2_REJECTED)
 def win_2_rejected(spark, sf):
-    return ops.rejected_updates(fx.lifecycle_events(spark, sf), SIX_HOURS)
+    return ops.rejected_updates(fx.lifecycle_events(spark, sf), SIX_HOURS, _last_ts(spark, sf))
 
 
 @query("win_2_rejected_split", WIN_2_REJECTED)
 def win_2_rejected_split(spark, sf):
-    return ops.rejected_updates(fx.lifecycle_events(spark, sf), SIX_HOURS, policy=TINY)
+    return ops.rejected_updates(fx.lifecycle_events(spark, sf), SIX_HOURS, _last_ts(spark, sf), policy=TINY)
 
 
 BEAT_US = 16 * 3_600_000_000
