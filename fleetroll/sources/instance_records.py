@@ -51,13 +51,13 @@ def read_instance_records(df: DataFrame, json_col: str) -> tuple[DataFrame, Data
     return good, bad
 
 
-def instance_documents(reg: DataFrame) -> DataFrame:
-    """(container_name, instance_id, document) of the registry rows with info: one compact JSON text each."""
+def instance_document() -> Column:
+    """Compact JSON text of a registry row with info."""
     address = F.when(
         F.col("info.address").isNotNull(),
         F.struct(F.col("info.address.address").alias("address"), F.col("info.address.long_uid").alias("longUid")),
     )
-    document = F.to_json(
+    return F.to_json(
         F.struct(
             F.col("instance_id").alias("instanceId"),
             F.col("info.status").alias("status"),
@@ -68,7 +68,6 @@ def instance_documents(reg: DataFrame) -> DataFrame:
             F.col("info.extra").alias("extra"),
         )
     )
-    return reg.where(F.col("info").isNotNull()).select("container_name", "instance_id", document.alias("document"))
 
 
 def write_instance_records(reg: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -77,8 +76,10 @@ def write_instance_records(reg: DataFrame, path: str, mode: str = "errorifexists
     Rows are range-partitioned by container and id first: tasks get equal shares even when one container holds most
     instances, and each writes to few folders.
     """
-    documents = instance_documents(reg).repartitionByRange("container_name", "instance_id")
-    documents.select("container_name", F.col("document").alias("value")).write.partitionBy("container_name").mode(mode).text(path)
+    known = reg.where(F.col("info").isNotNull())
+    documents = known.select("container_name", "instance_id", instance_document().alias("value"))
+    spread = documents.repartitionByRange("container_name", "instance_id")
+    spread.drop("instance_id").write.partitionBy("container_name").mode(mode).text(path)
 
 
 def split_failures(df: DataFrame, failed: str = "FAILED") -> tuple[DataFrame, DataFrame]:

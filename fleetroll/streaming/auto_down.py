@@ -62,7 +62,7 @@ def stream_auto_down(events: DataFrame, deregistered: DataFrame, poll: float = A
         "instance_id", F.col("deregistered_at").alias("ts"), F.lit(-1).cast("bigint").alias("event_id"), F.lit(DEREGISTERED).alias("kind")
     )
     rows = member.unionByName(gone).withColumn("us", micros("ts"))
-    downs = rows.groupBy("instance_id").transformWithStateInPandas(
+    downs = rows.groupBy("instance_id").transformWithState(
         AutoDown(int(poll * MICROS)), "instance_id string, since_us bigint, down_us bigint", "Append", "EventTime"
     )
     return downs.select(

@@ -68,7 +68,7 @@ def stream_fleet_state(updates: DataFrame, launch_timeout: float = LAUNCH_TIMEOU
     """
     kinds = F.col("kind").isin(*BASE_KINDS, UNREACHABLE, REACHABLE, REMOVED)
     rows = updates.where(kinds).select("instance_id", "ts", micros("ts").alias("us"), "event_id", "kind")
-    states = rows.groupBy("instance_id").transformWithStateInPandas(
+    states = rows.groupBy("instance_id").transformWithState(
         FleetState(int(launch_timeout * MICROS)),
         "instance_id string, us bigint, event_id bigint, state string",
         "Append",

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from itertools import islice
 
-import pandas as pd
 from pyspark import cloudpickle
+from pyspark.sql import Row
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
+CHUNK = 10_000
+
+
 class OrderedFold(StatefulProcessor):
     """Holds events back until the watermark has passed them, then folds them by (us, event_id).
 
@@ -20,7 +24,7 @@ class OrderedFold(StatefulProcessor):
     """
 
     event_columns = ["us", "event_id", "kind"]
-    event_schema = "us bigint, event_id bigint, kind string"
+    event_schema = "events array<struct<us:bigint,event_id:bigint,kind:string>>"  # a chunk of one micro-batch
     state_schema = ""
     start: tuple = ()
     output_columns: list[str] = []
@@ -39,23 +43,23 @@ class OrderedFold(StatefulProcessor):
         self.state = handle.getValueState("state", self.state_schema)
         self.pending = handle.getListState("pending", self.event_schema)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         earliest = None
-        for frame in rows:
-            events = list(frame[self.event_columns].itertuples(index=False, name=None))
-            self.pending.appendList([tuple(None if pd.isna(v) else v for v in e) for e in events])
-            first = min(e[0] for e in events)
+        events = (tuple(row[c] for c in self.event_columns) for row in rows)
+        while chunk := list(islice(events, CHUNK)):
+            self.pending.appendValue((chunk,))
+            first = min(e[0] for e in chunk)
             earliest = first if earliest is None else min(earliest, first)
         if earliest is not None:
             self._wake_after(earliest)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        events = sorted(self.pending.get())
+        events = sorted(tuple(e) for (chunk,) in self.pending.get() for e in chunk)
         due = [e for e in events if e[0] < passed]
         later = events[len(due) :]
-        state = self.state.get() if self.state.exists() else self.start
+        state = self.state.get() or self.start
         out: list[tuple] = []
         for event in due:
             state = self._expire_before(state, event[0], out)
@@ -65,14 +69,15 @@ class OrderedFold(StatefulProcessor):
         self.state.update(state)
         if due:
             if later:
-                self.pending.put(later)
+                self.pending.put([(later,)])
             else:
                 self.pending.clear()
         wakes = [t for t in (later[0][0] if later else None, self.deadline(state)) if t is not None]
         if wakes:
             self._wake_after(min(wakes))
-        if out:
-            yield pd.DataFrame([(*key, *row) for row in out], columns=self.output_columns)
+        named = Row(*self.output_columns)
+        for row in out:
+            yield named(*key, *row)
 
     def _expire_before(self, state: tuple, us: int, out: list[tuple]) -> tuple:
         deadline = self.deadline(state)

@@ -39,16 +39,14 @@ def src_1(spark, sf):
 
 
 def _documents(spark, sf):
-    reg = fx.full_registry(spark, sf)
-    documents = sources.instance_documents(reg).join(reg.select("instance_id", "c_custkey"), "instance_id")
-    k, doc = F.col("c_custkey"), F.col("document")
+    k, doc = F.col("c_custkey"), sources.instance_document()
     damaged = (
         F.when(k % 23 == 0, F.substring(doc, 1, 20))
         .when(k % 29 == 0, F.replace(doc, F.lit('"status":"'), F.lit('"status":"X')))
         .when(k % 31 == 0, F.replace(doc, F.lit(',"extra":{}'), F.lit("")))
         .otherwise(doc)
     )
-    return documents.select("c_custkey", damaged.alias("document"))
+    return fx.full_registry(spark, sf).select("c_custkey", damaged.alias("document"))
 
 
 def _plain_registry(reg):
