@@ -128,19 +128,6 @@ def fleet_state(
     )
 
 
-def _deaths(
-    rows: DataFrame, events: DataFrame, launch_timeout: float, as_of, policy: SkewPolicy, hot: HotKeys | None = None
-) -> DataFrame:
-    timeout_us = int(launch_timeout * MICROS)
-    base = _run_heads(rows.where(F.col("kind").isin(*BASE_KINDS)), policy, hot).df
-    return (
-        base.groupBy("instance_id")
-        .agg(*_launch_aggregates(timeout_us))
-        .select("instance_id", _dead_at(timeout_us, as_of_micros(events, as_of)).alias("dead_us"))
-        .where(F.col("dead_us").isNotNull())
-    )
-
-
 def launch_timeouts(
     events: DataFrame,
     launch_timeout: float = LAUNCH_TIMEOUT,
@@ -148,21 +135,39 @@ def launch_timeouts(
     policy: SkewPolicy = DEFAULT_SKEW,
 ) -> DataFrame:
     """Instances declared dead (instance_id, dead_at)."""
-    dead = _deaths(_timed(events), events, launch_timeout, as_of, policy)
-    return dead.select("instance_id", to_timestamp(F.col("dead_us")).alias("dead_at"))
+    timeout_us = int(launch_timeout * MICROS)
+    base = _timed(events).where(F.col("kind").isin(*BASE_KINDS))
+    dead = (
+        _run_heads(base, policy)
+        .df.groupBy("instance_id")
+        .agg(*_launch_aggregates(timeout_us))
+        .select("instance_id", _dead_at(timeout_us, as_of_micros(events, as_of)).alias("dead_us"))
+    )
+    return dead.where(F.col("dead_us").isNotNull()).select("instance_id", to_timestamp(F.col("dead_us")).alias("dead_at"))
+
+
+def _with_deaths(events: DataFrame, launch_timeout: float, policy: SkewPolicy) -> Ordered:
+    """Adds to every event the launch deadline it shows to be missed (``_missed``) and the first one so far (``dead_us``).
+
+    An event after a missed deadline either ends the launching run or still belongs to it, so looking back is enough and
+    no event is joined with its instance's death.
+    """
+    timeout_us = int(launch_timeout * MICROS)
+    deadline = F.col("_open_head.us") + timeout_us
+    still_launching = F.when(F.col("_open_head.launching") & (F.col("us") > deadline), deadline)
+    return (
+        _run_heads(_timed(events), policy)
+        .previous(inclusive=True, _open_head=F.col("_head"))
+        .with_column("_missed", F.coalesce(_dead_by_next_head(timeout_us), still_launching))
+        .running_min("dead_us", F.col("_missed"))
+    )
 
 
 def rejected_updates(
-    events: DataFrame,
-    launch_timeout: float = LAUNCH_TIMEOUT,
-    as_of: datetime | Column | None = None,
-    policy: SkewPolicy = DEFAULT_SKEW,
+    events: DataFrame, launch_timeout: float = LAUNCH_TIMEOUT, policy: SkewPolicy = DEFAULT_SKEW
 ) -> DataFrame:
     """Events of dead instances after their death (instance_id, event_id, ts, kind, dead_at)."""
-    rows = _timed(events)
-    hot = find_hot_keys(rows, _KEY, policy)
-    dead = _deaths(rows, events, launch_timeout, as_of, policy, hot)
-    late = skew_join(rows, dead, _KEY, "inner", policy, hot).where(F.col("us") > F.col("dead_us"))
+    late = _with_deaths(events, launch_timeout, policy).df.where(F.col("dead_us").isNotNull())
     return late.select(
         "instance_id", "event_id", to_timestamp(F.col("us")).alias("ts"), "kind", to_timestamp(F.col("dead_us")).alias("dead_at")
     )
@@ -176,38 +181,40 @@ def fleet_transitions(
 ) -> DataFrame:
     """The state after every event (instance_id, ts, event_id, state), REJECTED ones and one DEAD row per death included.
 
-    Member events before the first report of an instance have no effect and no row.
+    Member events before the first report of an instance have no effect and no row. All windows share one shuffle.
     """
-    rows = _timed(events)
-    hot = find_hot_keys(rows, _KEY, policy)
-    dead = _deaths(rows, events, launch_timeout, as_of, policy, hot)
     kind = F.col("kind")
     at = F.struct("us", "event_id", "kind")
     seen = (
-        Ordered(rows, _KEY, _ORDER, policy, hot)
+        _with_deaths(events, launch_timeout, policy)
         .previous(
             inclusive=True,
             base=F.when(kind.isin(*BASE_KINDS), at),
             removed=F.when(kind == REMOVED, at),
             reach=F.when(kind.isin(UNREACHABLE, REACHABLE), at),
         )
-        .where(F.col("base").isNotNull())
+        .previous(_missed_before=F.col("_missed"))
+        .next_row("_next", F.lit(True))
     )
     state = (
-        F.when(F.col("us") > F.col("dead_us"), REJECTED)
+        F.when(F.col("dead_us").isNotNull(), REJECTED)
         .when(F.col("base.kind") == DEPLOY_FAILED, ABSENT)
         .when(F.col("base.kind") != UP, F.col("base.kind"))
         .when(F.col("removed") > F.col("base"), ABSENT)
         .when((F.col("reach") > F.col("base")) & (F.col("reach.kind") == UNREACHABLE), UNREACHABLE)
         .otherwise(UP)
     )
-    steps = skew_join(seen.df, dead, _KEY, "left", policy, hot).select(
-        "instance_id", to_timestamp(F.col("us")).alias("ts"), "event_id", state.alias("state")
-    )
-    ends = dead.select(
-        "instance_id", to_timestamp(F.col("dead_us")).alias("ts"), F.lit(None).cast("bigint").alias("event_id"), F.lit(DEAD).alias("state")
+    # A death shows at the first event after it, or after the last event of an instance that is still launching.
+    deadline = F.col("_open_head.us") + int(launch_timeout * MICROS)
+    overdue = F.col("_next").isNull() & F.col("_open_head.launching") & (as_of_micros(events, as_of) > deadline)
+    death = (
+        F.when(F.col("dead_us").isNotNull(), F.when(F.col("_missed_before").isNull(), F.col("dead_us")))
+        .when(overdue, deadline)
     )
-    return steps.unionByName(ends)
+    step = F.struct(F.col("us"), F.col("event_id"), state.alias("state"))
+    end = F.struct(death.alias("us"), F.lit(None).cast("bigint").alias("event_id"), F.lit(DEAD).alias("state"))
+    rows = seen.where(F.col("base").isNotNull()).df.select("instance_id", F.inline(F.array(step, end)))
+    return rows.where(F.col("us").isNotNull()).select("instance_id", to_timestamp(F.col("us")).alias("ts"), "event_id", "state")
 
 
 def heartbeat_liveness(

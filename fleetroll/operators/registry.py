@@ -54,9 +54,9 @@ def instances_by_requests(
 ) -> DataFrame:
     """One answer set per filter request (request_id, container, roles, statuses): rows (request_id, instance_id).
 
-    Bad status texts are dropped; a request left without any filter lists everything, unknown info included. Requests
-    that ask the same are answered once. Every filter becomes equality on up to three fields, so this is an equi-join on
-    probe keys and never a nested loop; only the filter shapes in use (at most eight) make the registry side wider.
+    Bad status texts are dropped; a request left without any filter lists everything, unknown info included (an empty
+    container name is a filter that all known instances pass). Requests that ask the same are answered once. Every filter becomes equality on up to three fields, so this is an equi-join on
+    probe keys and never a nested loop; only the filter shapes in use (at most nine) make the registry side wider.
     """
     if role_match not in ("any", "all"):
         raise ValueError(f"unknown role_match {role_match!r}")
@@ -68,24 +68,42 @@ def instances_by_requests(
         F.array_sort(
             F.array_distinct(F.filter(F.transform(F.coalesce("statuses", none), lambda s: status_of(s)), lambda s: s.isNotNull()))
         ).alias("statuses"),
-    )
+        F.col("container").isNull().alias("everything"),
+    ).withColumn("everything", F.col("everything") & (F.size("roles") == 0) & (F.size("statuses") == 0))
     by_container, by_role, by_status = F.col("container") != "", F.size("roles") > 0, F.size("statuses") > 0
-    filters = wanted.groupBy("container", "roles", "statuses").agg(F.count(F.lit(1)).alias("asked"))
-    shapes = filters.select(by_container.alias("c"), by_role.alias("r"), by_status.alias("s")).distinct().collect()
+    question = ["container", "roles", "statuses", "everything"]
+    filters = wanted.select(*question).distinct()
+    shapes = (
+        filters.select(by_container.alias("c"), by_role.alias("r"), by_status.alias("s"), F.col("everything").alias("e"))
+        .distinct()
+        .collect()
+    )
+
+    # A probe key spells out the filtered fields, has a star for the others, and a plus to list everything.
+    star = F.array(F.lit("*"))
+
+    def one(value: Column) -> Column:
+        return F.concat(F.lit("="), value)
+
+    def each(values: Column) -> Column:
+        return F.transform(values, one)
 
-    any_of = F.array(F.lit(None).cast("string"))
+    def probe() -> Column:
+        return F.concat_ws("\u0001", "p_container", "p_role", "p_status").alias("probe")
+
+    # With "all" one role finds the candidates and the rest is checked on them.
+    searched = F.col("roles") if role_match == "any" else F.slice("roles", 1, 1)
     probes = (
-        filters.withColumn("p_container", F.when(by_container, F.col("container")))
-        # With "all" one role finds the candidates and the rest is checked on them.
-        .withColumn("p_role", F.explode(F.when(by_role, F.col("roles") if role_match == "any" else F.slice("roles", 1, 1)).otherwise(any_of)))
-        .withColumn("p_status", F.explode(F.when(by_status, F.col("statuses")).otherwise(any_of)))
-        .withColumn("shape", F.struct(by_container.alias("c"), by_role.alias("r"), by_status.alias("s")))
-    )
-    shape_list = F.array(
-        *[F.struct(F.lit(x["c"]).alias("c"), F.lit(x["r"]).alias("r"), F.lit(x["s"]).alias("s")) for x in shapes]
+        filters.withColumn(
+            "p_container", F.when(F.col("everything"), "+").when(by_container, one(F.col("container"))).otherwise("*")
+        )
+        .withColumn("p_role", F.explode(F.when(by_role, each(searched)).otherwise(star)))
+        .withColumn("p_status", F.explode(F.when(by_status, each(F.col("statuses"))).otherwise(star)))
+        .select(*question, probe())
     )
     if not shapes:
         return requests.select("request_id", F.lit(None).cast("string").alias("instance_id")).limit(0)
+    shape_list = F.array(*[F.struct(*[F.lit(x[f]).alias(f) for f in "crse"]) for x in shapes])
     entries = (
         reg.select(
             "instance_id",
@@ -95,25 +113,24 @@ def instances_by_requests(
             F.col("info").isNotNull().alias("known"),
         )
         .withColumn("shape", F.explode(shape_list))
-        .where(F.col("known") | ~(F.col("shape.c") | F.col("shape.r") | F.col("shape.s")))
-        .withColumn("p_container", F.when(F.col("shape.c"), F.col("container")))
-        .withColumn("p_role", F.explode(F.when(F.col("shape.r"), F.array_distinct("has_roles")).otherwise(any_of)))
-        .withColumn("p_status", F.when(F.col("shape.s"), F.col("status")))
-        .drop("container", "status")
+        .where(F.col("known") | F.col("shape.e"))
+        .withColumn(
+            "p_container", F.when(F.col("shape.e"), "+").when(F.col("shape.c"), one(F.col("container"))).otherwise("*")
+        )
+        .withColumn("p_role", F.explode(F.when(F.col("shape.r"), each(F.array_distinct("has_roles"))).otherwise(star)))
+        .withColumn("p_status", F.when(F.col("shape.s"), one(F.col("status"))).otherwise("*"))
+        .where(F.col("p_container").isNotNull() & F.col("p_role").isNotNull() & F.col("p_status").isNotNull())
+        .select("instance_id", "has_roles", "p_role", probe())
     )
-    key = ["shape", "p_container", "p_role", "p_status"]
-    keyed = [F.concat_ws("\u0001", F.to_json("shape"), *[F.coalesce(F.concat(F.lit("="), k), F.lit("*")) for k in key[1:]]).alias("probe")]
-    entries = entries.select("instance_id", "has_roles", "p_role", *keyed)
-    probes = probes.select("container", "roles", "statuses", *keyed)
     hits = skew_join_both(entries, probes, ["probe"], policy)
     if role_match == "any":
         # An instance that meets several wanted roles is reported by the first of them only.
         first = F.array_min(F.array_intersect("has_roles", "roles"))
-        hits = hits.where((F.size("roles") == 0) | (F.col("p_role") == first))
+        hits = hits.where((F.size("roles") == 0) | (F.col("p_role") == one(first)))
     else:
         hits = hits.where(_role_match(F.col("has_roles"), F.col("roles"), "all"))
-    answers = hits.select("container", "roles", "statuses", "instance_id")
-    return skew_join_both(answers, wanted, ["container", "roles", "statuses"], policy).select("request_id", "instance_id")
+    answers = hits.select(*question, "instance_id")
+    return skew_join_both(answers, wanted, question, policy).select("request_id", "instance_id")
 
 
 def exclude_container(df: DataFrame, name: str) -> DataFrame:

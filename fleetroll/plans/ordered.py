@@ -92,6 +92,16 @@ class Ordered:
         is_last = F.lead(F.lit(1)).over(self._window()).isNull()
         return self._with(df.withColumn(name, F.when(is_last, F.col("_carry")).otherwise(local)).drop("_carry"))
 
+    def running_min(self, name: str, value: Column) -> Ordered:
+        """Smallest non-null ``value`` up to and including the row."""
+        local = F.min(value).over(self._window().rowsBetween(Window.unboundedPreceding, 0))
+        if not self.sliced:
+            return self._with(self._df.withColumn(name, local))
+        df = self._carried(
+            {"_carry": F.min(value)}, lambda e, w: F.min(e).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        )
+        return self._with(df.withColumn(name, F.least(local, "_carry")).drop("_carry"))
+
     def running_sum(self, name: str, value: Column) -> Ordered:
         """Sum of ``value`` over the rows of the key up to and including this one."""
         local = F.sum(value).over(self._window().rowsBetween(Window.unboundedPreceding, 0))

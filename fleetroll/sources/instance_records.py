@@ -24,7 +24,8 @@ def read_instance_records(df: DataFrame, json_col: str) -> tuple[DataFrame, Data
     malformed rows keep all input columns and get a ``message``.
     """
     doc = F.from_json(json_col, _PARSED, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
-    parsed = df.withColumn("_doc", doc).withColumn("_status", status_of(F.col("_doc.status")))
+    # Filters are not pushed through a generator, so each text is parsed once and not once per condition.
+    parsed = df.withColumn("_doc", F.explode(F.array(doc))).withColumn("_status", status_of(F.col("_doc.status")))
     message = (
         F.when(F.col(json_col).isNull() | F.col("_doc").isNull() | F.col(f"_doc.{_CORRUPT}").isNotNull(), "malformed document")
         .when(F.col("_doc.instanceId").isNull(), "missing instanceId")

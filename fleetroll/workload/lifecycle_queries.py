@@ -287,12 +287,12 @@ WIN_2_REJECTED = with_views(
 
 @query("win_2_rejected", WIN_2_REJECTED)
 def win_2_rejected(spark, sf):
-    return ops.rejected_updates(fx.lifecycle_events(spark, sf), SIX_HOURS, _last_ts(spark, sf))
+    return ops.rejected_updates(fx.lifecycle_events(spark, sf), SIX_HOURS)
 
 
 @query("win_2_rejected_split", WIN_2_REJECTED)
 def win_2_rejected_split(spark, sf):
-    return ops.rejected_updates(fx.lifecycle_events(spark, sf), SIX_HOURS, _last_ts(spark, sf), policy=TINY)
+    return ops.rejected_updates(fx.lifecycle_events(spark, sf), SIX_HOURS, TINY)
 
 
 BEAT_US = 16 * 3_600_000_000

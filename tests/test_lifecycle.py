@@ -64,7 +64,7 @@ def test_launch_timeout(spark):
     events = table(spark, rows, EVENTS, "ts")
     assert states(spark, rows, 2, 100) == {"a": ("DEAD", 2.0), "b": ("UP", None), "c": ("DEPLOYING", None), "d": ("UP", None)}
     assert seconds(ops.launch_timeouts(events, 2, at(spark, 100))) == [("a", 2.0)]
-    assert seconds(ops.rejected_updates(events, 2, at(spark, 100))) == [("a", 7, 5.0, "UP", 2.0)]
+    assert seconds(ops.rejected_updates(events, 2)) == [("a", 7, 5.0, "UP", 2.0)]
     assert seconds(ops.launch_timeouts(table(spark, rows[:1], EVENTS, "ts"), 2, at(spark, 2))) == []
 
 
