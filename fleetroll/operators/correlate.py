@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timing import MICROS, micros, to_timestamp
 from ..model import JOIN_TIMEOUT, REQUEST_TIMEOUT
-from ..plans import DEFAULT_SKEW, Ordered, SkewPolicy, skew_join
+from ..plans import DEFAULT_SKEW, Before, Ordered, SkewPolicy, skew_join
 
 
 def correlate_responses(
@@ -56,8 +56,8 @@ def join_deadlines(
         .union(joins.select("key", micros("ts"), F.lit(0)))
         .withColumn("_back", -F.col("us"))
     )
-    next_join = Ordered(log, ["key"], ["_back", "is_start"], policy).previous(
-        join_us=F.when(F.col("is_start") == 0, F.col("us"))
+    next_join = Ordered(log, ["key"], ["_back", "is_start"], policy).scan(
+        join_us=Before(F.when(F.col("is_start") == 0, F.col("us")))
     )
     deadline = F.col("us") + int(timeout * MICROS)
     joined = F.coalesce(F.col("join_us") <= deadline, F.lit(False))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import deterministic_uuid
 from ..model import DEPLOY_FAILED, DEPLOYING, LAUNCHING, SLOT_MODULUS
-from ..plans import DEFAULT_SKEW, Ordered, SkewPolicy, explode_ordinals, find_hot_keys, largest_count, skew_join
+from ..plans import DEFAULT_SKEW, Ordered, RunningSum, SkewPolicy, explode_ordinals, find_hot_keys, largest_count, skew_join
 from .columns import apply_overrides
 from .registry import get_containers
 
@@ -81,7 +81,7 @@ def cyclic_slots(
     A table too large for one task is cut into order ranges that are numbered separately and shifted by the row counts
     before them.
     """
-    numbered = Ordered(requests, [], order, policy).running_sum("_nth", F.lit(1)).df
+    numbered = Ordered(requests, [], order, policy).scan(_nth=RunningSum(F.lit(1))).df
     return numbered.withColumn("slot", F.pmod(F.col("_nth") - 1, F.lit(modulus)).cast("int")).drop("_nth")
 
 
@@ -90,7 +90,7 @@ def match_offers(
 ) -> DataFrame:
     """Marks each offer LAUNCHED or RELEASED: the earliest offer of a pending slot uses it up."""
     hot = find_hot_keys(offers, ["slot"], policy)
-    numbered = Ordered(offers, ["slot"], order, policy, hot).running_sum("_nth", F.lit(1)).df
+    numbered = Ordered(offers, ["slot"], order, policy, hot).scan(_nth=RunningSum(F.lit(1))).df
     slots = pending.select("slot").distinct().withColumn("_pending", F.lit(True))
     joined = skew_join(numbered, slots, ["slot"], "left", policy, hot)
     used = F.col("_pending").isNotNull() & (F.col("_nth") == 1)

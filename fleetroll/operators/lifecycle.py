@@ -32,7 +32,19 @@ from ..model import (
     UNREACHABLE,
     UP,
 )
-from ..plans import DEFAULT_SKEW, HotKeys, Ordered, SkewPolicy, find_hot_keys, skew_join
+from ..plans import (
+    DEFAULT_SKEW,
+    Before,
+    HotKeys,
+    Next,
+    Ordered,
+    RunningMin,
+    Scan,
+    SkewPolicy,
+    UpTo,
+    find_hot_keys,
+    skew_join,
+)
 
 _KEY = ["instance_id"]
 _ORDER = ["us", "event_id"]
@@ -48,22 +60,25 @@ def _timed(events: DataFrame) -> DataFrame:
     )
 
 
-def _run_heads(rows: DataFrame, policy: SkewPolicy, hot: HotKeys | None = None) -> Ordered:
-    """Marks the base rows that start a run (``head_us``) and adds the head before each of them.
+def _run_heads(rows: DataFrame, policy: SkewPolicy, **scans: Scan) -> Ordered:
+    """Marks the base rows that start a run (``_head``) and adds the heads before (``_head_before``) and up to each row
+    (``_open_head``); ``scans`` are further ones that need no heads.
 
     A run is a maximal series of LAUNCHING reports; any other base report is a run of its own. All frames look back, so
-    both windows share one sort.
+    all windows share one sort.
     """
     is_base = F.col("kind").isin(*BASE_KINDS)
     launching = F.col("kind") == LAUNCHING
     return (
-        Ordered(rows, _KEY, _ORDER, policy, hot)
-        .previous(_was_launching=F.when(is_base, launching))
-        .with_column(
-            "_head",
-            F.when(is_base & ~(launching & F.coalesce("_was_launching", F.lit(False))), F.struct("us", launching.alias("launching"))),
+        Ordered(rows, _KEY, _ORDER, policy)
+        .scan(_was_launching=Before(F.when(is_base, launching)), **scans)
+        .with_columns(
+            _head=F.when(
+                is_base & ~(launching & F.coalesce("_was_launching", F.lit(False))),
+                F.struct("us", launching.alias("launching")),
+            )
         )
-        .previous(_head_before=F.col("_head"))
+        .scan(_head_before=Before(F.col("_head")), _open_head=UpTo(F.col("_head")))
     )
 
 
@@ -146,8 +161,9 @@ def launch_timeouts(
     return dead.where(F.col("dead_us").isNotNull()).select("instance_id", to_timestamp(F.col("dead_us")).alias("dead_at"))
 
 
-def _with_deaths(events: DataFrame, launch_timeout: float, policy: SkewPolicy) -> Ordered:
-    """Adds to every event the launch deadline it shows to be missed (``_missed``) and the first one so far (``dead_us``).
+def _with_deaths(events: DataFrame, launch_timeout: float, policy: SkewPolicy, **scans: Scan) -> Ordered:
+    """Adds to every event the first launch deadline it shows to be missed (``dead_us``), and whether an earlier event
+    shows one as well (``_missed_before``).
 
     An event after a missed deadline either ends the launching run or still belongs to it, so looking back is enough and
     no event is joined with its instance's death.
@@ -156,10 +172,9 @@ def _with_deaths(events: DataFrame, launch_timeout: float, policy: SkewPolicy) -
     deadline = F.col("_open_head.us") + timeout_us
     still_launching = F.when(F.col("_open_head.launching") & (F.col("us") > deadline), deadline)
     return (
-        _run_heads(_timed(events), policy)
-        .previous(inclusive=True, _open_head=F.col("_head"))
-        .with_column("_missed", F.coalesce(_dead_by_next_head(timeout_us), still_launching))
-        .running_min("dead_us", F.col("_missed"))
+        _run_heads(_timed(events), policy, **scans)
+        .with_columns(_missed=F.coalesce(_dead_by_next_head(timeout_us), still_launching))
+        .scan(dead_us=RunningMin(F.col("_missed")), _missed_before=Before(F.col("_missed")))
     )
 
 
@@ -185,16 +200,14 @@ def fleet_transitions(
     """
     kind = F.col("kind")
     at = F.struct("us", "event_id", "kind")
-    seen = (
-        _with_deaths(events, launch_timeout, policy)
-        .previous(
-            inclusive=True,
-            base=F.when(kind.isin(*BASE_KINDS), at),
-            removed=F.when(kind == REMOVED, at),
-            reach=F.when(kind.isin(UNREACHABLE, REACHABLE), at),
-        )
-        .previous(_missed_before=F.col("_missed"))
-        .next_row("_next", F.lit(True))
+    seen = _with_deaths(
+        events,
+        launch_timeout,
+        policy,
+        base=UpTo(F.when(kind.isin(*BASE_KINDS), at)),
+        removed=UpTo(F.when(kind == REMOVED, at)),
+        reach=UpTo(F.when(kind.isin(UNREACHABLE, REACHABLE), at)),
+        _next=Next(F.lit(True)),
     )
     state = (
         F.when(F.col("dead_us").isNotNull(), REJECTED)
@@ -287,7 +300,7 @@ def outage_terminations(
 def registration_attempts(log: DataFrame, policy: SkewPolicy = DEFAULT_SKEW) -> DataFrame:
     """Per key of (key, ts, event_id, ok): attempts up to the first success and its time, null while open."""
     rows = log.select("key", micros("ts").alias("us"), "event_id", "ok")
-    tried = Ordered(rows, ["key"], _ORDER, policy).previous(_done=F.when(F.col("ok"), F.lit(True)))
+    tried = Ordered(rows, ["key"], _ORDER, policy).scan(_done=Before(F.when(F.col("ok"), F.lit(True))))
     per_key = (
         tried.where(F.col("_done").isNull())
         .df.groupBy("key")
@@ -319,9 +332,9 @@ def unreachable_episodes(
     )
     changes = (
         Ordered(rows, _KEY, _ORDER, policy, hot)
-        .previous(_was_away=F.col("away"))
+        .scan(_was_away=Before(F.col("away")))
         .where(F.col("away") != F.coalesce("_was_away", F.lit(False)))
-        .next_row("end_us", F.col("us"))
+        .scan(end_us=Next(F.col("us")))
         .where(F.col("away"))
     )
     return changes.df.select("instance_id", F.col("us").alias("start_us"), "end_us")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import STATUSES
-from ..plans import DEFAULT_SKEW, Ordered, SkewPolicy, find_hot_keys, skew_join, skew_join_both
+from ..plans import DEFAULT_SKEW, Ordered, RunningSum, SkewPolicy, find_hot_keys, skew_join, skew_join_both
 from .columns import status_of
 
 
@@ -238,7 +238,7 @@ def register_if_absent(
 ) -> DataFrame:
     """Marks each new record REGISTERED or ALREADY_EXISTS: the first of an id that the registry does not hold wins."""
     hot = find_hot_keys(new, ["instance_id"], policy)
-    numbered = Ordered(new, ["instance_id"], order, policy, hot).running_sum("_nth", F.lit(1)).df
+    numbered = Ordered(new, ["instance_id"], order, policy, hot).scan(_nth=RunningSum(F.lit(1))).df
     present = reg.select("instance_id").distinct().withColumn("_present", F.lit(True))
     joined = skew_join(numbered, present, ["instance_id"], "left", policy, hot)
     fresh = F.col("_present").isNull() & (F.col("_nth") == 1)

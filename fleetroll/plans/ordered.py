@@ -1,16 +1,17 @@
 """Row order within a key, for keys of any size.
 
-``Ordered`` offers the few ordered computations that fleet operators need (previous value, next row, running sum). While
-no key is hot each is one plain window and all of them share one shuffle and one sort. Rows of a hot key are cut into
-ranges of the order columns ("slices") that are windowed separately; what must pass from slice to slice is one small row
-per slice, scanned on its own and joined back by broadcast.
+``Ordered`` adds columns that depend on the rows before or after a row of its key: ``Before``, ``UpTo``, ``Next``,
+``RunningMin`` and ``RunningSum``. While no key is hot each is one plain window function and all of them share one shuffle
+and one sort. Rows of a hot key are cut into ranges of the order columns ("slices") that are windowed separately; what must
+pass from slice to slice is one small row per slice, scanned on its own and joined back by broadcast.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .skew import _HASH, DEFAULT_SKEW, HotKeys, SkewPolicy, find_hot_keys, key_hash
@@ -19,6 +20,105 @@ _SLICE = "_slice"
 _SAMPLES_PER_SLICE = 20
 
 
+def _past(window: WindowSpec, inclusive: bool = False) -> WindowSpec:
+    return window.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+
+
+@dataclass(frozen=True)
+class Scan:
+    """A value taken along the rows of a key.
+
+    ``local`` computes it within a slice, ``edge`` sums up a slice for the others, ``carry`` brings the edges of other
+    slices to one slice, and ``merge`` puts both together.
+    """
+
+    value: Column
+
+    def local(self, rows: WindowSpec) -> Column:
+        raise NotImplementedError
+
+    def edge(self, position: Column) -> Column:
+        raise NotImplementedError
+
+    def carry(self, edge: Column, slices: WindowSpec) -> Column:
+        raise NotImplementedError
+
+    def merge(self, local: Column, carry: Column, rows: WindowSpec) -> Column:
+        raise NotImplementedError
+
+
+class Before(Scan):
+    """Last non-null value before the row."""
+
+    inclusive = False
+
+    def local(self, rows):
+        return F.last(self.value, ignorenulls=True).over(_past(rows, self.inclusive))
+
+    def edge(self, position):
+        return F.max(F.when(self.value.isNotNull(), F.struct(position.alias("p"), self.value.alias("v"))))["v"]
+
+    def carry(self, edge, slices):
+        return F.last(edge, ignorenulls=True).over(_past(slices))
+
+    def merge(self, local, carry, rows):
+        return F.coalesce(local, carry)
+
+
+class UpTo(Before):
+    """Last non-null value up to and including the row."""
+
+    inclusive = True
+
+
+class Next(Scan):
+    """Value of the row right after this one; null on the last row."""
+
+    def local(self, rows):
+        return F.lead(self.value).over(rows)
+
+    def edge(self, position):
+        return F.min_by(self.value, position)
+
+    def carry(self, edge, slices):
+        return F.lead(edge).over(slices)
+
+    def merge(self, local, carry, rows):
+        return F.when(F.lead(F.lit(1)).over(rows).isNull(), carry).otherwise(local)
+
+
+class RunningMin(Scan):
+    """Smallest non-null value up to and including the row."""
+
+    def local(self, rows):
+        return F.min(self.value).over(_past(rows, inclusive=True))
+
+    def edge(self, position):
+        return F.min(self.value)
+
+    def carry(self, edge, slices):
+        return F.min(edge).over(_past(slices))
+
+    def merge(self, local, carry, rows):
+        return F.least(local, carry)
+
+
+class RunningSum(Scan):
+    """Sum of the values up to and including the row."""
+
+    def local(self, rows):
+        return F.sum(self.value).over(_past(rows, inclusive=True))
+
+    def edge(self, position):
+        return F.sum(self.value)
+
+    def carry(self, edge, slices):
+        return F.sum(edge).over(_past(slices))
+
+    def merge(self, local, carry, rows):
+        return local + F.coalesce(carry, F.lit(0))
+
+
 class Ordered:
     def __init__(
         self,
@@ -28,7 +128,7 @@ class Ordered:
         policy: SkewPolicy = DEFAULT_SKEW,
         hot: HotKeys | None = None,
     ):
-        """``order`` must be total within a key; use integers or strings, not timestamps."""
+        """``order`` must be total within a key; use integers or strings, not timestamps. Keys must not be null."""
         self.keys, self.order = list(keys), list(order)
         if hot is None:
             hot = find_hot_keys(df, self.keys, policy)
@@ -47,70 +147,27 @@ class Ordered:
     def where(self, condition: Column) -> Ordered:
         return self._with(self._df.where(condition))
 
-    def with_column(self, name: str, value: Column) -> Ordered:
-        return self._with(self._df.withColumn(name, value))
+    def with_columns(self, **values: Column) -> Ordered:
+        return self._with(self._df.withColumns(values))
 
-    def _window(self):
+    def scan(self, **scans: Scan) -> Ordered:
+        """Adds one column per scan. Scans that do not need each other's result belong into one call: for hot keys every
+        call reads the rows once more to sum up the slices."""
         keys = [*self.keys, _SLICE] if self.sliced else (self.keys or [F.lit(0)])
-        return Window.partitionBy(*keys).orderBy(*self.order)
-
-    def _order_struct(self) -> Column:
-        return F.struct(*self.order)
-
-    def _carried(self, edges: dict[str, Column], carry) -> DataFrame:
-        """Values per slice, made from the other slices of the key and joined back to the rows under the same names."""
+        rows = Window.partitionBy(*keys).orderBy(*self.order)
+        if not self.sliced:
+            return self._with(self._df.withColumns({n: s.local(rows) for n, s in scans.items()}))
+        position = F.struct(*self.order)
         slices = Window.partitionBy(*(self.keys or [F.lit(0)])).orderBy(_SLICE)
-        per_slice = (
+        edges = (
             self._df.where(F.col(_SLICE).isNotNull())
             .groupBy(*self.keys, _SLICE)
-            .agg(*[edge.alias(name) for name, edge in edges.items()])
+            .agg(*[s.edge(position).alias(f"_carry_{n}") for n, s in scans.items()])
+            .select(*self.keys, _SLICE, *[s.carry(F.col(f"_carry_{n}"), slices).alias(f"_carry_{n}") for n, s in scans.items()])
         )
-        carried = per_slice.select(*self.keys, _SLICE, *[carry(F.col(n), slices).alias(n) for n in edges])
-        return self._df.join(F.broadcast(carried), [*self.keys, _SLICE], "left")
-
-    def previous(self, inclusive: bool = False, **values: Column) -> Ordered:
-        """Per named value the last non-null one before the row (or up to it when ``inclusive``)."""
-        frame = self._window().rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-        local = {n: F.last(v, ignorenulls=True).over(frame) for n, v in values.items()}
-        if not self.sliced:
-            return self._with(self._df.withColumns(local))
-        edges = {
-            f"_carry_{n}": F.max(F.when(v.isNotNull(), F.struct(self._order_struct().alias("o"), v.alias("v"))))["v"]
-            for n, v in values.items()
-        }
-        df = self._carried(
-            edges, lambda e, w: F.last(e, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-        )
-        return self._with(df.withColumns({n: F.coalesce(v, f"_carry_{n}") for n, v in local.items()}).drop(*edges))
-
-    def next_row(self, name: str, value: Column) -> Ordered:
-        """``value`` of the row right after this one; null on the last row."""
-        local = F.lead(value).over(self._window())
-        if not self.sliced:
-            return self._with(self._df.withColumn(name, local))
-        df = self._carried({"_carry": F.min_by(value, self._order_struct())}, lambda e, w: F.lead(e).over(w))
-        is_last = F.lead(F.lit(1)).over(self._window()).isNull()
-        return self._with(df.withColumn(name, F.when(is_last, F.col("_carry")).otherwise(local)).drop("_carry"))
-
-    def running_min(self, name: str, value: Column) -> Ordered:
-        """Smallest non-null ``value`` up to and including the row."""
-        local = F.min(value).over(self._window().rowsBetween(Window.unboundedPreceding, 0))
-        if not self.sliced:
-            return self._with(self._df.withColumn(name, local))
-        df = self._carried(
-            {"_carry": F.min(value)}, lambda e, w: F.min(e).over(w.rowsBetween(Window.unboundedPreceding, -1))
-        )
-        return self._with(df.withColumn(name, F.least(local, "_carry")).drop("_carry"))
-
-    def running_sum(self, name: str, value: Column) -> Ordered:
-        """Sum of ``value`` over the rows of the key up to and including this one."""
-        local = F.sum(value).over(self._window().rowsBetween(Window.unboundedPreceding, 0))
-        if not self.sliced:
-            return self._with(self._df.withColumn(name, local))
-        df = self._carried(
-            {"_carry": F.sum(value)}, lambda e, w: F.sum(e).over(w.rowsBetween(Window.unboundedPreceding, -1))
-        )
-        return self._with(df.withColumn(name, local + F.coalesce("_carry", F.lit(0))).drop("_carry"))
+        df = self._df.join(F.broadcast(edges), [*self.keys, _SLICE], "left")  # one row per slice
+        merged = {n: s.merge(s.local(rows), F.col(f"_carry_{n}"), rows) for n, s in scans.items()}
+        return self._with(df.withColumns(merged).drop(*[f"_carry_{n}" for n in scans]))
 
 
 def _with_slices(df: DataFrame, keys: list[str], order: list[str], hot: HotKeys) -> DataFrame:
@@ -123,26 +180,23 @@ def _with_slices(df: DataFrame, keys: list[str], order: list[str], hot: HotKeys)
     sized = spark.createDataFrame(
         [(h, n, hot.slices(h)) for h, n in sorted(hot.rows.items())], f"{_HASH} bigint, _rows bigint, _slices int"
     )
-    position = F.struct(*order)
     sample = (
         df.select(key_hash(keys).alias(_HASH), *order)
         .join(F.broadcast(sized), _HASH)
         .where(F.pmod(F.xxhash64(F.lit(17), *order), F.col("_rows")) < F.col("_slices") * _SAMPLES_PER_SLICE)
         .groupBy(_HASH)
-        .agg(F.array_sort(F.collect_list(position)).alias("_sample"))
+        .agg(F.array_sort(F.collect_list(F.struct(*order))).alias("_sample"))
         .select(_HASH, F.filter("_sample", lambda _, i: i % _SAMPLES_PER_SLICE == _SAMPLES_PER_SLICE - 1).alias("_cuts"))
     )
-    cuts = spark.createDataFrame(sample.collect(), sample.schema)  # at most one cut point per slice
-    most = max((hot.slices(h) for h in hot.rows), default=1) * 4
-    steps = [1 << b for b in range(most.bit_length(), -1, -1)]
-    found = F.reduce(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda at, step: F.when(F.get(F.col("_cuts"), at + step - 1) <= position, at + step).otherwise(at),
-    )
-    return (
+    found = sample.collect()  # about one cut point per slice
+    cuts = spark.createDataFrame(found, sample.schema)
+    located = (
         df.withColumn(_HASH, key_hash(keys))
         .join(F.broadcast(cuts), _HASH, "left")
-        .withColumn(_SLICE, F.when(F.col("_cuts").isNotNull(), found))
-        .drop(_HASH, "_cuts")
+        .withColumns({"_position": F.struct(*order), "_at": F.when(F.col("_cuts").isNotNull(), F.lit(0))})
     )
+    for bit in range(max((len(r["_cuts"]) for r in found), default=0).bit_length() - 1, -1, -1):
+        ahead = F.col("_at") + (1 << bit)
+        located = located.withColumn("_at", F.when(F.get("_cuts", ahead - 1) <= F.col("_position"), ahead).otherwise(F.col("_at")))
+    # Conditions on the slice are not pushed through a generator, so the search runs once per row.
+    return located.select(*df.columns, F.explode(F.array("_at")).alias(_SLICE))

@@ -9,7 +9,7 @@ from ..functions.text import deterministic_uuid
 from ..model import ADDRESS, INFO
 from ..operators.columns import ensure_request_ids
 from ..operators.registry import last_by_key
-from ..plans import DEFAULT_SKEW, Ordered, SkewPolicy
+from ..plans import DEFAULT_SKEW, Ordered, RunningSum, SkewPolicy
 
 STATUS_BY_KEY = ("DEPLOYING", "DEPLOY_FAILED", "LAUNCHING", "UP", "UNREACHABLE")
 
@@ -128,8 +128,8 @@ def lifecycle_events(spark: SparkSession, sf: str, policy: SkewPolicy = DEFAULT_
     rows = events(spark, sf).select(
         "user_id", F.unix_micros("ts").alias("us"), "event_id", lifecycle_kind().alias("kind"), "event_type"
     )
-    counted = Ordered(rows, ["user_id"], ["us", "event_id"], policy).running_sum(
-        "inc", F.when(F.col("event_type") == "signup", 1).otherwise(0)
+    counted = Ordered(rows, ["user_id"], ["us", "event_id"], policy).scan(
+        inc=RunningSum(F.when(F.col("event_type") == "signup", 1).otherwise(0))
     )
     return counted.df.where(F.col("inc") > 0).select(
         F.concat_ws(":", F.col("user_id").cast("string"), F.col("inc").cast("string")).alias("instance_id"),

@@ -3,7 +3,20 @@
 import pytest
 from pyspark.sql import functions as F
 
-from fleetroll.plans import DEFAULT_SKEW, HotKeys, Ordered, SkewPolicy, find_hot_keys, skew_join, skew_join_both
+from fleetroll.plans import (
+    DEFAULT_SKEW,
+    Before,
+    HotKeys,
+    Next,
+    Ordered,
+    RunningMin,
+    RunningSum,
+    SkewPolicy,
+    UpTo,
+    find_hot_keys,
+    skew_join,
+    skew_join_both,
+)
 from fleetroll.plans.ordered import _SLICE
 
 POLICY = SkewPolicy(group_rows=100, probe_bytes=0, sketch_buckets=8)
@@ -39,12 +52,10 @@ def test_ordered_equals_plain_windows(skewed, keys):
     def run(policy):
         return (
             Ordered(skewed, keys, ["t", "id"], policy)
-            .previous(p=F.col("v"), q=F.when(F.col("id") % 7 == 0, F.struct("t", "id")))
-            .previous(inclusive=True, i=F.col("v"))
-            .next_row("n", F.col("v"))
-            .running_sum("s", F.col("id"))
+            .scan(p=Before(F.col("v")), q=Before(F.when(F.col("id") % 7 == 0, F.struct("t", "id"))), i=UpTo(F.col("v")))
+            .scan(n=Next(F.col("v")), s=RunningSum(F.col("id")), x=RunningMin(F.col("v")))
             .where(F.col("id") % 4 != 0)
-            .next_row("m", F.col("id"))
+            .scan(m=Next(F.col("id")))
         )
 
     plain, split = run(DEFAULT_SKEW), run(POLICY)
