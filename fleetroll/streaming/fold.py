@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import sys
+import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import islice
 
@@ -10,8 +12,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Row
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-
 CHUNK = 10_000
+SLOT_US = 60_000_000
 
 
 class OrderedFold(StatefulProcessor):
@@ -19,12 +21,14 @@ class OrderedFold(StatefulProcessor):
 
     A subclass keeps one state tuple per key. ``step(state, event)`` returns the new state and output rows;
     ``expire(state)`` does the same at the deadline ``deadline(state)`` (microseconds or None), which takes effect when an
-    event or the watermark is beyond it: an event right on the deadline still comes first. Pending events of a key are
-    those within the watermark delay.
+    event or the watermark is beyond it: an event right on the deadline still comes first.
+
+    Pending events are those within the watermark delay. They are kept in parts, each filed under the time slot of its
+    first event; many events at once are filed slot by slot. Only parts that the watermark has reached are read.
     """
 
     event_columns = ["us", "event_id", "kind"]
-    event_schema = "events array<struct<us:bigint,event_id:bigint,kind:string>>"  # a chunk of one micro-batch
+    event_schema = "events array<struct<us:bigint,event_id:bigint,kind:string>>"
     state_schema = ""
     start: tuple = ()
     output_columns: list[str] = []
@@ -41,43 +45,72 @@ class OrderedFold(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", self.state_schema)
-        self.pending = handle.getListState("pending", self.event_schema)
+        self.pending = handle.getMapState("pending", "slot bigint, part bigint", self.event_schema)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        earliest = None
         events = (tuple(row[c] for c in self.event_columns) for row in rows)
+        earliest = None
         while chunk := list(islice(events, CHUNK)):
-            self.pending.appendValue((chunk,))
-            first = min(e[0] for e in chunk)
+            first = min(chunk)[0]
             earliest = first if earliest is None else min(earliest, first)
+            if len(chunk) < CHUNK:
+                self._hold(first, chunk)
+            else:
+                by_slot = defaultdict(list)
+                for event in chunk:
+                    by_slot[event[0] // SLOT_US].append(event)
+                for slot, part in by_slot.items():
+                    self._hold(slot * SLOT_US, part)
         if earliest is not None:
             self._wake_after(earliest)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        events = sorted(tuple(e) for (chunk,) in self.pending.get() for e in chunk)
-        due = [e for e in events if e[0] < passed]
-        later = events[len(due) :]
+        named = Row(*self.output_columns)
         state = self.state.get() or self.start
+        held = sorted(tuple(k) for k in self.pending.keys())
+        events: list[tuple] = []  # read, but not yet folded
         out: list[tuple] = []
-        for event in due:
-            state = self._expire_before(state, event[0], out)
-            state, rows = self.step(state, event)
-            out += rows
+        end = 0
+        while end < passed:
+            slots = [held[0][0]] if held else []
+            if events:
+                slots.append(min(events)[0] // SLOT_US)
+            if not slots or min(slots) * SLOT_US >= passed:
+                break
+            slot = min(slots)
+            end = (slot + 1) * SLOT_US
+            while held and held[0][0] == slot:
+                part = held.pop(0)
+                events += [tuple(e) for e in self.pending.getValue(part)[0]]
+                self.pending.removeKey(part)
+            due = sorted(e for e in events if e[0] < min(end, passed))
+            events = [e for e in events if e[0] >= min(end, passed)]
+            for event in due:
+                state = self._expire_before(state, event[0], out)
+                state, rows = self.step(state, event)
+                out += rows
+            for row in out:
+                yield named(*key, *row)
+            out.clear()
         state = self._expire_before(state, passed, out)
+        for row in out:
+            yield named(*key, *row)
         self.state.update(state)
-        if due:
-            if later:
-                self.pending.put([(later,)])
-            else:
-                self.pending.clear()
-        wakes = [t for t in (later[0][0] if later else None, self.deadline(state)) if t is not None]
+        wakes = [self.deadline(state)]
+        if events:
+            wakes.append(min(events)[0])
+            self._hold(wakes[-1], events)
+        if held:
+            wakes.append(held[0][0] * SLOT_US)
+        wakes = [t for t in wakes if t is not None]
         if wakes:
             self._wake_after(min(wakes))
-        named = Row(*self.output_columns)
-        for row in out:
-            yield named(*key, *row)
+
+    def _hold(self, first_us: int, events: list[tuple]) -> None:
+        part = uuid.uuid4().int >> 65  # parts of one slot only have to differ
+        self.pending.updateValue((first_us // SLOT_US, part), (events,))
 
     def _expire_before(self, state: tuple, us: int, out: list[tuple]) -> tuple:
         deadline = self.deadline(state)

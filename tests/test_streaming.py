@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetroll import operators as ops
 from fleetroll import sources, streaming
+from fleetroll.streaming import fold
 from tests.helpers import seconds, table
 from tests.test_lifecycle import EVENTS, KINDS, random_events
 
@@ -47,6 +48,17 @@ def test_fleet_state(spark, tmp_path):
     assert got == want
 
 
+def test_many_events_are_filed_by_slot(spark, tmp_path, monkeypatch):
+    """Parts of a few events in short slots, in few micro-batches."""
+    monkeypatch.setattr(fold, "CHUNK", 7)
+    monkeypatch.setattr(fold, "SLOT_US", 4_000_000)
+    rows = shifted(random_events(9, 6, KINDS, hot=120, span=90))
+    updates = as_stream(spark, str(tmp_path), rows, EVENTS, "ts", ("~", FAR, 0, "REACHABLE"), "10 seconds", batches=3)
+    got = seconds(streaming.run_to_table(streaming.stream_fleet_state(updates, 3), "t0"))
+    want = seconds(ops.fleet_transitions(table(spark, rows, EVENTS, "ts"), 3, F.lit("2030-01-01").cast("timestamp")))
+    assert got == want
+
+
 def test_auto_down(spark, tmp_path):
     rows = shifted(random_events(4, 25, ["UNREACHABLE", "REACHABLE", "REMOVED"], hot=20))
     gone = [(f"k{k}", START + random.Random(k).randint(0, 30)) for k in range(0, 25, 2)]
