@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.scratch import scratch_path
 
+SHUFFLE_PARTITIONS = "spark.sql.shuffle.partitions"
+
 
 def use_rocksdb(spark: SparkSession) -> None:
     """State that may outgrow executor memory; stateful processors need this store."""
@@ -15,16 +17,27 @@ def use_rocksdb(spark: SparkSession) -> None:
     )
 
 
-def run_to_table(stream: DataFrame, name: str) -> DataFrame:
-    """Processes all available input into a fresh parquet table and returns that table."""
+def run_to_table(stream: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
+    """Processes all available input into a fresh parquet table and returns that table.
+
+    State is spread over ``partitions``, by default the session's shuffle partitions but no more than there are cores: a
+    stream's partitions are not coalesced at run time, and each one costs a store commit in every micro-batch.
+    """
     spark = stream.sparkSession
     path = scratch_path(spark, name)
-    running = (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("checkpointLocation", f"{path}/checkpoint")
-        .trigger(availableNow=True)
-        .start(f"{path}/rows")
-    )
+    configured = spark.conf.get(SHUFFLE_PARTITIONS)
+    if partitions is None:
+        partitions = min(int(configured), spark.sparkContext.defaultParallelism)
+    spark.conf.set(SHUFFLE_PARTITIONS, partitions)  # a query keeps the settings it was started with
+    try:
+        running = (
+            stream.writeStream.format("parquet")
+            .outputMode("append")
+            .option("checkpointLocation", f"{path}/checkpoint")
+            .trigger(availableNow=True)
+            .start(f"{path}/rows")
+        )
+    finally:
+        spark.conf.set(SHUFFLE_PARTITIONS, configured)
     running.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
