@@ -48,7 +48,8 @@ def status_of(text: Column, strict: bool = False) -> Column:
     known = F.when(upper.isin(*STATUSES), upper)
     if not strict:
         return known
-    return F.when(text.isNotNull() & known.isNull(), F.raise_error(F.concat(F.lit("Unexpected instance status "), text))).otherwise(known)
+    bad = F.raise_error(F.concat(F.lit("Unexpected instance status "), text))
+    return F.when(text.isNotNull() & known.isNull(), bad).otherwise(known)
 
 
 def parse_statuses(df: DataFrame, col: str, strict: bool = False, name: str = "parsed_status") -> DataFrame:

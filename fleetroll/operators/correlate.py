@@ -41,7 +41,8 @@ def orphan_responses(requests: DataFrame, responses: DataFrame, policy: SkewPoli
     """Failure rows for responses whose request id was never asked."""
     asked = requests.select("request_id").distinct()
     orphans = skew_join(responses, asked, ["request_id"], "left_anti", policy)
-    return orphans.withColumn("message", F.concat(F.lit("Sender with ID "), F.col("request_id").cast("string"), F.lit(" was not found")))
+    message = F.concat(F.lit("Sender with ID "), F.col("request_id").cast("string"), F.lit(" was not found"))
+    return orphans.withColumn("message", message)
 
 
 def join_deadlines(

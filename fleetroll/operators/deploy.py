@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import deterministic_uuid
@@ -60,16 +60,23 @@ def submitted_instances(deploys: Deploys) -> DataFrame:
         .select("request_id", "container_name", "part", F.transform("ids", lambda x: x["instance_id"]).alias("instance_ids"))
     )
     empty = deploys.accepted.where(F.col("quantity") <= 0).select(
-        "request_id", F.col("name").alias("container_name"), F.lit(0).alias("part"), F.array().cast("array<string>").alias("instance_ids")
+        "request_id",
+        F.col("name").alias("container_name"),
+        F.lit(0).alias("part"),
+        F.array().cast("array<string>").alias("instance_ids"),
     )
     return parts.unionByName(empty)
 
 
 def deploy_status_log(expanded: DataFrame, results: DataFrame) -> DataFrame:
     """DEPLOYING rows followed by LAUNCHING or DEPLOY_FAILED per result (instance_id, ok, error)."""
-    submitted = expanded.select("instance_id", F.lit(0).alias("step"), F.lit(DEPLOYING).alias("status"), F.lit(None).cast("string").alias("error"))
+
+    def entry(step: int, status: Column, error: Column) -> list:
+        return ["instance_id", F.lit(step).alias("step"), status.alias("status"), error.alias("error")]
+
+    submitted = expanded.select(*entry(0, F.lit(DEPLOYING), F.lit(None).cast("string")))
     outcome = F.when(F.col("ok"), LAUNCHING).otherwise(DEPLOY_FAILED)
-    finished = results.select("instance_id", F.lit(1).alias("step"), outcome.alias("status"), F.when(~F.col("ok"), F.col("error")).alias("error"))
+    finished = results.select(*entry(1, outcome, F.when(~F.col("ok"), F.col("error"))))
     return submitted.unionByName(finished)
 
 

@@ -184,7 +184,11 @@ def rejected_updates(
     """Events of dead instances after their death (instance_id, event_id, ts, kind, dead_at)."""
     late = _with_deaths(events, launch_timeout, policy).df.where(F.col("dead_us").isNotNull())
     return late.select(
-        "instance_id", "event_id", to_timestamp(F.col("us")).alias("ts"), "kind", to_timestamp(F.col("dead_us")).alias("dead_at")
+        "instance_id",
+        "event_id",
+        to_timestamp(F.col("us")).alias("ts"),
+        "kind",
+        to_timestamp(F.col("dead_us")).alias("dead_at"),
     )
 
 
@@ -227,7 +231,9 @@ def fleet_transitions(
     step = F.struct(F.col("us"), F.col("event_id"), state.alias("state"))
     end = F.struct(death.alias("us"), F.lit(None).cast("bigint").alias("event_id"), F.lit(DEAD).alias("state"))
     rows = seen.where(F.col("base").isNotNull()).df.select("instance_id", F.inline(F.array(step, end)))
-    return rows.where(F.col("us").isNotNull()).select("instance_id", to_timestamp(F.col("us")).alias("ts"), "event_id", "state")
+    return rows.where(F.col("us").isNotNull()).select(
+        "instance_id", to_timestamp(F.col("us")).alias("ts"), "event_id", "state"
+    )
 
 
 def heartbeat_liveness(

@@ -61,20 +61,24 @@ def instances_by_requests(
     if role_match not in ("any", "all"):
         raise ValueError(f"unknown role_match {role_match!r}")
     none = F.array().cast("array<string>")
+
+    def text_set(values: Column) -> Column:
+        return F.array_sort(F.array_distinct(F.array_compact(values)))
+
     wanted = requests.select(
         "request_id",
         F.coalesce("container", F.lit("")).alias("container"),
-        F.array_sort(F.array_distinct(F.coalesce("roles", none))).alias("roles"),
-        F.array_sort(
-            F.array_distinct(F.filter(F.transform(F.coalesce("statuses", none), lambda s: status_of(s)), lambda s: s.isNotNull()))
-        ).alias("statuses"),
+        text_set(F.coalesce("roles", none)).alias("roles"),
+        text_set(F.transform(F.coalesce("statuses", none), lambda s: status_of(s))).alias("statuses"),
         F.col("container").isNull().alias("everything"),
     ).withColumn("everything", F.col("everything") & (F.size("roles") == 0) & (F.size("statuses") == 0))
     by_container, by_role, by_status = F.col("container") != "", F.size("roles") > 0, F.size("statuses") > 0
     question = ["container", "roles", "statuses", "everything"]
     filters = wanted.select(*question).distinct()
     shapes = (
-        filters.select(by_container.alias("c"), by_role.alias("r"), by_status.alias("s"), F.col("everything").alias("e"))
+        filters.select(
+            by_container.alias("c"), by_role.alias("r"), by_status.alias("s"), F.col("everything").alias("e")
+        )
         .distinct()
         .collect()
     )

@@ -163,7 +163,11 @@ class Ordered:
             self._df.where(F.col(_SLICE).isNotNull())
             .groupBy(*self.keys, _SLICE)
             .agg(*[s.edge(position).alias(f"_carry_{n}") for n, s in scans.items()])
-            .select(*self.keys, _SLICE, *[s.carry(F.col(f"_carry_{n}"), slices).alias(f"_carry_{n}") for n, s in scans.items()])
+            .select(
+                *self.keys,
+                _SLICE,
+                *[s.carry(F.col(f"_carry_{n}"), slices).alias(f"_carry_{n}") for n, s in scans.items()],
+            )
         )
         df = self._df.join(F.broadcast(edges), [*self.keys, _SLICE], "left")  # one row per slice
         merged = {n: s.merge(s.local(rows), F.col(f"_carry_{n}"), rows) for n, s in scans.items()}
@@ -186,7 +190,10 @@ def _with_slices(df: DataFrame, keys: list[str], order: list[str], hot: HotKeys)
         .where(F.pmod(F.xxhash64(F.lit(17), *order), F.col("_rows")) < F.col("_slices") * _SAMPLES_PER_SLICE)
         .groupBy(_HASH)
         .agg(F.array_sort(F.collect_list(F.struct(*order))).alias("_sample"))
-        .select(_HASH, F.filter("_sample", lambda _, i: i % _SAMPLES_PER_SLICE == _SAMPLES_PER_SLICE - 1).alias("_cuts"))
+        .select(
+            _HASH,
+            F.filter("_sample", lambda _, i: i % _SAMPLES_PER_SLICE == _SAMPLES_PER_SLICE - 1).alias("_cuts"),
+        )
     )
     found = sample.collect()  # about one cut point per slice
     cuts = spark.createDataFrame(found, sample.schema)
@@ -197,6 +204,7 @@ def _with_slices(df: DataFrame, keys: list[str], order: list[str], hot: HotKeys)
     )
     for bit in range(max((len(r["_cuts"]) for r in found), default=0).bit_length() - 1, -1, -1):
         ahead = F.col("_at") + (1 << bit)
-        located = located.withColumn("_at", F.when(F.get("_cuts", ahead - 1) <= F.col("_position"), ahead).otherwise(F.col("_at")))
+        passed = F.get("_cuts", ahead - 1) <= F.col("_position")
+        located = located.withColumn("_at", F.when(passed, ahead).otherwise(F.col("_at")))
     # Conditions on the slice are not pushed through a generator, so the search runs once per row.
     return located.select(*df.columns, F.explode(F.array("_at")).alias(_SLICE))

@@ -26,17 +26,17 @@ def read_instance_records(df: DataFrame, json_col: str) -> tuple[DataFrame, Data
     doc = F.from_json(json_col, _PARSED, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
     # Filters are not pushed through a generator, so each text is parsed once and not once per condition.
     parsed = df.withColumn("_doc", F.explode(F.array(doc))).withColumn("_status", status_of(F.col("_doc.status")))
+    broken = F.col(json_col).isNull() | F.col("_doc").isNull() | F.col(f"_doc.{_CORRUPT}").isNotNull()
+    bad_status = F.concat(F.lit("Unexpected instance status "), F.coalesce("_doc.status", F.lit("null")))
     message = (
-        F.when(F.col(json_col).isNull() | F.col("_doc").isNull() | F.col(f"_doc.{_CORRUPT}").isNotNull(), "malformed document")
+        F.when(broken, "malformed document")
         .when(F.col("_doc.instanceId").isNull(), "missing instanceId")
         .when(F.col("_doc.containerName").isNull(), "missing containerName")
-        .when(F.col("_status").isNull(), F.concat(F.lit("Unexpected instance status "), F.coalesce("_doc.status", F.lit("null"))))
+        .when(F.col("_status").isNull(), bad_status)
     )
     checked = parsed.withColumn("message", message)
-    address = F.when(
-        F.col("_doc.address").isNotNull(),
-        F.struct(F.col("_doc.address.address").alias("address"), F.col("_doc.address.longUid").alias("long_uid")).cast(UNIQUE_ADDRESS),
-    )
+    unique = F.struct(F.col("_doc.address.address").alias("address"), F.col("_doc.address.longUid").alias("long_uid"))
+    address = F.when(F.col("_doc.address").isNotNull(), unique.cast(UNIQUE_ADDRESS))
     good = checked.where(F.col("message").isNull()).select(
         F.col("_doc.instanceId").alias("instance_id"),
         F.col("_doc.containerName").alias("container_name"),

@@ -54,5 +54,6 @@ def compact_registry(spark: SparkSession, path: str, order: Sequence[str] = ("ts
     """Writes the merged table as a new base and returns its version."""
     version, folders = _parts(spark, path)
     if len(folders) > 1 or any("/delta/" in f for f in folders):
-        last_by_key(spark.read.parquet(*folders), "instance_id", order).write.mode("overwrite").parquet(f"{path}/base/v={version}")
+        merged = last_by_key(spark.read.parquet(*folders), "instance_id", order)
+        merged.write.mode("overwrite").parquet(f"{path}/base/v={version}")
     return version

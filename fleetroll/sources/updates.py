@@ -18,7 +18,9 @@ UPDATE = T.StructType(
 MESSAGE = T.StructType([*UPDATE.fields, T.StructField("updates", T.ArrayType(UPDATE))])
 
 
-def stream_updates(spark: SparkSession, path: str, watermark: str = "1 hour", files_per_batch: int | None = None) -> DataFrame:
+def stream_updates(
+    spark: SparkSession, path: str, watermark: str = "1 hour", files_per_batch: int | None = None
+) -> DataFrame:
     """JSON messages below ``path`` as a stream of single updates with a watermark on ``ts``.
 
     ``files_per_batch`` bounds the size of a micro-batch.

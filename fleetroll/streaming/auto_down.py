@@ -59,12 +59,17 @@ def stream_auto_down(events: DataFrame, deregistered: DataFrame, poll: float = A
     """
     member = events.where(F.col("kind").isin(*MEMBER_KINDS)).select("instance_id", "ts", "event_id", "kind")
     gone = deregistered.select(
-        "instance_id", F.col("deregistered_at").alias("ts"), F.lit(-1).cast("bigint").alias("event_id"), F.lit(DEREGISTERED).alias("kind")
+        "instance_id",
+        F.col("deregistered_at").alias("ts"),
+        F.lit(-1).cast("bigint").alias("event_id"),
+        F.lit(DEREGISTERED).alias("kind"),
     )
     rows = member.unionByName(gone).withColumn("us", micros("ts"))
     downs = rows.groupBy("instance_id").transformWithState(
         AutoDown(int(poll * MICROS)), "instance_id string, since_us bigint, down_us bigint", "Append", "EventTime"
     )
     return downs.select(
-        "instance_id", to_timestamp(F.col("since_us")).alias("unreachable_at"), to_timestamp(F.col("down_us")).alias("down_at")
+        "instance_id",
+        to_timestamp(F.col("since_us")).alias("unreachable_at"),
+        to_timestamp(F.col("down_us")).alias("down_at"),
     )

@@ -6,12 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timing import MICROS, micros, to_timestamp
-from ..model import ABSENT, BASE_KINDS, DEAD, DEPLOY_FAILED, LAUNCH_TIMEOUT, LAUNCHING, REACHABLE, REJECTED, REMOVED, UNREACHABLE, UP
+from ..model import (
+    ABSENT,
+    BASE_KINDS,
+    DEAD,
+    DEPLOY_FAILED,
+    LAUNCH_TIMEOUT,
+    LAUNCHING,
+    REACHABLE,
+    REJECTED,
+    REMOVED,
+    UNREACHABLE,
+    UP,
+)
 from .fold import OrderedFold, ship_by_value
 
-# Fixed here so that shipped code needs no import of the package.
-_BASE, _UP, _LAUNCHING, _FAILED = tuple(BASE_KINDS), UP, LAUNCHING, DEPLOY_FAILED
-
 
 class FleetState(OrderedFold):
     """State: last base kind, launch deadline, dead, removed since the base event, unreachable since the base event."""
@@ -35,10 +44,10 @@ class FleetState(OrderedFold):
         us, event_id, kind = event
         if dead:
             return state, [(us, event_id, REJECTED)]
-        if kind in _BASE:
-            if kind != _LAUNCHING:
+        if kind in BASE_KINDS:
+            if kind != LAUNCHING:
                 deadline = None
-            elif base != _LAUNCHING:
+            elif base != LAUNCHING:
                 deadline = us + self.timeout_us
             base, removed, away = kind, False, False
         elif base is None:
@@ -48,9 +57,9 @@ class FleetState(OrderedFold):
         else:
             away = kind == UNREACHABLE
         state = (base, deadline, dead, removed, away)
-        if base == _FAILED or (base == _UP and removed):
+        if base == DEPLOY_FAILED or (base == UP and removed):
             shown = ABSENT
-        elif base == _UP and away:
+        elif base == UP and away:
             shown = UNREACHABLE
         else:
             shown = base

@@ -82,7 +82,14 @@ def _silences(events: DataFrame, alarming: Column, slot_us: int, limit_us: int)
             F.max(F.struct("us", "event_id", "alarming")).alias("last"),
             F.count(F.lit(1)).alias("n"),
         )
-        .select("key", F.window_time("window").alias("slot_ts"), "first_us", F.col("last.us").alias("last_us"), F.col("last.alarming").alias("alarming"), "n")
+        .select(
+            "key",
+            F.window_time("window").alias("slot_ts"),
+            "first_us",
+            F.col("last.us").alias("last_us"),
+            F.col("last.alarming").alias("alarming"),
+            "n",
+        )
     )
     return slots.groupBy("key").transformWithStateInPandas(
         SilenceAfterSlots(slot_us, limit_us), f"key {key_type}, last_us bigint, late bigint", "Append", "EventTime"
@@ -100,7 +107,9 @@ def stream_heartbeat(
     limit_us = timeout_us * missed_limit
     numbered = beats.withColumn("event_id", F.lit(0))
     found = _silences(numbered, F.lit(True), timeout_us, limit_us)
-    return found.select("key", to_timestamp(F.col("last_us") + limit_us).alias("terminated_at"), F.col("late").alias("late_beats"))
+    return found.select(
+        "key", to_timestamp(F.col("last_us") + limit_us).alias("terminated_at"), F.col("late").alias("late_beats")
+    )
 
 
 def stream_outage(coord_events: DataFrame, join_timeout: float = JOIN_TIMEOUT) -> DataFrame:
@@ -111,5 +120,7 @@ def stream_outage(coord_events: DataFrame, join_timeout: float = JOIN_TIMEOUT) -
     deadline_us = 2 * int(join_timeout * MICROS)
     found = _silences(coord_events, F.col("is_down"), deadline_us, deadline_us)
     return found.where(F.col("last_us").isNotNull()).select(
-        "key", to_timestamp(F.col("last_us")).alias("down_at"), to_timestamp(F.col("last_us") + deadline_us).alias("terminated_at")
+        "key",
+        to_timestamp(F.col("last_us")).alias("down_at"),
+        to_timestamp(F.col("last_us") + deadline_us).alias("terminated_at"),
     )
