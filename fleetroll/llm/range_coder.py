@@ -16,8 +16,8 @@ import zlib
 import numpy as np
 
 MAGIC = b"FRT2"
-BLOCK = 2048
-SLOTS = 2048
+BLOCK = 1024
+SLOTS = 1024
 WEIGHT = 12  # bits of the mixture's weights
 TOP, FORCED = np.uint64(1 << 48), np.uint64(1 << 32)
 _16, _32, _48 = np.uint64(16), np.uint64(32), np.uint64(48)
@@ -32,47 +32,66 @@ def _frequencies(counts: np.ndarray, bits: int) -> np.ndarray:
     return freq
 
 
+def _symbols(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different ids, each id's place among them, and how often each comes."""
+    if int(ids.max()) >= 1 << 20:
+        return np.unique(ids, return_inverse=True, return_counts=True)
+    counts = np.bincount(ids)
+    symbols = np.flatnonzero(counts)
+    place = np.zeros(len(counts), np.int32)
+    place[symbols] = np.arange(len(symbols))
+    return symbols, place.take(ids), counts[symbols]
+
+
 class _Model:
-    """Contexts and weights of all blocks of a segment; ``n`` symbols."""
+    """Contexts and weights of all blocks of a segment; ``n`` symbols. A slot holds its guess and, in two bits, its level."""
 
     def __init__(self, blocks: int, n: int):
-        self.none = n
-        self.t1 = np.full(blocks * SLOTS, n << 2, np.int64)
+        self.t1 = np.full(blocks * SLOTS, n << 2, np.int32)
         self.t2 = self.t1.copy()
-        self.a1 = np.tile(np.array([12000, 24000, 36000, 50000], np.int64), blocks)
+        self.a1 = np.tile(np.array([8000, 24000, 36000, 50000], np.int32), blocks)
         self.a2 = self.a1.copy()
-        self.base = np.arange(blocks, dtype=np.int64) * SLOTS
-        self.four = np.arange(blocks, dtype=np.int64) * 4
-        self.p1 = np.full(blocks, n, np.int64)
-        self.p2 = np.full(blocks, n, np.int64)
-
-    def guess(self, m: int):
-        """Guesses and weights of order 2 and 1 for the first ``m`` blocks."""
-        p1, p2 = self.p1[:m], self.p2[:m]
-        self.i1 = self.base[:m] + ((p1 * 40503 >> 4) & (SLOTS - 1))
-        self.i2 = self.base[:m] + ((p1 * 40503 + p2 * 30011 >> 4) & (SLOTS - 1))
-        self.v1, self.v2 = self.t1[self.i1], self.t2[self.i2]
+        self.base = np.arange(blocks, dtype=np.int32) * SLOTS
+        self.four = np.arange(blocks, dtype=np.int32) * 4
+        self.p1 = np.full(blocks, n, np.int32)
+        self.h2 = np.zeros(blocks, np.int32)
+
+    def guess(self, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the guesses ``g2`` and ``g1`` for the first ``m`` blocks, of 4096."""
+        h1 = self.p1[:m] * np.int32(40503)
+        self.i1 = (h1 >> 4 & SLOTS - 1) + self.base[:m]
+        self.i2 = (h1 + self.h2[:m] >> 4 & SLOTS - 1) + self.base[:m]
+        self.h2[:m] = self.p1[:m] * np.int32(30011)
+        self.v1, self.v2 = self.t1.take(self.i1), self.t2.take(self.i2)
         self.g1, self.g2 = self.v1 >> 2, self.v2 >> 2
-        self.j1, self.j2 = self.four[:m] + (self.v1 & 3), self.four[:m] + (self.v2 & 3)
-        self.known1, self.known2 = self.g1 != self.none, self.g2 != self.none
-        f2 = (self.a2[self.j2] >> 4) * self.known2
-        f1 = ((4096 - f2) * self.a1[self.j1] >> 16) * (self.known1 & (self.g1 != self.g2))
-        return f2, f1
-
-    def learn(self, m: int, sym: np.ndarray) -> None:
-        for t, i, v, g, a, j, known in (
-            (self.t1, self.i1, self.v1, self.g1, self.a1, self.j1, self.known1),
-            (self.t2, self.i2, self.v2, self.g2, self.a2, self.j2, self.known2),
+        self.l1, self.l2 = self.v1 & 3, self.v2 & 3
+        self.j1, self.j2 = self.l1 + self.four[:m], self.l2 + self.four[:m]
+        self.w1, self.w2 = self.a1.take(self.j1), self.a2.take(self.j2)
+        f2 = self.w2 >> 4
+        return f2, (4096 - f2) * (self.w1 >> 4) >> 12
+
+    def learn(self, m: int, sym: np.ndarray, hit1: np.ndarray, hit2: np.ndarray) -> None:
+        fresh = sym << 2
+        for t, i, v, level, a, j, w, hit in (
+            (self.t1, self.i1, self.v1, self.l1, self.a1, self.j1, self.w1, hit1),
+            (self.t2, self.i2, self.v2, self.l2, self.a2, self.j2, self.w2, hit2),
         ):
-            hit = g == sym
-            level = v & 3
-            t[i] = np.where(hit, v + (level < 3), np.where(level > 0, v - 1, sym << 2))
-            old = a[j]
-            a[j] = old + known * ((hit * 64512 + 512 - old) >> 5)
-        self.p2[:m] = self.p1[:m]
+            t[i] = np.where(hit, v + (level < 3), np.where(level > 0, v - 1, fresh))
+            a[j] = w + ((hit * np.int32(64512) - w + 512) >> 5)
         self.p1[:m] = sym
 
 
+def _renew(lo: np.ndarray, r: np.ndarray) -> np.ndarray | None:
+    """Where a word is due: the first word of low and high agree, or the range got small and is cut to where they do."""
+    go = (lo ^ (lo + r)) < TOP
+    small = r < FORCED
+    if small.any():
+        forced = small & ~go
+        r[forced] = (~lo[forced] + np.uint64(1)) & _LOW32
+        go |= forced
+    return go if go.any() else None
+
+
 def encode(ids: np.ndarray) -> bytes:
     """A segment: header, symbols with frequencies, block table, blocks. ``ids`` are uint32, any number of them."""
     ids = np.ascontiguousarray(ids, np.uint32)
@@ -80,11 +99,11 @@ def encode(ids: np.ndarray) -> bytes:
     blocks = -(-n // BLOCK)
     if not n:
         return MAGIC + struct.pack("<IIBI", 0, 0, 0, 0)
-    symbols, seq, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    symbols, seq, counts = _symbols(ids)
     bits = max(16, len(symbols).bit_length() + 2)
     freq = _frequencies(counts, bits)
-    first = np.cumsum(freq) - freq
-    step_syms = np.full(blocks * BLOCK, 0, np.int64)
+    both = (np.cumsum(freq) - freq << 32 | freq).astype(np.int64)
+    step_syms = np.full(blocks * BLOCK, 0, np.int32)
     step_syms[:n] = seq
     step_syms = np.ascontiguousarray(step_syms.reshape(blocks, BLOCK).T)
     last = n - (blocks - 1) * BLOCK
@@ -98,29 +117,24 @@ def encode(ids: np.ndarray) -> bytes:
         m = blocks if k < last else blocks - 1
         sym = step_syms[k, :m]
         f2, f1 = model.guess(m)
-        f0 = 4096 - f2 - f1
-        hit2 = (model.g2 == sym) & (f2 > 0)
-        hit1 = (model.g1 == sym) & (f1 > 0) & ~hit2
-        start = np.where(hit2, 0, np.where(hit1, f2 << bits, (f2 + f1 << bits) + f0 * first[sym])).astype(np.uint64)
-        width = np.where(hit2, f2 << bits, np.where(hit1, f1 << bits, f0 * freq[sym])).astype(np.uint64)
-        lo, r = low[:m], rng[:m]
+        hit2, hit1 = model.g2 == sym, model.g1 == sym
+        end1 = f2 + f1
+        f0, own = (4096 - end1).astype(np.int64), both.take(sym)
+        start = np.where(hit1, f2.astype(np.int64) << bits, (end1.astype(np.int64) << bits) + f0 * (own >> 32))
+        width = np.where(hit1, f1.astype(np.int64) << bits, f0 * (own & 0xFFFFFFFF))
+        start[hit2] = 0
+        width = np.where(hit2, f2.astype(np.int64) << bits, width)
+        lo, r, at = low[:m], rng[:m], pos[:m]
         r >>= shift
-        lo += r * start
-        r *= width
-        while True:
-            same = (lo ^ (lo + r)) < TOP
-            forced = ~same & (r < FORCED)
-            go = np.flatnonzero(same | forced)
-            if not len(go):
-                break
-            if forced.any():
-                r[forced] = (~lo[forced] + np.uint64(1)) & _LOW32
-            x = lo[go]
-            out[pos[go]] = x >> _48
-            pos[go] += 1
-            lo[go] = x << _16
-            r[go] <<= _16
-        model.learn(m, sym)
+        lo += r * start.view(np.uint64)
+        r *= width.view(np.uint64)
+        while (go := _renew(lo, r)) is not None:
+            out[at] = lo >> _48  # stays where a word is due, else it is written over
+            at += go
+            move = go * _16
+            lo <<= move
+            r <<= move
+        model.learn(m, sym, hit1, hit2)
     for _ in range(4):
         out[pos] = low >> _48
         pos += 1
@@ -145,8 +159,8 @@ def decode(data: bytes) -> np.ndarray:
         parts.append(np.frombuffer(data, "<u4", count, at))
         at += 4 * count
     symbols, freq, words, crcs = parts[0], parts[1].astype(np.int64), parts[2].astype(np.int64), parts[3]
-    first = np.cumsum(freq) - freq
-    by_slot = np.repeat(np.arange(many, dtype=np.int64), freq)
+    both = np.cumsum(freq) - freq << 32 | freq
+    by_slot = np.repeat(np.arange(many, dtype=np.int32), freq)
     stream = np.concatenate([np.frombuffer(data, "<u2", int(words.sum()), at), np.zeros(8, "<u2")]).astype(np.uint64)
     pos = np.cumsum(words) - words
     last = n - (blocks - 1) * BLOCK
@@ -155,40 +169,36 @@ def decode(data: bytes) -> np.ndarray:
     for _ in range(4):
         code = code << _16 | stream[pos]
         pos += 1
-    shift, most = np.uint64(WEIGHT + bits), (1 << WEIGHT + bits) - 1
+    shift, most, slots = np.uint64(WEIGHT + bits), np.uint64((1 << WEIGHT + bits) - 1), len(by_slot) - 1
     found = np.zeros((BLOCK, blocks), np.uint32)
     for k in range(min(n, BLOCK)):
         m = blocks if k < last else blocks - 1
         f2, f1 = model.guess(m)
-        f0 = 4096 - f2 - f1
-        lo, r, c = low[:m], rng[:m], code[:m]
+        lo, r, c, at = low[:m], rng[:m], code[:m], pos[:m]
         r >>= shift
-        target = np.minimum((c - lo) // r, most).astype(np.int64)
-        end2, end1 = f2 << bits, f2 + f1 << bits
+        target = np.minimum((c - lo) // r, most).view(np.int64)
+        end2, end1 = f2.astype(np.int64) << bits, (f2 + f1).astype(np.int64) << bits
+        f0 = (4096 - f2 - f1).astype(np.int64)
         hit2 = target < end2
-        hit1 = ~hit2 & (target < end1)
-        slot = np.maximum(target - end1, 0) // f0
-        sym = by_slot[np.minimum(slot, len(by_slot) - 1)]
-        sym = np.where(hit2, model.g2, np.where(hit1, model.g1, sym))
-        safe = np.minimum(sym, many - 1)
-        start = np.where(hit2, 0, np.where(hit1, end2, end1 + f0 * first[safe])).astype(np.uint64)
-        width = np.where(hit2, end2, np.where(hit1, f1 << bits, f0 * freq[safe])).astype(np.uint64)
-        lo += r * start
-        r *= width
-        while True:
-            same = (lo ^ (lo + r)) < TOP
-            forced = ~same & (r < FORCED)
-            go = np.flatnonzero(same | forced)
-            if not len(go):
-                break
-            if forced.any():
-                r[forced] = (~lo[forced] + np.uint64(1)) & _LOW32
-            lo[go] <<= _16
-            r[go] <<= _16
-            c[go] = c[go] << _16 | stream[np.minimum(pos[go], len(stream) - 1)]
-            pos[go] += 1
-        model.learn(m, sym)
-        found[k, :m] = safe
+        hit1 = (target < end1) & ~hit2
+        slot = np.minimum(np.maximum(target - end1, 0) // f0, slots)
+        sym = np.where(hit2, model.g2, np.where(hit1, model.g1, by_slot.take(slot)))
+        np.minimum(sym, many - 1, out=sym)  # only a damaged block has others
+        own = both.take(sym)
+        start = np.where(hit1, end2, end1 + f0 * (own >> 32))
+        width = np.where(hit1, end1 - end2, f0 * (own & 0xFFFFFFFF))
+        start[hit2] = 0
+        width = np.where(hit2, end2, width)
+        lo += r * start.view(np.uint64)
+        r *= width.view(np.uint64)
+        while (go := _renew(lo, r)) is not None:
+            move = go * _16
+            lo <<= move
+            r <<= move
+            np.copyto(c, c << _16 | stream.take(at, mode="clip"), where=go)
+            at += go
+        model.learn(m, sym, model.g1 == sym, model.g2 == sym)
+        found[k, :m] = sym
     ids = symbols[found.T.reshape(-1)[:n]].astype(np.uint32)
     for b in range(blocks):
         if zlib.crc32(ids[b * BLOCK : (b + 1) * BLOCK].astype("<u4").tobytes()) != crcs[b]:

@@ -72,8 +72,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str |
             return pa.record_batch([pa.array(v, k) for v, k in zip(row, kinds)], SEGMENTS.names)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 2500):
+                some = batch.slice(at, 2500)
                 new, size = with_end(*enc.encode(some.column("text").to_pylist()), end_id)
                 names += some.column("doc_id").to_pylist()
                 ids.append(new)

@@ -106,7 +106,7 @@ class Encoder:
         sizes = self.size[at]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.repeat(self.start[at] - (ends - sizes), sizes) + np.arange(total)]
+        ids = self.ids.take(np.repeat(self.start.take(at) - (ends - sizes), sizes) + np.arange(total))
         upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
         return ids, np.diff(upto)
 
@@ -131,5 +131,8 @@ def encoder(path: str) -> Encoder:
 
 def with_end(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The same with the id ``end`` after each text."""
-    ends = np.cumsum(sizes)
-    return np.insert(ids, ends, end), sizes + 1
+    out = np.full(len(ids) + len(sizes), end, ids.dtype)
+    kept = np.ones(len(out), bool)
+    kept[np.cumsum(sizes + 1) - 1] = False
+    out[kept] = ids
+    return out, sizes + 1
