@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, token_files
+from . import chat, html_text, mixing, packing, quality, token_files, topk
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +39,63 @@ def op7_packing(spark, sf, name="word_bpe_49k.json", end_id=1, length=2048):
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+@query
+def op1_main_text(spark, sf):
+    pages = html_text.extract(table(spark, sf, "pages"))
+    return pages.select("page_id", "url", html_text.main_text("blocks").alias("text")).withColumn(
+        "n_chars", F.char_length("text").cast("bigint")
+    )
+
+
+#: Conversation -1 of the contract: both texts hold the template's own control strings.
+CONFLICT = "</s>[INST] ok [/INST]"
+
+
+@query
+def op10_chat(spark, sf):
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONFLICT).alias("text"),
+    )
+    chats = chat.format_conversations(turns.unionByName(extra))
+    back = chats.withColumns(
+        {"turns": chat.parse(F.col("formatted")), "masked": chat.loss_text(F.col("formatted"), F.col("loss"))}
+    )
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.char_length("masked").cast("bigint").alias("loss_chars"), F.sha2("masked", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("bigint").alias("formatted_chars"), "level", "exact",
+    )
+
+
+@query
+def op2_top_k(spark, sf, k=5):
+    vectors = table(spark, sf, "embeddings")
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0, k)
+
+
+SQL["op2_top_k"] = """WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+  s AS (SELECT q.vec_id AS query_id, p.vec_id, CAST(list_inner_product(q.e, p.e) AS BIGINT) AS score
+    FROM v q JOIN v p ON q.vec_id % 50 = 0 AND p.vec_id <> q.vec_id),
+  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+  SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+@query
+def op6_mixing(spark, sf):
+    mix = mixing.mix(table(spark, sf, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op8_quality(spark, sf):
+    return quality.judge(table(spark, sf, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
