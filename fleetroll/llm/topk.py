@@ -114,10 +114,10 @@ def search_cell(queries: pa.Table, vectors: pa.Table, k: int) -> tuple[np.ndarra
                 c = unit_q[i, f]
                 spread = np.sqrt(np.maximum((1 - t * t) * (1 - c * c), 0)) + SLACK
                 # a cosine of t or more keeps the other's coordinate within t * c +- spread, or beyond it towards c
-                low = np.where(c > t, 2.0, c * t + spread)
-                high = np.where(c < -t, -2.0, c * t - spread)
+                upper = np.where(c > t, 2.0, c * t + spread)
+                lower = np.where(c < -t, -2.0, c * t - spread)
                 x = unit[:, f]
-                cand = np.flatnonzero(((x <= np.maximum(low, -2)) & (x >= np.minimum(high, 2))).all(axis=1))
+                cand = np.flatnonzero(((x <= upper) & (x >= lower)).all(axis=1))
                 if len(cand):
                     score = _scores(run[cand] @ q[i])
                     best.add(np.full(len(cand), i), names[cand], score)
@@ -143,14 +143,17 @@ def _found(cells: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
         return pa.table(dict(zip(("query_id", "vec_id", "score"), columns)))
 
     keys = ("bucket", "block")
+    vectors = vectors.toDF(*vectors.columns)  # both sides come from one table: names of their own
     return cells.groupBy(*keys).cogroup(vectors.groupBy(*keys)).applyInArrow(search, FOUND)
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> DataFrame:
+def top_k(
+    vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, bucket_rows: int = BUCKET_ROWS
+) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k best rows, ties to the smaller vec_id."""
     rows = saved(quantised(vectors, scale), "vectors")
     n, n_queries = rows.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1))).first()
-    buckets, blocks = max(1, -(-n // BUCKET_ROWS)), max(1, -(-n_queries // BLOCK_ROWS))
+    buckets, blocks = max(1, -(-n // bucket_rows)), max(1, -(-n_queries // BLOCK_ROWS))
     # Buckets by length; vec_id parts rows of equal length. Partition numbers rise with length.
     rows = rows.repartitionByRange(buckets, "norm", "vec_id").withColumn("bucket", F.spark_partition_id())
     rows = saved(rows, "buckets")
