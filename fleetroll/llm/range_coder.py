@@ -68,7 +68,7 @@ class _Model:
         self.j1, self.j2 = self.l1 + self.four[:m], self.l2 + self.four[:m]
         self.w1, self.w2 = self.a1.take(self.j1), self.a2.take(self.j2)
         f2 = self.w2 >> 4
-        return f2, (4096 - f2) * (self.w1 >> 4) >> 12
+        return f2, np.maximum((4096 - f2) * (self.w1 >> 4) >> 12, 1)
 
     def learn(self, m: int, sym: np.ndarray, hit1: np.ndarray, hit2: np.ndarray) -> None:
         fresh = sym << 2

@@ -18,7 +18,7 @@ UNUSUAL = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\
 #: Its lower case depends on the place in the word for str.lower() only.
 SIGMA = "\u03a3"
 #: The cache starts anew beyond this many ids; it only saves time.
-CACHE_IDS = 8_000_000
+CACHE_IDS = 3_000_000
 #: Words that go to the tokenizer as one string, with the text of a special token between them.
 JOINED = 2000
 
