@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from .common import WORD, part_starts, saved
 
-BITS, LEVELS = 15, 4
+BITS, LEVELS = 12, 5
 MOST_REPEATS = 3
 
 

@@ -16,8 +16,8 @@ import zlib
 import numpy as np
 
 MAGIC = b"FRT2"
-BLOCK = 1024
-SLOTS = 1024
+BLOCK = 512
+SLOTS = 512
 WEIGHT = 12  # bits of the mixture's weights
 TOP, FORCED = np.uint64(1 << 48), np.uint64(1 << 32)
 _16, _32, _48 = np.uint64(16), np.uint64(32), np.uint64(48)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 from unicodedata import is_normalized
 
 import numpy as np
@@ -17,10 +18,10 @@ import numpy as np
 UNUSUAL = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u3000\ufeff]")
 #: Its lower case depends on the place in the word for str.lower() only.
 SIGMA = "\u03a3"
+#: Signs that often end a word; after letters each is a part of its own.
+MARKS = frozenset(".,;:!?")
 #: The cache starts anew beyond this many ids; it only saves time.
 CACHE_IDS = 3_000_000
-#: Words that go to the tokenizer as one string, with the text of a special token between them.
-JOINED = 2000
 
 
 class _Index(dict):
@@ -40,15 +41,24 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.joiner = Tokenizer.from_file(path)
-        special = {i: t for i, t in self.joiner.get_added_tokens_decoder().items() if t.special and not t.normalized}
-        self.split_id, token = max(special.items(), default=(None, None))
-        self.split_text = token and token.content
         steps = str(self.tokenizer.normalizer)
-        self.lowered = "NFC" in steps and "Lowercase" in steps  # then words may be lower-cased before they are looked up
+        # Then texts are lower-cased here, and their words need no other normalisation.
+        self.lowered = steps.count("(") <= 5 and all(x in steps for x in ("NFC", "Replace", "Lowercase"))
+        self.words = Tokenizer.from_file(path)
+        self.words.encode_special_tokens = True
+        if self.lowered:
+            self.words.normalizer = None
+        # Words of letters are one part each for this splitting rule, and go to the merges as they are.
+        rule = str(self.tokenizer.pre_tokenizer)
+        self.by_letters = self.lowered and r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" in rule
+        self.letters = Tokenizer.from_file(path)
+        self.letters.encode_special_tokens = True
+        self.letters.normalizer = None
+        self.letters.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
         self._clear()
 
     def _clear(self) -> None:
@@ -59,54 +69,73 @@ class Encoder:
         self.used = 0
 
     def _learn(self) -> None:
-        new, self.index.new = self.index.new, []
+        """Encodes the new words. A word of letters with one mark after it is put together from the two."""
+        new = self.index.new
         if not new:
             return
         first = len(self.index) - len(new)
-        sizes, flat = self._each(new)
-        total = len(flat)
-        self.ids = _room(self.ids, self.used + total)
-        self.start, self.size = _room(self.start, first + len(new)), _room(self.size, first + len(new))
-        self.ids[self.used : self.used + total] = flat
-        self.start[first : first + len(new)] = self.used + np.cumsum(sizes) - sizes
-        self.size[first : first + len(new)] = sizes
-        self.used += total
-
-    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Sizes and ids of the words. Joining them saves the tokenizer's cost per string."""
-        if self.split_text and len(words) > 1 and not any(self.split_text[:2] in w for w in words):
-            strings = [self.split_text.join(words[k : k + JOINED]) for k in range(0, len(words), JOINED)]
-            found = [np.array(e.ids, np.uint32) for e in self.joiner.encode_batch_fast(strings, add_special_tokens=False)]
-            ids = np.concatenate([np.append(x, np.uint32(self.split_id)) for x in found])
-            ends = np.flatnonzero(ids == self.split_id)
-            if len(ends) == len(words):
-                return np.diff(ends, prepend=-1) - 1, ids[ids != self.split_id]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        return sizes, np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))
+        alone: list[int] = []
+        others: list[int] = []
+        whole: list[int] = []
+        pairs: list[tuple[int, int, int]] = []
+        for k, word in enumerate(new):  # grows while it runs
+            if isinstance(word, tuple):
+                whole.append(k)
+            elif self.by_letters and word.isalpha():
+                alone.append(k)
+            elif self.by_letters and word[-1] in MARKS and word[:-1].isalpha():
+                pairs.append((k, self.index[word[:-1]], self.index[word[-1]]))
+            else:
+                others.append(k)
+        self.index.new = []
+        self.start, self.size = _room(self.start, len(self.index)), _room(self.size, len(self.index))
+        self._store(first, alone, self.letters, [new[k] for k in alone])
+        self._store(first, others, self.words, [new[k] for k in others])
+        self._store(first, whole, self.tokenizer, [new[k][0] for k in whole])
+        if pairs:
+            at, left, right = np.array(pairs, np.int64).T
+            both = np.stack([left, right], axis=1).reshape(-1)
+            sizes = self.size[left] + self.size[right]
+            self._append(first + at, sizes, self._gather(both))
+
+    def _store(self, first: int, at: list[int], tokenizer, words: list[str]) -> None:
+        if words:
+            found = [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+            self._append(first + np.array(at, np.int64), sizes, flat)
+
+    def _append(self, at: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> None:
+        self.ids = _room(self.ids, self.used + len(flat))
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.start[at] = self.used + np.cumsum(sizes) - sizes
+        self.size[at] = sizes
+        self.used += len(flat)
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
+        sizes = self.size.take(at)
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids.take(np.repeat(self.start.take(at) - (ends - sizes), sizes) + np.arange(total))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and how many each text has. Null is the empty text."""
         if self.used > CACHE_IDS:
             self._clear()
-        words: list[str] = []
+        words: list[str | tuple[str]] = []
         counts = np.empty(len(texts), np.int64)
         for k, text in enumerate(texts):
             before = len(words)
             if text:
-                if UNUSUAL.search(text):
-                    words.append(text)
-                elif self.lowered and SIGMA not in text and is_normalized("NFC", text):
-                    words.extend(text.lower().split())
+                if UNUSUAL.search(text) or self.lowered and (SIGMA in text or not is_normalized("NFC", text)):
+                    words.append((text,))  # whole
                 else:
-                    words.extend(text.split())
+                    words.extend((text.lower() if self.lowered else text).split())
             counts[k] = len(words) - before
         at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         self._learn()
-        sizes = self.size[at]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids.take(np.repeat(self.start.take(at) - (ends - sizes), sizes) + np.arange(total))
+        ids = self._gather(at)
+        ends = np.cumsum(self.size.take(at))
         upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
         return ids, np.diff(upto)
 
