@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_text, mixing, near_dup, packing, quality, token_files, topk
+from . import chat, html_text, mixing, near_dup, packing, quality, repeats, token_files, topk
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,9 @@ SQL["op9_near_dup"] = r"""WITH RECURSIVE d AS (
   SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.t, d.doc_id)) AS component_id,
     d.doc_id = least(d.doc_id, coalesce(m.t, d.doc_id)) AS kept
   FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"""
+
+
+@query
+def op4_repeats(spark, sf, length=200):
+    cleaned = repeats.remove_repeats(table(spark, sf, "documents"), length)
+    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
