@@ -189,7 +189,10 @@ def _cell_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def link(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document."""
+    """uid, doc_id, n_shingles, component, component_id, kept of every document.
+
+    ``component`` is a uid that all rows of a component share; null for texts without shingles.
+    """
     rows = numbered(docs, F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = saved(signatures(rows, width), "signatures")
     classes = saved(
@@ -229,9 +232,9 @@ def link(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     grouped = classes.join(labels, F.col("class") == F.col("node"), "left")
     grouped = grouped.withColumn("label", F.coalesce("label", "class"))
     least = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
-    grouped = grouped.join(least, "label").select("n", "f1", "f2", "component_id")
-    out = signed.select("doc_id", "n", "f1", "f2").join(grouped, ["n", "f1", "f2"], "left")
+    grouped = grouped.join(least, "label").select("n", "f1", "f2", "label", "component_id")
+    out = signed.select("uid", "doc_id", "n", "f1", "f2").join(grouped, ["n", "f1", "f2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
-    )
+    return out.select(
+        "uid", "doc_id", F.col("n").alias("n_shingles"), F.col("label").alias("component"), component.alias("component_id")
+    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_text, mixing, near_dup, packing, quality, repeats, token_files, topk
+from . import chat, html_text, languages, mixing, near_dup, packing, quality, repeats, token_files, topk
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,7 +103,9 @@ def op8_quality(spark, sf):
 
 @query
 def op9_near_dup(spark, sf, width=4, percent=80):
-    return near_dup.link(table(spark, sf, "documents"), width, percent)
+    return near_dup.link(table(spark, sf, "documents"), width, percent).select(
+        "doc_id", "n_shingles", "component_id", "kept"
+    )
 
 
 SQL["op9_near_dup"] = r"""WITH RECURSIVE d AS (
@@ -123,5 +125,15 @@ SQL["op9_near_dup"] = r"""WITH RECURSIVE d AS (
 
 @query
 def op4_repeats(spark, sf, length=200):
-    cleaned = repeats.remove_repeats(table(spark, sf, "documents"), length)
-    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    cleaned = repeats.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"), length)
+    return cleaned.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op5_language(spark, sf, most=languages.MOST_TRAINING):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    langs, model = languages.train(docs.where(~languages.held_out()), most)
+    found = languages.predict(docs.select("doc_id", "text"), langs, model)
+    return found.select("row.doc_id", "lang_pred", "score").select(
+        "doc_id", languages.held_out().alias("held_out"), "lang_pred", "score"
+    )

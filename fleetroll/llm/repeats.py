@@ -41,10 +41,10 @@ def gram_hashes(data: np.ndarray, size: int = GRAM) -> np.ndarray:
     h = np.zeros(len(data) + size, np.uint64)
     h[: len(data)] = data
     h += np.uint64(1)
-    times, width = _TIMES, 1
+    times, width = int(_TIMES), 1
     while width < size:
-        h[:-width] = h[:-width] * times + h[width:]
-        times, width = times * times, 2 * width
+        h[:-width] = h[:-width] * np.uint64(times) + h[width:]
+        times, width = times * times & (1 << 64) - 1, 2 * width
     return mixed(h[: len(data)])
 
 
@@ -293,8 +293,8 @@ def _by_windows(different: DataFrame, length: int) -> DataFrame:
 
 
 def covered(docs: DataFrame, length: int = 200, most_contexts: int = MOST_CONTEXTS) -> tuple[DataFrame, DataFrame]:
-    """Rows with uid, doc_id, text; and uid with ``spans``, places (from, to) in bytes that repeated passages cover."""
-    rows = numbered(docs, F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """Rows with uid, row (the input's columns), text; and uid with ``spans``, places (from, to) in bytes of repeated passages."""
+    rows = numbered(docs, F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
     found = saved(find_anchors(rows.select("uid", "text"), length), "anchors")
     again = found.groupBy("key").count().where("count > 1").select("key")
     places = found.join(again, "key", "left_semi")
@@ -324,7 +324,9 @@ def covered(docs: DataFrame, length: int = 200, most_contexts: int = MOST_CONTEX
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, as_text: bool = False, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
-    """uid, doc_id, n_bytes, n_removed, n_spans and the bytes that stay: every byte that a repeated passage covers is gone.
+    """row, n_bytes, n_removed, n_spans, kept: the bytes that stay when all that repeated passages cover is gone.
+
+    ``row`` has the input's columns but its text.
 
     ``as_text`` gives them as a string; bytes of a character that lost others of its bytes are left out there.
     """
@@ -353,11 +355,11 @@ def remove_repeats(docs: DataFrame, length: int = 200, as_text: bool = False, mo
                     kept.append(left.decode(errors="ignore") if as_text else left)
                     counts.append((len(data), removed, runs))
                 numbers = np.array(counts, np.int64).reshape(-1, 3)
-                columns = [some.column("uid"), some.column("doc_id"), *[pa.array(c) for c in numbers.T]]
+                columns = [some.column("row"), *[pa.array(c) for c in numbers.T]]
                 columns.append(pa.array(kept, pa.string() if as_text else pa.binary()))
-                yield pa.record_batch(columns, ["uid", "doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                yield pa.record_batch(columns, ["row", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    kind = "string" if as_text else "binary"
-    return rows.join(spans, "uid", "left").select("uid", "doc_id", "text", "spans").mapInArrow(
-        run, f"uid bigint, doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept {kind}"
-    )
+    rows = rows.withColumn("row", F.col("row").dropFields("text")).join(spans, "uid", "left").select("row", "text", "spans")
+    kind = rows.schema["row"].dataType.simpleString()
+    kept_kind = "string" if as_text else "binary"
+    return rows.mapInArrow(run, f"row {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept {kept_kind}")
