@@ -5,9 +5,10 @@ class, ``HASHES`` MinHash samples give ``BANDS`` band keys, and are folded into
 toggles one bit. Where two sketches differ tells how many samples differ, closely so for similar sets.
 
 Links are found in two steps that never write out the pairs of a bucket. First each class of a band bucket is compared with
-the bucket's smallest class: sizes, then sketches, then the full sets. The links give components. Second, buckets that still
-hold several components compare those of their classes that lie in different ones, in cells of bounded size. Pairs inside one
-component need no check, as they can't change it.
+the bucket's smallest class: sizes, then sketches, then the full sets. The links give components. Second, the classes of one
+bucket that lie in different components are compared, in cells of bounded size: first by sketches, which gives clusters of
+components that may be linked, then by full sets inside the clusters. A cell returns only the pairs that join its components.
+Pairs inside one component need no check, as they can't change it.
 
 Two sets of similarity J share a band with probability 1 - (1 - J**4)**32: all but 5 in 10**8 pairs at 0.8. The sketch bound lies
 five standard deviations under the wanted similarity.
@@ -35,8 +36,8 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 BITS = 512
 WORDS64 = BITS // 64
-#: Rows of a bucket that meet as many others in one cell.
-CELL = 1024
+#: Rows of a bucket or cluster that meet as many others in one cell.
+CELL = 512
 
 _random = np.random.default_rng(20240229)
 _TIMES = (_random.integers(0, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -140,52 +141,109 @@ def _star_pairs(members: DataFrame, leaders: DataFrame, sketches: DataFrame, per
     return pairs.where(near).select("a", "b")
 
 
-def _cell_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of one cell in different components, where sizes and sketches allow a link. Rows: key, i, j, part, uid, label, n, s*."""
+def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The sorted rows of a partition, a table per key."""
+    held: list[pa.RecordBatch] = []
+    name = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.stack([batch.column(c).to_numpy() for c in keys], axis=1)
+        edges = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1).tolist(), len(values)]
+        for x, y in zip(edges, edges[1:]):
+            if held and tuple(values[x]) != name:
+                yield pa.Table.from_batches(held)
+                held = []
+            name = tuple(values[x])
+            held.append(batch.slice(x, y - x))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _joins(cell: pa.Table, percent: int, exact: bool) -> tuple[list[int], list[int]]:
+    """Rows of a cell that join two of its components: as few pairs as tell which of them are linked.
+
+    ``exact`` compares the full sets of what sizes and sketches allow, else those two decide.
+    """
     most = most_differing(percent / 100)
-
-    def pairs(cell: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        part, uid, label, n = cell[:4]
-        bits = np.stack(cell[4:], axis=1)
-        own = bool((part == part[0]).all())  # a cell of one part with itself
-        left = np.flatnonzero(part == part.min())
-        right = left if own else np.flatnonzero(part != part.min())
-        a, b = [], []
-        for k in left.tolist():
-            some = right[right > k] if own else right
-            some = some[label[some] != label[k]]
-            some = some[100 * np.minimum(n[some], n[k]) >= percent * np.maximum(n[some], n[k])]
-            near = some[np.bitwise_count((bits[some] ^ bits[k]).view(np.uint64)).sum(axis=1) <= most] if len(some) else some
-            a.append(np.minimum(uid[near], uid[k]))
-            b.append(np.maximum(uid[near], uid[k]))
-        return np.concatenate(a), np.concatenate(b)
+    part, root, n = (cell.column(c).to_numpy() for c in ("part", "label", "n"))
+    root = root.copy()
+    bits = np.stack([cell.column(c).to_numpy() for c in SKETCH], axis=1).view(np.uint64)
+    sets = [np.frombuffer(x, np.uint64) for x in cell.column("set").to_pylist()] if exact else []
+    left = np.flatnonzero(part == part.min())
+    own = len(left) == len(part)  # a cell of one part with itself
+    right = left if own else np.flatnonzero(part != part.min())
+    a, b = [], []
+    for k in left.tolist():
+        some = right[right > k] if own else right
+        some = some[(root[some] != root[k]) & (100 * np.minimum(n[some], n[k]) >= percent * np.maximum(n[some], n[k]))]
+        if len(some):
+            some = some[np.bitwise_count(bits[some] ^ bits[k]).sum(axis=1) <= most]
+        if len(some) and exact:
+            flat = np.concatenate([sets[x] for x in some.tolist()])
+            hit = sets[k][np.minimum(np.searchsorted(sets[k], flat), len(sets[k]) - 1)] == flat
+            both = np.add.reduceat(hit.astype(np.int64), np.cumsum(n[some]) - n[some])
+            some = some[100 * both >= percent * (n[some] + n[k] - both)]
+        for x in some.tolist():
+            if root[x] != root[k]:
+                a.append(k), b.append(x)
+                root[root == root[x]] = root[k]
+    return a, b
+
+
+def _celled(rows: DataFrame, group: str, size: str, percent: int, exact: bool, out: str) -> DataFrame:
+    """Pairs (a, b) of values of ``out`` that join components of one ``group``, from cells of at most two parts of it."""
+    keys = (group, "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["part", "uid", "label", "n", *SKETCH]
-        held: list[list[np.ndarray]] = []
-        name = None
+        for cell in _runs(batches, keys):
+            a, b = _joins(cell, percent, exact)
+            named = cell.column(out).to_numpy()
+            yield pa.record_batch([pa.array(named[np.array(x, np.int64)], pa.int64()) for x in (a, b)], ["a", "b"])
+
+    parts = F.ceil(F.col(size) / CELL).cast("int")
+    rows = rows.withColumns({"parts": parts, "part": F.pmod(F.xxhash64("uid"), parts).cast("int")})
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
+    kept = ["part", "uid", "label", "n", *SKETCH, *(["set"] if exact else [])]
+    return rows.select(*keys, *kept).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint")
 
-        def flush() -> pa.RecordBatch:
-            a, b = pairs([np.concatenate(x) for x in zip(*held)])
-            held.clear()
-            return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
+def _sets(rows: DataFrame, width: int) -> DataFrame:
+    """Rows (..., text) with the text's set instead, as sorted 64-bit numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
-            if not len(keys):
-                continue
-            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-            columns = [batch.column(c).to_numpy() for c in names]
-            for x, y in zip(edges, edges[1:]):
-                if name is not None and tuple(keys[x]) != name and held:
-                    yield flush()
-                name = tuple(keys[x])
-                held.append([c[x:y] for c in columns])
-        if held:
-            yield flush()
-
-    cells = ("key", "i", "j")
-    return rows.repartition(*cells).sortWithinPartitions(*cells).mapInArrow(run, "a bigint, b bigint")
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                found = [x.tobytes() for x in shingle_sets(some.column("text").to_pylist(), width)]
+                some = some.drop_columns(["text"])
+                yield some.append_column("set", pa.array(found, pa.binary()))
+
+    schema = T.StructType([f for f in rows.schema if f.name != "text"] + [T.StructField("set", T.BinaryType())])
+    return rows.mapInArrow(run, schema)
+
+
+def _across(members: DataFrame, buckets: DataFrame, sketches: DataFrame, texts: DataFrame, labels: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between components that no leader showed.
+
+    First the sketches tell, bucket by bucket, which components may be linked at all; of their pairs only as many come out as
+    hold them together. Components held together so form a cluster, in which the full sets of different components meet.
+    """
+    joined = members.join(buckets.where("count > 2").select("key", "count"), "key")
+    joined = joined.join(labels, F.col("uid") == F.col("node"), "left")
+    joined = saved(joined.select("key", "count", "uid", F.coalesce("label", "uid").alias("label")), "large")
+    several = joined.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    rows = joined.join(several, "key", "left_semi").join(sketches, "uid")
+    touching = saved(_celled(rows, "key", "count", percent, False, "label").distinct(), "touching")
+    if touching.isEmpty():
+        return touching
+    clusters = components(touching).select(F.col("node").alias("label"), F.col("label").alias("cluster"))
+    rows = sketches.join(labels, F.col("uid") == F.col("node"), "left").drop("node")
+    rows = rows.withColumn("label", F.coalesce("label", "uid")).join(clusters, "label").join(texts, "uid")
+    rows = saved(_sets(rows, width), "sets")
+    sizes = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    return saved(_celled(rows.join(sizes, "cluster"), "cluster", "size", percent, True, "uid").distinct(), "across")
 
 
 def link(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
@@ -211,23 +269,9 @@ def link(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     tried = saved(_star_pairs(members, buckets.select("key", "leader"), sketches, percent), "pairs")
     links = saved(_verified(tried, texts, width, percent), "links")
     labels = components(links)
-    if not tried.isEmpty():
-        # Of buckets with two classes the one pair is known by now.
-        large = members.join(buckets.where("count > 2").select("key", "count"), "key").join(labels, F.col("uid") == F.col("node"), "left")
-        large = saved(large.select("key", "count", "uid", F.coalesce("label", "uid").alias("label")), "large")
-        mixed_keys = large.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-        parts = F.ceil(F.col("count") / CELL).cast("int")
-        cut = large.join(mixed_keys, "key", "left_semi").join(sketches, "uid")
-        cut = cut.withColumns({"parts": parts, "part": F.pmod(F.xxhash64("uid"), parts).cast("int")})
-        cells = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-        cut = cut.select("key", "uid", "label", "n", "part", *SKETCH, cells)
-        cut = cut.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
-        more = _cell_pairs(cut.select("key", "i", "j", "part", "uid", "label", "n", *SKETCH), percent)
-        more = saved(more.distinct().join(tried, ["a", "b"], "left_anti"), "more")
-        if not more.isEmpty():
-            late = saved(_verified(more, texts, width, percent), "late")
-            if not late.isEmpty():
-                labels = components(saved(links.unionByName(late), "all-links"))
+    across = _across(members, buckets, sketches, texts, labels, width, percent)
+    if not across.isEmpty():
+        labels = components(saved(links.unionByName(across), "all-links"))
 
     grouped = classes.join(labels, F.col("class") == F.col("node"), "left")
     grouped = grouped.withColumn("label", F.coalesce("label", "class"))
