@@ -32,7 +32,7 @@ from .shingles import mixed
 GRAM = 32
 MOST_CONTEXTS = 20_000
 #: Contexts that a task scans at once, and bytes of text whose anchors it finds at once.
-SCANNED, SLICE = 20_000, 1 << 20
+SCANNED, SLICE = 5_000, 1 << 19
 _TIMES = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -59,12 +59,10 @@ def _sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
     return pick(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def anchors(coded: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, place, gram hash) of all anchors."""
+def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, gram hash) of all anchors of texts that stand one after the other in ``data``."""
     steps = length - GRAM + 1
-    sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-    ends = np.cumsum(sizes)
-    data = np.frombuffer(b"".join(coded), np.uint8)
+    sizes = np.diff(ends, prepend=0)
     if len(data) < length:
         return (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64))
     h = gram_hashes(data)
@@ -86,16 +84,16 @@ def anchors(coded: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np
 def find_anchors(rows: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            uids = batch.column("uid").to_numpy()
-            coded = [t.encode() if t else b"" for t in batch.column("text").to_pylist()]
+            uids, text = batch.column("uid").to_numpy(), batch.column("text").cast(pa.large_string())
+            _, offsets, data = text.buffers()
+            at = np.frombuffer(offsets, np.int64)[text.offset : text.offset + len(text) + 1]
+            data = np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)
             begin = 0
-            while begin < len(coded):
-                end, held = begin, 0
-                while end < len(coded) and (held < SLICE or end == begin):
-                    held += len(coded[end])
-                    end += 1
-                text, place, key = anchors(coded[begin:end], length)
-                columns = [pa.array(uids[begin:end][text]), pa.array(place), pa.array(key.view(np.int64))]
+            while begin < len(uids):
+                end = max(begin + 1, int(np.searchsorted(at, at[begin] + SLICE, "left")))
+                end = min(end, len(uids))
+                own, place, key = anchors(data[at[begin] : at[end]], at[begin + 1 : end + 1] - at[begin], length)
+                columns = [pa.array(uids[begin:end][own]), pa.array(place), pa.array(key.view(np.int64))]
                 yield pa.record_batch(columns, ["uid", "place", "key"])
                 begin = end
 
@@ -167,13 +165,9 @@ def maximal_repeats(
     back, n = length - GRAM, len(keys)
     sizes = np.fromiter(map(len, found), np.int64, n)
     after = sizes - before
-    flat = np.frombuffer(b"".join(found), np.uint8)
-    text = np.repeat(np.arange(n), sizes)
-    at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes + before, sizes)
-    right, left = np.zeros((n, length), np.uint8), np.zeros((n, back), np.uint8)
-    ahead = at >= 0
-    right[text[ahead], at[ahead]] = flat[ahead]
-    left[text[~ahead], -1 - at[~ahead]] = flat[~ahead]
+    halves = list(zip(found, before.tolist()))
+    right = np.frombuffer(b"".join([c[p:].ljust(length, b"\0") for c, p in halves]), np.uint8).reshape(n, length)
+    left = np.frombuffer(b"".join([c[:p][::-1].ljust(back, b"\0") for c, p in halves]), np.uint8).reshape(n, back)
     order = _sorted_rows(right)
     order = order[np.argsort(keys[order], kind="stable")]
     keys, right, left, before, after = keys[order], right[order], left[order], before[order], after[order]
