@@ -154,109 +154,151 @@ def _sorted_rows(a: np.ndarray) -> np.ndarray:
     return np.argsort(np.ascontiguousarray(a).view(f"S{a.shape[1]}").reshape(-1), kind="stable")
 
 
-def maximal_repeats(
-    keys: np.ndarray, before: np.ndarray, found: list[bytes], length: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(group, context, from, to): maximal repeats of at least ``length`` bytes through the anchors of different contexts.
+class Contexts:
+    """Contexts in the order of the bytes from their anchors on, and what neighbours share after and before the anchor.
 
-    Contexts with one key stand side by side. A group's number is the place of its first member. ``from`` and ``to`` count from
-    the anchor.
+    Contexts with one key stand side by side; neighbours of two keys share nothing.
     """
-    back, n = length - GRAM, len(keys)
-    sizes = np.fromiter(map(len, found), np.int64, n)
-    after = sizes - before
-    halves = list(zip(found, before.tolist()))
-    right = np.frombuffer(b"".join([c[p:].ljust(length, b"\0") for c, p in halves]), np.uint8).reshape(n, length)
-    left = np.frombuffer(b"".join([c[:p][::-1].ljust(back, b"\0") for c, p in halves]), np.uint8).reshape(n, back)
-    order = _sorted_rows(right)
-    order = order[np.argsort(keys[order], kind="stable")]
-    keys, right, left, before, after = keys[order], right[order], left[order], before[order], after[order]
-    prefix = _common(right[1:], right[:-1], np.minimum(after[1:], after[:-1]))
-    prefix[keys[1:] != keys[:-1]] = -1
-    edges = np.concatenate([[0], np.flatnonzero(prefix < 0) + 1, [n]])
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-    # Two contexts: one string, from what they share before to what they share after.
-    two = edges[:-1][np.diff(edges) == 2]
-    shared = _common(left[two], left[two + 1], np.minimum(before[two], before[two + 1]))
-    long = shared + prefix[two] >= length
-    two, shared = two[long], shared[long]
-    for side in (0, 1):
-        out.append((two, two + side, -shared, prefix[two]))
-    groups = n
-    for first, last in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        if last - first < 3:
-            continue
-        own = prefix[first : last - 1]
-        by_left = _sorted_rows(left[first:last])
-        rank = np.empty(last - first, np.int64)
-        rank[by_left] = np.arange(last - first)
-        for ahead_by, a, b in intervals(own.tolist(), max(GRAM, 1)):
-            members = a + np.argsort(rank[a : b + 1], kind="stable")
-            rows = first + members
-            same = _common(left[rows[1:]], left[rows[:-1]], np.minimum(before[rows[1:]], before[rows[:-1]]))
-            for behind, x, y in intervals(same.tolist(), length - ahead_by):
-                # What comes before differs among the members by being an interval; what follows has to differ as well,
-                # else the string goes on and a deeper interval has it.
-                some = members[x : y + 1]
-                if own[some.min() : some.max()].min() > ahead_by:
-                    continue
-                size = len(some)
-                out.append((np.full(size, groups), first + some, np.full(size, -behind), np.full(size, ahead_by)))
-                groups += 1
-    group, member, begin, end = (np.concatenate(x).astype(np.int64) for x in zip(*out))
-    return group, order[member], begin, end
-
 
-def repeat_groups(different: DataFrame, length: int) -> DataFrame:
-    """key, hash, group, from, to: the maximal repeats through every context (key, before, context, count, hash).
-
-    A repeat longer than a context appears as several groups, one for each of its anchors.
+    def __init__(self, keys: np.ndarray, before: np.ndarray, found: list[bytes], length: int):
+        back, n = length - GRAM, len(keys)
+        after = np.fromiter(map(len, found), np.int64, n) - before
+        halves = list(zip(found, before.tolist()))
+        right = np.frombuffer(b"".join([c[p:].ljust(length, b"\0") for c, p in halves]), np.uint8).reshape(n, length)
+        left = np.frombuffer(b"".join([c[:p][::-1].ljust(back, b"\0") for c, p in halves]), np.uint8).reshape(n, back)
+        order = _sorted_rows(right)
+        self.order = order = order[np.argsort(keys[order], kind="stable")]
+        keys, right, after = keys[order], right[order], after[order]
+        self.left, self.before, self.length, self.back = left[order], before[order], length, back
+        self.prefix = _common(right[1:], right[:-1], np.minimum(after[1:], after[:-1]))
+        self.prefix[keys[1:] != keys[:-1]] = -1
+        rows = np.arange(n)
+        self.behind = self.shared_before(rows[1:], rows[:-1])
+        self.nodes = np.array(intervals(self.prefix.tolist(), GRAM), np.int64).reshape(-1, 3)
+
+    def shared_before(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return _common(self.left[a], self.left[b], np.minimum(self.before[a], self.before[b]))
+
+    def by_left(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """The members of an interval sorted by the bytes before the anchor, backwards, and what neighbours share there."""
+        rows = first + _sorted_rows(self.left[first : last + 1])
+        return rows, self.shared_before(rows[1:], rows[:-1])
+
+
+def maximal_repeats(c: Contexts) -> Iterator[tuple[np.ndarray, int, int]]:
+    """(members, bytes before, bytes after the anchor) of all maximal repeats, as places in ``c.order``."""
+    for ahead, first, last in c.nodes.tolist():
+        rows, same = c.by_left(first, last)
+        for behind, x, y in intervals(same.tolist(), c.length - ahead):
+            # What comes before differs among the members by being an interval; what follows has to differ as well, else
+            # the string goes on and a deeper interval has it.
+            some = rows[x : y + 1]
+            if c.prefix[some.min() : some.max()].min() == ahead:
+                yield some, behind, ahead
+
+
+def extents(c: Contexts) -> tuple[np.ndarray, np.ndarray]:
+    """For every context, as given, the most bytes before and after its anchor that one of its maximal repeats holds.
+
+    In an interval, the innermost left interval around a member is the widest of its repeats there, and it is that of a
+    neighbour; so the nested groups' members need not be written out.
     """
+    before, after = np.zeros(len(c.order), np.int64), np.zeros(len(c.order), np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        names = ["key", "hash", "group", "from", "to"]
-
-        def scan(t: pa.Table) -> pa.RecordBatch:
-            keys, before, hashes, counts = (t.column(c).to_numpy() for c in ("key", "before", "hash", "count"))
-            found = t.column("context").to_pylist()
-            group, member, begin, end = maximal_repeats(keys, before, found, length)
-            number = mixed(_first_hash(group, member, hashes, begin, end)).view(np.int64)
-            copies = np.flatnonzero(counts > 1)  # equal contexts repeat all they hold
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            columns = [
-                np.concatenate([keys[member], keys[copies]]), np.concatenate([hashes[member], hashes[copies]]),
-                np.concatenate([number, hashes[copies]]), np.concatenate([begin, -before[copies]]),
-                np.concatenate([end, (sizes - before)[copies]]),
-            ]
-            return pa.record_batch([pa.array(c) for c in columns], names)
+    def reach(rows: np.ndarray, behind: np.ndarray, ahead: np.ndarray | int) -> None:
+        np.maximum.at(before, rows, behind)
+        np.maximum.at(after, rows, ahead)
 
-        for batch in batches:
-            held.append(batch)
+    ahead, first, last = c.nodes.T
+    two = last - first == 1
+    two &= ahead + c.behind[np.minimum(first, len(c.behind) - 1)] >= c.length if len(c.behind) else False
+    for side in (0, 1):
+        reach(first[two] + side, c.behind[first[two]], ahead[two])
+    for ahead, first, last in c.nodes[last - first > 1].tolist():
+        if c.behind[first:last].min() == c.back:  # alike before the anchor
+            before[first : last + 1] = c.back
+            np.maximum(after[first : last + 1], ahead, out=after[first : last + 1])
+            continue
+        rows, same = c.by_left(first, last)
+        own = np.zeros(len(rows), np.int64)
+        own[1:] = same
+        own[:-1] = np.maximum(own[:-1], same)
+        some = own + ahead >= c.length
+        if some.any():
+            reach(rows[some], own[some], ahead)
+    out = np.zeros(len(c.order), np.int64), np.zeros(len(c.order), np.int64)
+    out[0][c.order], out[1][c.order] = before, after
+    return out
+
+
+def _scans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Sorted rows in tables of about ``SCANNED`` rows that never part a key."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        for at in range(0, batch.num_rows, SCANNED):
+            held.append(batch.slice(at, SCANNED))
             if sum(b.num_rows for b in held) >= SCANNED:
                 t = pa.Table.from_batches(held)
                 keys = t.column("key").to_numpy()
                 cut = int(np.searchsorted(keys, keys[-1], "left"))  # the last key may go on
                 if cut:
-                    yield scan(t.slice(0, cut))
+                    yield t.slice(0, cut)
                 held = t.slice(cut).to_batches()
-        if any(b.num_rows for b in held):
-            yield scan(pa.Table.from_batches(held))
+    if any(b.num_rows for b in held):
+        yield pa.Table.from_batches(held)
 
+
+def _dealt(different: DataFrame) -> DataFrame:
     dealt = different.repartition("key").sortWithinPartitions("key")
-    return dealt.select("key", "before", "context", "count", "hash").mapInArrow(
-        run, "key bigint, hash bigint, group bigint, from bigint, to bigint"
-    )
+    return dealt.select("key", "before", "context", "count", "hash")
 
 
-def _first_hash(group: np.ndarray, member: np.ndarray, hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """One number per group: of its smallest context and its extent."""
-    if not len(group):
-        return np.empty(0, np.uint64)
-    place = np.unique(group, return_inverse=True)[1]
-    least = np.full(int(place.max()) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, place, hashes[member])
-    return least[place].view(np.uint64) + (begin.astype(np.uint64) * _TIMES) + end.astype(np.uint64)
+def _read(t: pa.Table, length: int) -> tuple[Contexts, list[np.ndarray], np.ndarray]:
+    keys, before, hashes, counts = (t.column(c).to_numpy() for c in ("key", "before", "hash", "count"))
+    found = t.column("context").to_pylist()
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    return Contexts(keys, before, found, length), [keys, before, hashes, counts], sizes
+
+
+def repeat_groups(different: DataFrame, length: int) -> DataFrame:
+    """group, key, hash, from, to: all maximal repeats with all their contexts (key, before, context, count, hash).
+
+    A group is named by its smallest context and its extent. A repeat longer than a context appears as several groups, one for
+    each of its anchors; a context that stands several times is a group of its own.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["group", "key", "hash", "from", "to"]
+        for t in _scans(batches):
+            c, (keys, before, hashes, counts), sizes = _read(t, length)
+            copies = np.flatnonzero(counts > 1)
+            own = (hashes[copies], keys[copies], hashes[copies], -before[copies], (sizes - before)[copies])
+            yield pa.record_batch([pa.array(x) for x in own], names)
+            for some, behind, ahead in maximal_repeats(c):
+                rows = c.order[some]
+                least = hashes[rows].min().view(np.uint64)
+                name = mixed(np.array([least + np.uint64(behind * 1009 + ahead)])).view(np.int64)
+                columns = [np.repeat(name, len(rows)), keys[rows], hashes[rows]]
+                columns += [np.full(len(rows), -behind), np.full(len(rows), ahead)]
+                yield pa.record_batch([pa.array(x) for x in columns], names)
+
+    return _dealt(different).mapInArrow(run, "group bigint, key bigint, hash bigint, from bigint, to bigint")
+
+
+def repeat_extents(different: DataFrame, length: int) -> DataFrame:
+    """key, hash, from, to of all contexts with a repeat: the widest extent of their maximal repeats."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _scans(batches):
+            c, (keys, before, hashes, counts), sizes = _read(t, length)
+            behind, ahead = extents(c)
+            copies = counts > 1  # equal contexts repeat all they hold
+            behind, ahead = np.where(copies, before, behind), np.where(copies, sizes - before, ahead)
+            some = ahead > 0
+            columns = [keys[some], hashes[some], -behind[some], ahead[some]]
+            yield pa.record_batch([pa.array(x) for x in columns], ["key", "hash", "from", "to"])
+
+    return _dealt(different).mapInArrow(run, "key bigint, hash bigint, from bigint, to bigint")
 
 
 def _by_windows(different: DataFrame, length: int) -> DataFrame:
@@ -301,8 +343,7 @@ def covered(docs: DataFrame, length: int = 200, most_contexts: int = MOST_CONTEX
     )
     hot = not many.isEmpty()
     usual = different.join(many, "key", "left_anti") if hot else different
-    groups = saved(repeat_groups(usual, length), "groups")
-    reach = groups.groupBy("key", "hash").agg(F.min("from").alias("from"), F.max("to").alias("to"))  # all hold the anchor
+    reach = saved(repeat_extents(usual, length), "extents")
     if hot:
         large = different.join(many, "key", "left_semi")
         copies = large.where("count > 1").select(
