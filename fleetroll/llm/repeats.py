@@ -30,7 +30,7 @@ from .common import numbered, saved
 from .shingles import mixed
 
 GRAM = 32
-MOST_CONTEXTS = 20_000
+MOST_CONTEXTS = 100_000
 #: Contexts that a task scans at once, and bytes of text whose anchors it finds at once.
 SCANNED, SLICE = 5_000, 1 << 19
 _TIMES = np.uint64(0x9E3779B97F4A7C15)
