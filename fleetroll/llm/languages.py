@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,17 +144,19 @@ def predict(docs: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, distributions = held.value
         for batch in batches:
-            texts = [t or "" for t in batch.column("text_in").to_pylist()]
-            for a, b in _slices(texts):
-                counts, some_letter = trigram_counts(texts[a:b])
-                if names:
-                    top, score = shares(counts, distributions)
-                else:
-                    top, score, some_letter = np.zeros(b - a, int), np.zeros(b - a), np.zeros(b - a, bool)
-                pred = [names[t] if ok else UNKNOWN for t, ok in zip(top.tolist(), some_letter.tolist())]
-                columns = [batch.column("row").slice(a, b - a), pa.array(pred), pa.array(np.where(some_letter, score, 0.0).astype(float))]
-                yield pa.record_batch(columns, ["row", "lang_pred", "score"])
+            for at in range(0, batch.num_rows, 250):
+                some = batch.slice(at, 250).column("row")
+                texts = [t or "" for t in pc.struct_field(some, "text").to_pylist()]
+                for a, b in _slices(texts):
+                    counts, some_letter = trigram_counts(texts[a:b])
+                    if names:
+                        top, score = shares(counts, distributions)
+                    else:
+                        top, score, some_letter = np.zeros(b - a, int), np.zeros(b - a), np.zeros(b - a, bool)
+                    pred = [names[t] if ok else UNKNOWN for t, ok in zip(top.tolist(), some_letter.tolist())]
+                    score = np.where(some_letter, score, 0.0).astype(float)
+                    columns = [some.slice(a, b - a), pa.array(pred, pa.string()), pa.array(score)]
+                    yield pa.record_batch(columns, ["row", "lang_pred", "score"])
 
     kind = docs.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text_in"))
-    return rows.mapInArrow(run, f"row {kind}, lang_pred string, score double")
+    return docs.select(F.struct("*").alias("row")).mapInArrow(run, f"row {kind}, lang_pred string, score double")

@@ -54,6 +54,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, length: int) -> DataFra
                 ]
                 full += int(whole[-1]) if len(whole) else 0
                 yield pa.record_batch(columns, ["uid", "doc_id", "part", "full_before", "n", "ids"])
+        enc.release()
 
     rows = numbered(docs, F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, ENCODED)

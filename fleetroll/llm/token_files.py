@@ -81,6 +81,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str |
                 held += len(new)
                 if held >= SEGMENT:
                     yield segment()
+        enc.release()
         if names:
             yield segment()
 

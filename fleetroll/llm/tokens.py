@@ -61,6 +61,10 @@ class Encoder:
         self.letters.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
         self._clear()
 
+    def release(self) -> None:
+        """Forgets all words."""
+        self._clear()
+
     def _clear(self) -> None:
         self.index = _Index()
         self.ids = np.empty(1 << 16, np.uint32)
@@ -152,7 +156,7 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One per Python worker; its cache serves the worker's next tasks as well."""
+    """One per Python worker. Tasks call ``release`` on it when they end, so that an idle worker holds no words."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
