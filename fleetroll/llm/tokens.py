@@ -21,7 +21,7 @@ SIGMA = "\u03a3"
 #: Signs that often end a word; after letters each is a part of its own.
 MARKS = frozenset(".,;:!?")
 #: The cache starts anew beyond this many ids; it only saves time.
-CACHE_IDS = 3_000_000
+CACHE_IDS = 2_000_000
 
 
 class _Index(dict):
