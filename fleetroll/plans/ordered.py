@@ -169,7 +169,12 @@ class Ordered:
                 *[s.carry(F.col(f"_carry_{n}"), slices).alias(f"_carry_{n}") for n, s in scans.items()],
             )
         )
-        df = self._df.join(F.broadcast(edges), [*self.keys, _SLICE], "left")  # one row per slice
+        # One row per slice. Null keys are a group like any other, so they need their carry as well.
+        edges = edges.select(*[F.col(c).alias(f"_edge_{c}") for c in [*self.keys, _SLICE]], *[f"_carry_{n}" for n in scans])
+        same = F.col(_SLICE) == F.col(f"_edge_{_SLICE}")
+        for key in self.keys:
+            same = same & F.col(key).eqNullSafe(F.col(f"_edge_{key}"))
+        df = self._df.join(F.broadcast(edges), same, "left").drop(*[f"_edge_{c}" for c in [*self.keys, _SLICE]])
         merged = {n: s.merge(s.local(rows), F.col(f"_carry_{n}"), rows) for n, s in scans.items()}
         return self._with(df.withColumns(merged).drop(*[f"_carry_{n}" for n in scans]))
 

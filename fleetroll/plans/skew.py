@@ -31,7 +31,6 @@ class SkewPolicy:
     sketch_buckets: int = 64
     sketch_items: int = 4096
     reported_items: int = 512
-    max_slices: int = 2048
 
 
 DEFAULT_SKEW = SkewPolicy()
@@ -76,15 +75,13 @@ def find_hot_keys(df: DataFrame, keys: Sequence[str], policy: SkewPolicy = DEFAU
             df.select(key_hash(keys).alias("h"))
             .groupBy(F.pmod("h", F.lit(policy.sketch_buckets)).alias("bucket"))
             .agg(
-                F.count(F.lit(1)).alias("n"),
                 F.expr(f"approx_top_k(h, {policy.reported_items}, {policy.sketch_items})").alias("top"),
             )
-            .select("n", F.filter("top", lambda t: t["count"] >= policy.group_rows).alias("top"))
+            .select(F.filter("top", lambda t: t["count"] >= policy.group_rows).alias("top"))
             .collect()  # one row per sketch bucket
         )
-        total = sum(r["n"] for r in sketched)
         hot = {t["item"]: t["count"] for r in sketched for t in r["top"]}
-    return HotKeys(hot, max(policy.group_rows, total // policy.max_slices, 1))
+    return HotKeys(hot, max(policy.group_rows, 1))
 
 
 def _spread(df: DataFrame) -> Column:

@@ -1,7 +1,7 @@
 """A registry table that a stream keeps up to date.
 
-Layout below ``path``: ``base/v=<n>`` holds the whole table as of batch ``n``; ``delta/v=<n>`` the latest row per id
-of batch ``n`` alone. A micro-batch writes only its own delta, so its cost follows the batch and not the table, and writing
+Layout below ``path``: ``base/v=<n>`` holds the whole table as of version ``n``; ``delta/v=<n>`` the latest row per id
+of one batch alone. A micro-batch writes only its own delta, so its cost follows the batch and not the table, and writing
 a batch again after a failure replaces the same folder. Reading merges the newest base with the deltas after it;
 compaction writes a new base. A version counts once its ``_SUCCESS`` marker is there.
 """
@@ -38,8 +38,11 @@ def write_delta(batch: DataFrame, batch_id: int, path: str, order: Sequence[str]
 
 def upsert_registry(stream: DataFrame, path: str, order: Sequence[str] = ("ts", "event_id")) -> DataStreamWriter:
     """Writer that keeps the latest row per ``instance_id``; start it with a trigger and a checkpoint location."""
+    # Batch ids begin at 0 again with a new checkpoint; versions go on after those that are there, so none is written over or
+    # hidden by an older base. A batch that is written twice has the same rows, and reading keeps one per id.
+    first = _parts(stream.sparkSession, path)[0] + 1
     return stream.writeStream.outputMode("append").foreachBatch(
-        lambda batch, batch_id: write_delta(batch, batch_id, path, order)
+        lambda batch, batch_id: write_delta(batch, first + batch_id, path, order)
     )
 
 

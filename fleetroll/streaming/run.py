@@ -20,14 +20,14 @@ def use_rocksdb(spark: SparkSession) -> None:
 def run_to_table(stream: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     """Processes all available input into a fresh parquet table and returns that table.
 
-    State is spread over ``partitions``, by default the session's shuffle partitions but no more than there are cores: a
-    stream's partitions are not coalesced at run time, and each one costs a store commit in every micro-batch.
+    State is spread over ``partitions``, by default the session's shuffle partitions. A stream keeps the number for
+    ever: its partitions are not coalesced at run time, and each one costs a store commit in every micro-batch.
     """
     spark = stream.sparkSession
     path = scratch_path(spark, name)
     configured = spark.conf.get(SHUFFLE_PARTITIONS)
     if partitions is None:
-        partitions = min(int(configured), spark.sparkContext.defaultParallelism)
+        partitions = int(configured)
     spark.conf.set(SHUFFLE_PARTITIONS, partitions)  # a query keeps the settings it was started with
     try:
         running = (
