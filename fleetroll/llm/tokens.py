@@ -20,6 +20,8 @@ UNUSUAL = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\
 SIGMA = "\u03a3"
 #: Signs that often end a word; after letters each is a part of its own.
 MARKS = frozenset(".,;:!?")
+#: Words of letters that are encoded as one text.
+TOGETHER = 512
 #: The cache starts anew beyond this many ids; it only saves time.
 CACHE_IDS = 2_000_000
 
@@ -41,7 +43,7 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
@@ -58,7 +60,12 @@ class Encoder:
         self.letters = Tokenizer.from_file(path)
         self.letters.encode_special_tokens = True
         self.letters.normalizer = None
-        self.letters.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        # The ids that end a word, where the merges mark them: then many words are encoded as one text.
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for token, k in vocabulary.items() if suffix and token.endswith(suffix)]] = True
         self._clear()
 
     def release(self) -> None:
@@ -93,7 +100,7 @@ class Encoder:
                 others.append(k)
         self.index.new = []
         self.start, self.size = _room(self.start, len(self.index)), _room(self.size, len(self.index))
-        self._store(first, alone, self.letters, [new[k] for k in alone])
+        self._store_letters(first, alone, [new[k] for k in alone])
         self._store(first, others, self.words, [new[k] for k in others])
         self._store(first, whole, self.tokenizer, [new[k][0] for k in whole])
         if pairs:
@@ -102,6 +109,19 @@ class Encoder:
             sizes = self.size[left] + self.size[right]
             self._append(first + at, sizes, self._gather(both))
 
+    def _store_letters(self, first: int, at: list[int], words: list[str]) -> None:
+        """Words of letters, many in one text: the ids that end a word part them again."""
+        if not words:
+            return
+        texts = [" ".join(words[k : k + TOGETHER]) for k in range(0, len(words), TOGETHER)]
+        found = [np.array(e.ids, np.uint32) for e in self.letters.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.concatenate(found)
+        last = np.flatnonzero(self.ends[flat])
+        if len(last) == len(words) and last[-1] == len(flat) - 1:
+            self._append(first + np.array(at, np.int64), np.diff(last, prepend=-1), flat)
+        else:  # no such ids in this vocabulary
+            self._store(first, at, self.letters, words)
+
     def _store(self, first: int, at: list[int], tokenizer, words: list[str]) -> None:
         if words:
             found = [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -156,7 +176,8 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One per Python worker. Tasks call ``release`` on it when they end, so that an idle worker holds no words."""
+    """One per Python worker. A task calls ``release`` at its end where other work follows in the same workers; then an idle
+    worker holds no words."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
