@@ -15,9 +15,9 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"FRT2"
+MAGIC = b"FRT3"
 BLOCK = 512
-SLOTS = 512
+SLOTS = 128  # contexts a block remembers; four times as many save less than one byte in a hundred and miss the processor's caches
 WEIGHT = 12  # bits of the mixture's weights
 TOP, FORCED = np.uint64(1 << 48), np.uint64(1 << 32)
 _16, _32, _48 = np.uint64(16), np.uint64(32), np.uint64(48)
@@ -84,9 +84,8 @@ class _Model:
 def _renew(lo: np.ndarray, r: np.ndarray) -> np.ndarray | None:
     """Where a word is due: the first word of low and high agree, or the range got small and is cut to where they do."""
     go = (lo ^ (lo + r)) < TOP
-    small = r < FORCED
-    if small.any():
-        forced = small & ~go
+    forced = np.greater(r < FORCED, go)
+    if forced.any():
         r[forced] = (~lo[forced] + np.uint64(1)) & _LOW32
         go |= forced
     return go if go.any() else None
@@ -181,7 +180,7 @@ def decode(data: bytes) -> np.ndarray:
         f0 = (4096 - f2 - f1).astype(np.int64)
         hit2 = target < end2
         hit1 = (target < end1) & ~hit2
-        slot = np.minimum(np.maximum(target - end1, 0) // f0, slots)
+        slot = np.minimum((np.maximum(target - end1, 0) / f0).astype(np.int64), slots)  # exact below 2**53
         sym = np.where(hit2, model.g2, np.where(hit1, model.g1, by_slot.take(slot)))
         np.minimum(sym, many - 1, out=sym)  # only a damaged block has others
         own = both.take(sym)
