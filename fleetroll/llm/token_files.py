@@ -81,7 +81,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str |
                 held += len(new)
                 if held >= SEGMENT:
                     yield segment()
-        enc.release()
+        # The words stay for the worker's next task; the cache has a bound of its own.
         if names:
             yield segment()
 
