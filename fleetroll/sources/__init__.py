@@ -1,12 +1,14 @@
-from .container_defs import read_container_defs
+from .container_defs import malformed_container_defs, read_container_defs
 from .instance_records import instance_document, read_instance_records, split_failures, write_instance_records
 from .registry_table import compact_registry, read_registry, upsert_registry
 from .scratch import scratch_path
-from .updates import stream_updates
+from .updates import malformed_updates, stream_updates
 
 __all__ = [
     "compact_registry",
     "instance_document",
+    "malformed_container_defs",
+    "malformed_updates",
     "read_container_defs",
     "read_instance_records",
     "read_registry",

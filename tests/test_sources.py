@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from fleetroll import sources
+from fleetroll import sources, streaming
 from fleetroll.sources import registry_table
 from tests.helpers import address, ids, instance, registry, table
 
@@ -80,3 +80,25 @@ def test_registry_table_survives_retries_and_compaction(spark, tmp_path):
     assert now() == {**want, "b": "REMOVED"}
     assert sources.compact_registry(spark, path) == 2 and sources.compact_registry(spark, path) == 2
     assert now() == {**want, "b": "REMOVED"}
+
+
+def test_malformed_container_defs(spark, tmp_path):
+    good = {"name": "a", "cpus": 1, "memory": 2}
+    lines = [json.dumps(good), "{broken", json.dumps({**good, "name": None}), json.dumps({"name": "b", "memory": 1}), json.dumps({"name": "c", "cpus": 1}), json.dumps({**good, "name": "d", "cpus": "many"})]
+    (tmp_path / "defs.json").write_text("\n".join(lines))
+    assert ids(sources.read_container_defs(spark, str(tmp_path)), "name") == {"a"}
+    got = sorted((r["message"], r["record"]) for r in sources.malformed_container_defs(spark, str(tmp_path)).collect())
+    assert [m for m, _ in got] == ["malformed record", "malformed record", "missing cpus", "missing memory", "missing name"]
+    assert "{broken" in {r for _, r in got}
+
+
+def test_malformed_updates(spark, tmp_path):
+    update = {"instance_id": "a", "ts": "2024-01-01T00:00:00Z", "event_id": 1, "kind": "UP"}
+    lines = [json.dumps(update), "{broken", json.dumps({"kind": "UP"}), json.dumps({"updates": [{**update, "instance_id": "b"}, {"event_id": 7}]})]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "updates.json").write_text("\n".join(lines))
+    good = streaming.run_to_table(sources.stream_updates(spark, str(tmp_path / "in")), "good")
+    assert ids(good) == {"a", "b"}
+    bad = streaming.run_to_table(sources.malformed_updates(spark, str(tmp_path / "in")), "bad").collect()
+    assert sorted(r["message"] for r in bad) == ["malformed message", "missing instance_id", "missing instance_id"]
+    assert "{broken" in {r["record"] for r in bad}
