@@ -54,7 +54,8 @@ def join_deadlines(
     """
     log = (
         starts.select("key", micros("ts").alias("us"), F.lit(1).alias("is_start"))
-        .union(joins.select("key", micros("ts"), F.lit(0)))
+        # Joins at one time are alike; without repeats the order has few ties, however many joins a key has.
+        .union(joins.select("key", micros("ts"), F.lit(0)).distinct())
         .withColumn("_back", -F.col("us"))
     )
     next_join = Ordered(log, ["key"], ["_back", "is_start"], policy).scan(

@@ -193,6 +193,7 @@ def _with_slices(df: DataFrame, keys: list[str], order: list[str], hot: HotKeys)
         df.select(key_hash(keys).alias(_HASH), *order)
         .join(F.broadcast(sized), _HASH)
         .where(F.pmod(F.xxhash64(F.lit(17), *order), F.col("_rows")) < F.col("_slices") * _SAMPLES_PER_SLICE)
+        .distinct()  # rows that tie are one place to cut at, so the sample stays bounded whatever the order
         .groupBy(_HASH)
         .agg(F.array_sort(F.collect_list(F.struct(*order))).alias("_sample"))
         .select(

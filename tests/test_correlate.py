@@ -31,6 +31,16 @@ def test_join_deadlines(spark, policy):
     assert got == [("a", 0.0, "JOINED", 120.0), ("a", 100.0, "JOINED", 120.0), ("b", 0.0, "TIMED_OUT", 120.0), ("c", 0.0, "JOINED", 0.0)]
 
 
+@pytest.mark.parametrize("policy", [DEFAULT_SKEW, SPLIT])
+def test_join_deadlines_with_ties(spark, policy):
+    """A hot key whose starts and joins have two times each."""
+    starts = [("a", 100.0 * (i % 2)) for i in range(500)]
+    joins = [("a", 50.0 + 100.0 * (i % 2)) for i in range(500)]
+    schema = "key string, ts double"
+    got = seconds(ops.join_deadlines(table(spark, starts, schema, "ts"), table(spark, joins, schema, "ts"), 60, policy))
+    assert got == sorted([("a", 0.0, "JOINED", 50.0)] * 250 + [("a", 100.0, "JOINED", 150.0)] * 250, key=str)
+
+
 def test_completion_barrier(spark):
     rows = [("p", True, 1.0), ("p", True, 3.0), ("q", True, 1.0), ("q", False, None), ("r", None, None)]
     got = seconds(ops.completion_barrier(table(spark, rows, "parent string, ended boolean, ended_at double", "ended_at")))
