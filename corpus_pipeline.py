@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from fleetroll.llm import languages, mixing, near_dup, packing, repeats  # noqa: E402
-from fleetroll.llm.common import numbered, saved  # noqa: E402
+from fleetroll.llm.common import numbered_once, saved  # noqa: E402
 from fleetroll.llm.queries import tokenizer_file  # noqa: E402
 
 #: Documents whose largest language has less than this share are rejected, as are those without a letter.
@@ -28,11 +28,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest doc_id; five-word shingles, 80 percent."""
-    linked = near_dup.link(docs, width=5, percent=80)
+    rows = numbered_once(docs, F.struct("*").alias("row"))
+    doc_id, text = F.col("row.doc_id").cast("bigint").alias("doc_id"), F.col("row.text").cast("string").alias("text")
+    linked = near_dup.link_rows(rows.select("uid", doc_id, text), width=5, percent=80)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid")).alias("first")
     stay = linked.where("n_shingles > 0").groupBy("component").agg(first).select("first.uid")
     stay = stay.unionByName(linked.where("n_shingles = 0").select("uid"))
-    rows = numbered(docs, F.struct("*").alias("row"))
     return rows.join(saved(stay, "stay"), "uid", "left_semi").select("row.*")
 
 

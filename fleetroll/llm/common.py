@@ -25,14 +25,19 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, *columns: Column | str) -> DataFrame:
-    """Named columns only, under a row id ``uid``.
+    """Named columns only, under a row id ``uid``; for one job, see ``numbered_once``.
 
-    Ids follow the order of the scan, so rows that repeat stay apart. ``df`` has to be a scan (or another plan with a fixed
-    order), as all tables and pipeline stages here are; two reads then agree on the ids, and so does a task that is run again.
+    Rows that repeat stay apart. Ids follow the partitions of the scan, and those depend on the cores registered when a job is
+    planned, so two jobs may give a row two ids.
     """
     return df.select(F.monotonically_increasing_id().alias("uid"), *columns)
 
 
+def numbered_once(df: DataFrame, *columns: Column | str) -> DataFrame:
+    """``numbered`` rows written down, so all jobs that read them agree on the ids."""
+    return saved(numbered(df, *columns), "rows")
+
+
 def part_starts(parts: DataFrame, part: str, *values: str) -> DataFrame:
     """Sums of ``values`` over all smaller ``part`` numbers. ``parts`` has a row per partition, so one task may order it."""
     before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)

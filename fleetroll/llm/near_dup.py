@@ -15,7 +15,7 @@ five standard deviations under the wanted similarity.
 
 Null and empty texts have no shingles and are linked with nothing. Null doc_ids take part, and are never a group's smallest id
 unless all are null. Rows that repeat wholly are one class; all rows with their component's doc_id are kept. An empty table
-gives no rows. Other columns are ignored. The input has to be a scan (see ``common.numbered``).
+gives no rows. Other columns are ignored. Row ids are written once, before anything reads them.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import numbered, saved
+from .common import numbered_once, saved
 from .components import components
 from .shingles import mixed, shingle_sets
 
@@ -251,7 +251,12 @@ def link(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
 
     ``component`` is a uid that all rows of a component share; null for texts without shingles.
     """
-    rows = numbered(docs, F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = numbered_once(docs, F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return link_rows(rows, width, percent)
+
+
+def link_rows(rows: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
+    """``link`` for rows (uid, doc_id, text) whose ids stay the same in every job, as those of ``numbered_once`` do."""
     signed = saved(signatures(rows, width), "signatures")
     classes = saved(
         signed.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("uid").alias("class"), F.min("doc_id").alias("least")),

@@ -14,7 +14,7 @@ by window through sums instead, which gives the same bytes.
 
 Null texts are empty. Texts shorter than ``length`` repeat nothing. Rows that repeat wholly are documents of their own, so they
 repeat each other. Null or repeated doc_ids do no harm: rows have ids of their own. An empty table gives no rows. Other columns
-are ignored. The input has to be a scan (see ``common.numbered``).
+are ignored. Row ids are written once, before anything reads them.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, saved
+from .common import numbered_once, saved
 from .shingles import mixed
 
 GRAM = 32
@@ -330,7 +330,7 @@ def _by_windows(different: DataFrame, length: int) -> DataFrame:
 
 def covered(docs: DataFrame, length: int = 200, most_contexts: int = MOST_CONTEXTS) -> tuple[DataFrame, DataFrame]:
     """Rows with uid, row (the input's columns), text; and uid with ``spans``, places (from, to) in bytes of repeated passages."""
-    rows = numbered(docs, F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    rows = numbered_once(docs, F.struct("*").alias("row")).withColumn("text", F.col("row.text").cast("string"))
     found = saved(find_anchors(rows.select("uid", "text"), length), "anchors")
     again = found.groupBy("key").count().where("count > 1").select("key")
     places = found.join(again, "key", "left_semi")

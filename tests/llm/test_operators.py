@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from fleetroll.llm import chat, html_text, languages, mixing, near_dup, packing, quality, range_coder, repeats, token_files, topk
+from fleetroll.llm import chat, common, components, html_text, languages, mixing, near_dup, packing, quality, range_coder, repeats, token_files, topk
 from fleetroll.llm.queries import CONFLICT, QUERIES, SQL
 from fleetroll.llm.tokens import Encoder
 from pyspark.sql import functions as F
@@ -320,3 +320,54 @@ def test_pipeline(spark):
         if name == "near_duplicates":
             assert docs.count() < before
     assert "sequence_id" in docs.columns
+
+
+def replanned(monkeypatch, spark, *modules):
+    """Has Spark plan scans for one and for many cores by turns, as when executors come and go; one file a partition or all."""
+    write, turns = modules[0].saved, [0]
+
+    def saved(df, name):
+        turns[0] += 1
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "16" if turns[0] % 2 else "1")
+        return write(df, name)
+
+    for module in modules:
+        monkeypatch.setattr(module, "saved", saved)
+
+
+@pytest.fixture
+def many_files(spark, tmp_path):
+    """Documents in twelve files of uneven sizes, and the rows."""
+    rows = rows_of(11)
+    path = str(tmp_path / "dealt")
+    full = [(d, t, "en", s, 1, "u", "l", 2, "k") for d, t, s in rows]
+    for k in range(12):
+        spark.createDataFrame(full[k::12], DOCS).coalesce(1).write.mode("append").parquet(path)
+    yield spark.read.parquet(path), rows
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+
+
+def test_repeats_keep_row_ids_between_jobs(spark, many_files, monkeypatch):
+    docs, rows = many_files
+    replanned(monkeypatch, spark, common, repeats)
+    got = repeats.remove_repeats(docs, 200).collect()
+    assert Counter((r.row.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == brute_repeats(rows, 200)
+
+
+def test_near_duplicates_keep_row_ids_between_jobs(spark, many_files, monkeypatch):
+    docs, _ = many_files
+    want = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dup.link(docs).collect())
+    replanned(monkeypatch, spark, common, near_dup, components)
+    got = near_dup.link(docs).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == want
+
+
+def test_pipeline_stage_keeps_row_ids_between_jobs(spark, many_files, monkeypatch):
+    import corpus_pipeline
+
+    docs, _ = many_files
+    want = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    replanned(monkeypatch, spark, common, near_dup, components, corpus_pipeline)
+    assert Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == want
