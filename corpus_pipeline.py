@@ -15,15 +15,14 @@ from fleetroll.llm import languages, mixing, near_dup, packing, repeats  # noqa:
 from fleetroll.llm.common import numbered_once, saved  # noqa: E402
 from fleetroll.llm.queries import tokenizer_file  # noqa: E402
 
-#: Documents whose largest language has less than this share are rejected, as are those without a letter.
-LEAST_SHARE = 0.4
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learned from the labelled ones."""
+    """Documents in languages that were learned from the labelled ones, one or several; rejected is what fits none of them."""
     langs, model = languages.train(docs.where(~languages.held_out()))
     found = languages.predict(docs, langs, model)
-    return found.where((F.col("lang_pred") != languages.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select("row.*")
+    least, deviation = languages.least_fit(model)
+    trigrams = F.length(F.regexp_replace("row.text", r"\P{L}", ""))  # one around each letter
+    fits = F.col("fit") >= F.lit(least) - F.lit(3 * deviation) / F.sqrt(trigrams)
+    return found.where((F.col("lang_pred") != languages.UNKNOWN) & fits).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,10 +3,11 @@
 A language is a distribution over hashed trigrams of letters (others count as one space). Its counts come from labelled training
 rows, at most about ``MOST_TRAINING`` of them, chosen by hash. A text's trigrams are modelled as drawn from a mixture of the
 languages; expectation-maximisation finds the shares. For one, two, ... languages with the largest shares the likelihood is
-fitted again, and the set with the best likelihood minus a penalty for every language is chosen. The prediction is the
-language with the largest share in it, the score its share.
+fitted again, until ``AHEAD`` further languages don't raise the likelihood minus a penalty for every language; the set where it
+is best is chosen. ``languages`` has the set with its shares, largest first, ``fit`` the log likelihood per trigram under it. The
+prediction is the language with the largest share, the score its share.
 
-Null texts and texts without a letter are ``und`` with score 0, as is everything where there are no training rows. Rows that
+Null texts and texts without a letter are ``und`` with score 0, no languages and a null fit, as is everything where there are no training rows. Rows that
 repeat are predicted one by one. An empty table gives no rows. Only the text enters a prediction.
 """
 
@@ -22,11 +23,15 @@ from pyspark.sql import functions as F
 
 BUCKETS = 4096
 MOST_TRAINING = 20_000
-TURNS, AGAIN, MOST_LANGUAGES = 12, 5, 3
+TURNS, AGAIN, AHEAD = 12, 5, 2
 #: A further language has to raise the log likelihood by this many times the logarithm of the number of trigrams.
 PENALTY = 3.0
+#: The log likelihood per trigram of text that says nothing: every bucket as likely as any other.
+NO_FIT = -float(np.log(BUCKETS))
 SLICE = 1 << 20
 UNKNOWN = "und"
+LANGUAGES = "array<struct<lang: string, share: double>>"
+SET = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
 _letters: list[np.ndarray] = []
 
@@ -106,39 +111,53 @@ def train(labelled: DataFrame, most: int = MOST_TRAINING) -> tuple[list[str], np
 
 
 def shares(counts: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's (largest language, share) by the mixture with the best penalised likelihood."""
+    """Each text's shares (a column per language, 0 for those not chosen) in the mixture with the best penalised likelihood, and
+    its log likelihood per trigram."""
     counts = counts.astype(np.float32)
     model = model.astype(np.float32)
     total = np.maximum(counts.sum(axis=1, keepdims=True), 1)
 
-    def fit(start: np.ndarray, turns: int) -> np.ndarray:
-        mix = start
+    def fit(start: np.ndarray, turns: int, some: np.ndarray | slice = slice(None)) -> np.ndarray:
+        mix, own, n = start, counts[some], total[some]
         for _ in range(turns):
-            mix = mix * ((counts / np.maximum(mix @ model, 1e-12)) @ model.T) / total
+            mix = mix * ((own / np.maximum(mix @ model, 1e-12)) @ model.T) / n
             mix /= np.maximum(mix.sum(axis=1, keepdims=True), 1e-30)
         return mix
 
     n = len(model)
     mix = fit(np.full((len(counts), n), 1 / n, np.float32), TURNS)
     order = np.argsort(-mix, axis=1, kind="stable")
-    best = np.full(len(counts), -np.inf)
-    top, score = np.zeros(len(counts), np.int64), np.zeros(len(counts))
-    rows = np.arange(len(counts))
-    for k in range(1, min(MOST_LANGUAGES, n) + 1):
-        start = np.zeros_like(mix)
-        np.put_along_axis(start, order[:, :k], np.maximum(np.take_along_axis(mix, order[:, :k], axis=1), 1e-3), axis=1)
+    best, likely = np.full(len(counts), -np.inf), np.zeros(len(counts))
+    chosen, size = np.zeros_like(mix), np.zeros(len(counts), np.int64)
+    for k in range(1, n + 1):
+        rows = np.flatnonzero(size + AHEAD >= k) if k > 1 else np.arange(len(counts))
+        if not len(rows):
+            break
+        start, some = np.zeros((len(rows), n), np.float32), order[rows, :k]
+        np.put_along_axis(start, some, np.maximum(np.take_along_axis(mix[rows], some, axis=1), 1e-3), axis=1)
         start /= start.sum(axis=1, keepdims=True)
-        own = fit(start, AGAIN) if k > 1 else start
-        likely = (counts * np.log(np.maximum(own @ model, 1e-12))).sum(axis=1) - PENALTY * k * np.log(total[:, 0] + 1)
-        better = likely > best
-        best[better] = likely[better]
-        top[better] = own.argmax(axis=1)[better]
-        score[better] = own[rows, own.argmax(axis=1)][better]
-    return top, np.clip(score, 0, 1)
+        own = fit(start, AGAIN, rows) if k > 1 else start
+        found = (counts[rows] * np.log(np.maximum(own @ model, 1e-12))).sum(axis=1)
+        worth = found - PENALTY * k * np.log(total[rows, 0] + 1)
+        better = worth > best[rows]
+        at = rows[better]
+        best[at], likely[at], chosen[at], size[at] = worth[better], found[better], own[better], k
+    return np.clip(chosen, 0, 1), likely / total[:, 0]
+
+
+def least_fit(model: np.ndarray) -> tuple[float, float]:
+    """(fit, deviation): the fit half way between what says nothing and text of the least regular language, and the standard
+    deviation of a single trigram's part in it. A text of n trigrams fits with at least fit - 3 * deviation / n ** 0.5."""
+    if not len(model):
+        return NO_FIT, 0.0
+    logs = np.log(model)
+    expected = (model * logs).sum(axis=1)
+    deviation = np.sqrt((model * logs**2).sum(axis=1) - expected**2)
+    return float((expected.min() + NO_FIT) / 2), float(deviation.max())
 
 
 def predict(docs: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
-    """``docs`` as a column ``row`` with ``lang_pred`` and ``score``."""
+    """``docs`` as a column ``row`` with ``lang_pred``, ``score``, ``languages`` and ``fit``."""
     held = docs.sparkSession.sparkContext.broadcast((langs, model))  # languages * BUCKETS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,13 +169,22 @@ def predict(docs: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
                 for a, b in _slices(texts):
                     counts, some_letter = trigram_counts(texts[a:b])
                     if names:
-                        top, score = shares(counts, distributions)
+                        mix, fit = shares(counts, distributions)
                     else:
-                        top, score, some_letter = np.zeros(b - a, int), np.zeros(b - a), np.zeros(b - a, bool)
+                        mix, fit, some_letter = np.zeros((b - a, 1)), np.zeros(b - a), np.zeros(b - a, bool)
+                    top = mix.argmax(axis=1)
                     pred = [names[t] if ok else UNKNOWN for t, ok in zip(top.tolist(), some_letter.tolist())]
-                    score = np.where(some_letter, score, 0.0).astype(float)
-                    columns = [some.slice(a, b - a), pa.array(pred, pa.string()), pa.array(score)]
-                    yield pa.record_batch(columns, ["row", "lang_pred", "score"])
+                    score = np.where(some_letter, mix[np.arange(b - a), top], 0.0).astype(float)
+                    order = np.argsort(-mix, axis=1, kind="stable")
+                    sets = [
+                        [{"lang": names[j], "share": float(own[j])} for j in o if own[j] > 0] if ok else []
+                        for o, own, ok in zip(order.tolist(), mix, some_letter.tolist())
+                    ]
+                    columns = [
+                        some.slice(a, b - a), pa.array(pred, pa.string()), pa.array(score), pa.array(sets, SET),
+                        pa.array(fit.astype(float), pa.float64(), mask=~some_letter),
+                    ]
+                    yield pa.record_batch(columns, ["row", "lang_pred", "score", "languages", "fit"])
 
     kind = docs.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
-    return docs.select(F.struct("*").alias("row")).mapInArrow(run, f"row {kind}, lang_pred string, score double")
+    return docs.select(F.struct("*").alias("row")).mapInArrow(run, f"row {kind}, lang_pred string, score double, languages {LANGUAGES}, fit double")

@@ -371,3 +371,31 @@ def test_pipeline_stage_keeps_row_ids_between_jobs(spark, many_files, monkeypatc
     want = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
     replanned(monkeypatch, spark, common, near_dup, components, corpus_pipeline)
     assert Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == want
+
+
+def sentences(rng, letters, n):
+    """Words of a language that has its own ``letters``."""
+    kinds = ["".join(random.Random(f"{letters}{k}").choices(letters, k=4)) for k in range(40)]
+    return " ".join(rng.choices(kinds, k=n))
+
+
+def test_language_sets_and_stage(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    tongues = dict(zip("pqrst", ["abcde", "fghij", "klmno", "uvwxy", "αβγδε"]))
+    rows = [(k, sentences(rng, x, 60), lang) for lang, x in tongues.items() for k in range(1000 * ord(lang), 1000 * ord(lang) + 30)]
+    for n in range(1, 6):  # balanced, of n languages
+        rows.append((n, " ".join(sentences(rng, x, 60) for x in list(tongues.values())[:n]), None))
+    rows.append((6, "".join(rng.choices("zжщюэф ", k=400)), None))  # no language that was learned
+    rows += [(7, "12 %", None), (8, None, None), (9, sentences(rng, "abcde", 2), None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    found = languages.predict(docs, *languages.train(docs.where(~languages.held_out())))
+    found = {r.row.doc_id: r for r in found.where("row.doc_id < 10").collect()}
+    for n in range(1, 6):
+        assert {x.lang for x in found[n].languages} == set("pqrst"[:n])
+        assert all(abs(x.share - 1 / n) < 0.1 for x in found[n].languages)
+    assert found[7].languages == [] and found[7].fit is None and found[8].lang_pred == "und"
+    assert found[6].fit < found[5].fit
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()}
+    assert kept == {d for d, _, _ in rows} - {6, 7, 8}
