@@ -2,7 +2,8 @@
 
 The tokenizer splits texts at white space before it merges, so a text's ids are those of its white-space separated parts, one
 after the other. Each part is encoded once and then looked up; a text with unusual white space or control characters, where
-two definitions of white space may differ, goes through the tokenizer whole.
+two definitions of white space may differ, goes through the tokenizer whole, and so does one with the string of an added token,
+which the tokenizer finds before it splits and turns into that token's id.
 """
 
 from __future__ import annotations
@@ -46,12 +47,13 @@ class Encoder:
         from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # In lower case, as a text's words are; what holds none of these has no added token.
+        self.added = [" ".join(x.content.lower().split()) for x in self.tokenizer.get_added_tokens_decoder().values()]
         steps = str(self.tokenizer.normalizer)
         # Then texts are lower-cased here, and their words need no other normalisation.
         self.lowered = steps.count("(") <= 5 and all(x in steps for x in ("NFC", "Replace", "Lowercase"))
         self.words = Tokenizer.from_file(path)
-        self.words.encode_special_tokens = True
+        self.words.encode_special_tokens = True  # lower-cased words may look like one
         if self.lowered:
             self.words.normalizer = None
         # Words of letters are one part each for this splitting rule, and go to the merges as they are.
@@ -153,8 +155,13 @@ class Encoder:
             if text:
                 if UNUSUAL.search(text) or self.lowered and (SIGMA in text or not is_normalized("NFC", text)):
                     words.append((text,))  # whole
-                else:
-                    words.extend((text.lower() if self.lowered else text).split())
+                    counts[k] = 1
+                    continue
+                lowered = text.lower()
+                own = (lowered if self.lowered else text).split()
+                if any(x in lowered or " " in x and x in " ".join(lowered.split()) for x in self.added):
+                    own = [(text,)]  # whole
+                words.extend(own)
             counts[k] = len(words) - before
         at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         self._learn()

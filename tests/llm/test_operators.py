@@ -399,3 +399,18 @@ def test_language_sets_and_stage(spark):
     assert found[6].fit < found[5].fit
     kept = {r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()}
     assert kept == {d for d, _, _ in rows} - {6, 7, 8}
+
+
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|startoftext|>One two.<|endoftext|>", "A <|ENDOFTEXT|>b", "x\n<|endoftext|>\ty z", "no such"])
+def test_added_tokens_in_texts(spark, tmp_path, text):
+    plain = Tokenizer.from_file(WORD_BPE)
+    want = [plain.encode(x, add_special_tokens=False).ids for x in ("a b", text, "b a")]
+    ids, sizes = Encoder(WORD_BPE).encode(["a b", text, "b a"])
+    assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == [k for x in want for k in x]
+    docs = documents(spark, tmp_path, [(1, "a b", None), (2, text, None), (3, "b a", None)])
+    found = token_files.read_token_files(spark, token_files.write_token_files(docs, WORD_BPE, 2)).collect()
+    assert [np.frombuffer(r.ids, "<u4").tolist() for r in found] == [[*x, 2] for x in want]
+    pieces = defaultdict(list)
+    for p in sorted(packing.pack(docs, WORD_BPE, 2, 256).collect(), key=lambda p: p.start):
+        pieces[p.doc_id] += np.frombuffer(p.ids, "<u4").tolist()
+    assert pieces == {k + 1: [*x, 2] for k, x in enumerate(want)}
