@@ -4,6 +4,10 @@ The first pass classifies blocks by stop-word density, length, link density and
 pass settles what is ambiguous (short blocks, headings, texts of middling density): they inherit the label of the nearest
 decided blocks of their part of the page. Parts are an article or main element, a menu, a footer and so on.
 
+The stop words are English, French, German and Spanish. Where no block of a page is prose by them, length and share of link text
+decide instead. An element named after an article excludes the rest of the page only if prose stands in such an element, or
+longer blocks do and no prose stands elsewhere.
+
 Null html has no blocks, so its text is empty. Malformed html is read as far as it goes: end tags that fit nothing are skipped,
 elements left open end with their parent, an unfinished comment or script runs to the end. Rows that repeat are extracted one
 by one; rows are never joined, so null or repeated page ids do no harm. Other columns of the input are ignored.
@@ -66,6 +70,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 
 #: Shares of stop words from which a block is prose, or may be; share of link text from which it is a menu.
 DENSE, FAIRLY_DENSE, LINKED = 0.32, 0.30, 0.5
+#: Share of link text up to which a long block may be prose where no block has enough stop words.
+FEW_LINKS = 0.2
 #: Code points: below the first a block is short, from the second on a dense one is prose on its own.
 SHORT, LONG = 70, 200
 
@@ -192,12 +198,24 @@ def _first_pass(text: str, zone: int, heading: bool, link_share: float) -> str:
     return MAYBE if density >= FAIRLY_DENSE or zone > 0 else BAD
 
 
+def _by_length(label: str, block: tuple[str, int, int, bool, float]) -> str:
+    """The label of a block on a page without known stop words."""
+    text, zone, _, heading, link_share = block
+    if zone < 0 or heading or len(text) < SHORT or link_share > FEW_LINKS or zone == 0 and "\xa9" in text:
+        return label
+    return GOOD if len(text) >= LONG else MAYBE
+
+
 def main_blocks(html: str | None) -> list[dict]:
     """All blocks of a page with their verdicts."""
     found = _blocks(html) if html else []
-    if any(zone > 0 for _, zone, _, _, _ in found):  # the page names its article: the rest of it is not
-        found = [(t, zone or -1, part, h, share) for t, zone, part, h, share in found]
     first = [_first_pass(t, zone, h, share) for t, zone, _, h, share in found]
+    if GOOD not in first:  # no prose in a known language: length and links have to tell
+        first = [_by_length(label, b) for label, b in zip(first, found)]
+    inside, rest = ({label for label, b in zip(first, found) if (b[1] > 0) == named} for named in (True, False))
+    if GOOD in inside or MAYBE in inside and GOOD not in rest:  # the page names its article: the rest of it is not
+        first = [label if b[1] else BAD for label, b in zip(first, found)]
+        found = [(t, zone or -1, part, h, share) for t, zone, part, h, share in found]
     kept = [label == GOOD for label in first]
     decided = [k for k, label in enumerate(first) if label in (GOOD, BAD)]
     before: int | None = None

@@ -414,3 +414,21 @@ def test_added_tokens_in_texts(spark, tmp_path, text):
     for p in sorted(packing.pack(docs, WORD_BPE, 2, 256).collect(), key=lambda p: p.start):
         pieces[p.doc_id] += np.frombuffer(p.ids, "<u4").tolist()
     assert pieces == {k + 1: [*x, 2] for k, x in enumerate(want)}
+
+
+def kept_text(html):
+    return [b["text"] for b in html_text.main_blocks(html) if b["kept"]]
+
+
+def test_main_text_without_known_stop_words():
+    polish = "Rano rybacy wypłynęli na jezioro, ponieważ wiatr ucichł i woda była spokojna jak szkło przed świtem. " * 3
+    chinese = "清晨渔民们驾船驶向湖心，因为风已经停了，湖水平静得像一面镜子。" * 10
+    for prose in (polish.strip(), chinese):
+        page = f"<body><div><a href=x>Menu</a> <a href=y>{prose}</a></div><div><p>{prose}</p><p>{prose}</p></div><div class=footer><p>{prose}</p></div>"
+        assert kept_text(page) == [prose, prose]
+
+
+def test_named_elements_without_prose_exclude_nothing():
+    page = f"<body><h1 class='entry-title'>Head</h1><div class='post-meta'>By Ann, May 2</div><div><p>{PROSE * 3}</p><p>{PROSE * 3}</p></div>"
+    assert [x for x in kept_text(page) if len(x) > 70] == [PROSE * 3] * 2
+    assert kept_text(f"<body><div><p>{PROSE * 2}</p></div><article><p>{PROSE * 3}</p></article>") == [PROSE * 3]
