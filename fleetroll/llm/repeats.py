@@ -8,7 +8,9 @@ have to meet. Each brings its context, the bytes around it that passages through
 Contexts with one gram come to one task, which sorts them by the bytes from the anchor on (the suffix array), takes common
 prefixes of neighbours, and scans them with a stack: every interval of the tree is a string that its members share. Inside an
 interval, members are sorted by the bytes before the anchor, read backwards; the intervals of that order whose members differ
-in what comes before and in what follows are the maximal repeats, reported with all members. Equal contexts are counted
+in what comes before and in what follows are the maximal repeats. ``repeat_groups`` gives them with all members, but no query
+uses it: ``covered`` takes ``repeat_extents`` instead, each context's widest extent and no groups, because the scan with groups
+was stopped at 3085 MB of an executor (limit 3000) on 0.10 GB. Equal contexts are counted
 before they are dealt out, so copies never meet. A gram with more than ``MOST_CONTEXTS`` different contexts is compared window
 by window through sums instead, which gives the same bytes.
 
