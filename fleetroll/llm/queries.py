@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fill_middle, html_text, languages, mixing, near_dup, packing, quality, repeats, token_files, topk
-from .common import table
+from . import archives, chat, fill_middle, html_text, languages, mixing, near_dup, packing, quality, repeats, token_files, topk, variants
+from .common import saved, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -162,3 +162,50 @@ SQL["op11_fill_middle"] = r"""WITH t AS (
     CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
     sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
       ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
+
+
+@query
+def op13_variants(spark, sf):
+    return variants.variants(table(spark, sf, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+SQL["op13_variants"] = r"""WITH RECURSIVE k AS (SELECT list_transform(range(256), lambda x: list_reduce(
+      list_concat([x], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS k),
+  r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+  g AS (SELECT doc_id, run, count(*) AS n FROM r WHERE length(run) >= 5 GROUP BY ALL),
+  b AS (SELECT doc_id, run, n, flatten(list_transform(string_split(doc_id || ':' || run, ''),
+      lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END)) AS b FROM g),
+  h AS (SELECT run, n, CASE WHEN doc_id IS NULL THEN 1 ELSE xor(list_reduce(list_concat([4294967295], b),
+      lambda c, x: xor(c >> 8, k[CAST(xor(c, x) & 255 AS BIGINT) + 1])), 4294967295) END AS h FROM b, k),
+  e AS (SELECT CASE WHEN h % 97 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM h),
+  w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM e WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+  d AS (SELECT word, i, word[:i - 1] || word[i + 1:] AS less FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+  p AS (SELECT DISTINCT a, b FROM (
+    SELECT x.word AS a, y.word AS b FROM d x JOIN d y ON x.i = y.i AND x.less = y.less AND x.word <> y.word
+    UNION ALL SELECT d.word, w.word FROM d JOIN w ON d.less = w.word
+    UNION ALL SELECT w.word, d.word FROM d JOIN w ON d.less = w.word)),
+  m AS (SELECT a AS word, count(*) AS n_near, min({'n': -n, 'word': b}) AS best FROM p JOIN w ON w.word = b GROUP BY a),
+  f AS (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.n >= 2 * n THEN best.word END AS form,
+      CASE WHEN -best.n >= 2 * n THEN -best.n END AS form_n FROM w LEFT JOIN m USING (word)),
+  t(word, root) AS (SELECT word, word FROM f WHERE form IS NULL UNION ALL SELECT f.word, t.root FROM f JOIN t ON f.form = t.word)
+  SELECT word, form, root, n, n_near, form_n FROM f JOIN t USING (word)"""
+
+
+@query
+def op12_archives(spark, sf, least_bytes=0):
+    legacy = archives.write_arc(table(spark, sf, "pages"))
+    records = archives.read_warc(spark, archives.convert(spark, legacy, least_bytes=least_bytes), payloads=False)
+    told = saved(records.where("type IN ('response', 'revisit')").drop("payload"), "told")
+    return archives.with_referred(told).select(
+        "page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to"
+    )
+
+
+SQL["op12_archives"] = """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+  f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+  SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      CAST(((CAST('0x' || substr(p.h, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) + 1 AS BIGINT), 1)), '')
+      AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> first THEN first END AS refers_to
+  FROM p JOIN f USING (h)"""
