@@ -22,6 +22,23 @@ DEAD = "DEAD"
 REJECTED = "REJECTED"
 STORED = "STORED"
 
+# What became of a request.
+ANSWERED = "ANSWERED"
+TIMED_OUT = "TIMED_OUT"
+UNANSWERED = "UNANSWERED"
+SUPERSEDED = "SUPERSEDED"
+ORPHAN = "ORPHAN"
+
+# What became of a new record.
+REGISTERED = "REGISTERED"
+ALREADY_EXISTS = "ALREADY_EXISTS"
+
+# What became of an unreachable member: downed by a poll or, while exiting, at once; over before; still waited for.
+DOWNED = "DOWNED"
+EXITING = "EXITING"
+ENDED = "ENDED"
+WAITING = "WAITING"
+
 # Default settings, in seconds unless named otherwise.
 LAUNCH_TIMEOUT = 90
 HEARTBEAT_TIMEOUT = 36

@@ -16,6 +16,8 @@ from .correlate import completion_barrier, correlate_responses, first_terminal_s
 from .deploy import cyclic_slots, deploy_status_log, expand_deploys, match_offers, submitted_instances
 from .lifecycle import (
     auto_down,
+    auto_down_carry,
+    fleet_carry,
     fleet_state,
     fleet_transitions,
     heartbeat_liveness,

@@ -2,47 +2,75 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timing import MICROS, micros, to_timestamp
-from ..model import JOIN_TIMEOUT, REQUEST_TIMEOUT
-from ..plans import DEFAULT_SKEW, Before, Ordered, SkewPolicy, skew_join
+from ..model import ANSWERED, JOIN_TIMEOUT, REQUEST_TIMEOUT, SUPERSEDED, TIMED_OUT, UNANSWERED
+from ..plans import DEFAULT_SKEW, Before, Next, Ordered, SkewPolicy
+
+
+def answer_log(requests: DataFrame, responses: DataFrame) -> DataFrame:
+    """Both tables as one log (request_id, us, is_answer, response_id); a request comes before an answer of the same time."""
+    asked = requests.select(
+        "request_id", micros("ts").alias("us"), F.lit(False).alias("is_answer"), F.lit(None).cast("string").alias("response_id")
+    )
+    answers = responses.select(
+        "request_id", micros("ts").alias("us"), F.lit(True).alias("is_answer"), F.col("response_id").cast("string").alias("response_id")
+    )
+    return asked.unionByName(answers)
+
+
+def request_outcome(is_answer: Column, answered_us: Column, asked_us: Column, timeout: float) -> Column:
+    """What became of a request, from what follows it for its id: nothing, another request, or an answer."""
+    return (
+        F.when(is_answer.isNull(), UNANSWERED)
+        .when(~is_answer, SUPERSEDED)
+        .when(answered_us <= asked_us + int(timeout * MICROS), ANSWERED)
+        .otherwise(TIMED_OUT)
+    )
+
+
+def sender_not_found(request_id: Column) -> Column:
+    return F.concat(F.lit("Sender with ID "), F.coalesce(request_id.cast("string"), F.lit("null")), F.lit(" was not found"))
 
 
 def correlate_responses(
     requests: DataFrame, responses: DataFrame, timeout: float = REQUEST_TIMEOUT, policy: SkewPolicy = DEFAULT_SKEW
 ) -> DataFrame:
-    """Per request id: ANSWERED, TIMED_OUT or UNANSWERED with its first response at or after the request.
+    """Per request (request_id, asked_at): ANSWERED, TIMED_OUT (by a late answer), UNANSWERED or SUPERSEDED, and its answer.
 
-    Inputs are (request_id, ts) and (request_id, response_id, ts). A repeated request id belongs to its latest request.
+    Inputs are (request_id, ts) and (request_id, response_id, ts). A request is open from its time to its first answer or
+    the next request of its id, whichever comes first, and only an open request takes an answer: ``orphan_responses`` are
+    the others. So what follows a request directly in the log of its id decides, and one shuffle and sort does it all.
+    A request without an id takes no answer.
     """
-    owners = requests.groupBy("request_id").agg(F.max(micros("ts")).alias("asked_us"))
-    answers = responses.select("request_id", "response_id", micros("ts").alias("us"))
-    first = (
-        skew_join(answers, owners, ["request_id"], "inner", policy)
-        .where(F.col("us") >= F.col("asked_us"))
-        .groupBy("request_id")
-        .agg(F.min(F.struct("us", "response_id")).alias("first"))
-    )
-    joined = owners.join(first, "request_id", "left")
-    in_time = F.col("first.us") <= F.col("asked_us") + int(timeout * MICROS)
-    outcome = F.when(F.col("first").isNull(), "UNANSWERED").when(in_time, "ANSWERED").otherwise("TIMED_OUT")
-    return joined.select(
+    following = F.struct("us", "is_answer", "response_id")
+    log = Ordered(answer_log(requests, responses), ["request_id"], ["us", "is_answer", "response_id"], policy)
+    asked = log.scan(_next=Next(following)).where(~F.col("is_answer")).df
+    answered = F.coalesce(F.col("_next.is_answer"), F.lit(False)) & F.col("request_id").isNotNull()
+    named = F.when(F.col("request_id").isNotNull(), F.col("_next.is_answer"))
+    return asked.select(
         "request_id",
-        to_timestamp(F.col("asked_us")).alias("asked_at"),
-        outcome.alias("outcome"),
-        F.col("first.response_id").alias("response_id"),
-        to_timestamp(F.col("first.us")).alias("answered_at"),
+        to_timestamp(F.col("us")).alias("asked_at"),
+        request_outcome(named, F.col("_next.us"), F.col("us"), timeout).alias("outcome"),
+        F.when(answered, F.col("_next.response_id")).alias("response_id"),
+        to_timestamp(F.when(answered, F.col("_next.us"))).alias("answered_at"),
     )
 
 
 def orphan_responses(requests: DataFrame, responses: DataFrame, policy: SkewPolicy = DEFAULT_SKEW) -> DataFrame:
-    """Failure rows for responses whose request id was never asked."""
-    asked = requests.select("request_id").distinct()
-    orphans = skew_join(responses, asked, ["request_id"], "left_anti", policy)
-    message = F.concat(F.lit("Sender with ID "), F.col("request_id").cast("string"), F.lit(" was not found"))
-    return orphans.withColumn("message", message)
+    """Failure rows (request_id, response_id, ts, message) for the answers that no open request takes.
+
+    These are answers to ids that were never asked, answers before their request, and all after the first one. Together
+    with the answers in ``correlate_responses`` every response is in exactly one of the two.
+    """
+    log = Ordered(answer_log(requests, responses), ["request_id"], ["us", "is_answer", "response_id"], policy)
+    taken = F.col("request_id").isNotNull() & ~F.coalesce("_after_answer", F.lit(True))
+    orphans = log.scan(_after_answer=Before(F.col("is_answer"))).where(F.col("is_answer")).where(~taken).df
+    return orphans.select(
+        "request_id", "response_id", to_timestamp(F.col("us")).alias("ts"), sender_not_found(F.col("request_id")).alias("message")
+    )
 
 
 def join_deadlines(
@@ -66,7 +94,7 @@ def join_deadlines(
     return next_join.df.where(F.col("is_start") == 1).select(
         "key",
         to_timestamp(F.col("us")).alias("started_at"),
-        F.when(joined, "JOINED").otherwise("TIMED_OUT").alias("outcome"),
+        F.when(joined, "JOINED").otherwise(TIMED_OUT).alias("outcome"),
         to_timestamp(F.when(joined, F.col("join_us")).otherwise(deadline)).alias("decided_at"),
     )
 

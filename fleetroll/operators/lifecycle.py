@@ -19,6 +19,9 @@ from ..model import (
     BASE_KINDS,
     DEAD,
     DEPLOY_FAILED,
+    DOWNED,
+    ENDED,
+    EXITING,
     HEARTBEAT_MISSED_LIMIT,
     HEARTBEAT_TIMEOUT,
     JOIN_TIMEOUT,
@@ -31,6 +34,7 @@ from ..model import (
     STORED,
     UNREACHABLE,
     UP,
+    WAITING,
 )
 from ..plans import (
     DEFAULT_SKEW,
@@ -52,10 +56,7 @@ _ORDER = ["us", "event_id"]
 
 def _timed(events: DataFrame) -> DataFrame:
     """Events that can touch the registry, with integer time."""
-    if "exiting" in events.columns:
-        # An exiting member is expected to become unreachable.
-        events = events.where(~((F.col("kind") == UNREACHABLE) & F.coalesce("exiting", F.lit(False))))
-    return events.select("instance_id", micros("ts").alias("us"), "event_id", "kind").where(
+    return events.where(~_is_exiting(events)).select("instance_id", micros("ts").alias("us"), "event_id", "kind").where(
         F.col("kind").isin(*BASE_KINDS, *MEMBER_KINDS)
     )
 
@@ -197,10 +198,13 @@ def fleet_transitions(
     launch_timeout: float = LAUNCH_TIMEOUT,
     as_of: datetime | Column | None = None,
     policy: SkewPolicy = DEFAULT_SKEW,
+    clustered: bool = True,
 ) -> DataFrame:
     """The state after every event (instance_id, ts, event_id, state), REJECTED ones and one DEAD row per death included.
 
-    Member events before the first report of an instance have no effect and no row. All windows share one shuffle.
+    Member events before the first report of an instance have no effect and no row. Without a cluster an instance that is UP
+    leaves the local registry and is STORED: member events do not meet it until its next report brings it back. All windows
+    share one shuffle.
     """
     kind = F.col("kind")
     at = F.struct("us", "event_id", "kind")
@@ -217,6 +221,7 @@ def fleet_transitions(
         F.when(F.col("dead_us").isNotNull(), REJECTED)
         .when(F.col("base.kind") == DEPLOY_FAILED, ABSENT)
         .when(F.col("base.kind") != UP, F.col("base.kind"))
+        .when(F.lit(not clustered), STORED)
         .when(F.col("removed") > F.col("base"), ABSENT)
         .when((F.col("reach") > F.col("base")) & (F.col("reach.kind") == UNREACHABLE), UNREACHABLE)
         .otherwise(UP)
@@ -236,6 +241,39 @@ def fleet_transitions(
     )
 
 
+def fleet_carry(
+    events: DataFrame, launch_timeout: float = LAUNCH_TIMEOUT, policy: SkewPolicy = DEFAULT_SKEW
+) -> DataFrame:
+    """What later events of an instance need to know of ``events``: one row per instance, to start a stream from.
+
+    (instance_id, base, deadline, dead, removed, away): the last report, the deadline of a launch that is still open, and
+    whether the instance is dead, removed or unreachable since that report. Only events show a death here; a launch whose
+    deadline has passed without one stays open, for the stream to end it.
+    """
+
+    def last(kinds: Column) -> Column:
+        return F.max(F.when(kinds, F.struct("us", "event_id", "kind")))
+
+    per_instance = _with_deaths(events, launch_timeout, policy).df.groupBy("instance_id").agg(
+        last(F.col("kind").isin(*BASE_KINDS)).alias("base"),
+        last(F.col("kind") == REMOVED).alias("removed"),
+        last(F.col("kind").isin(UNREACHABLE, REACHABLE)).alias("reach"),
+        F.min("dead_us").alias("dead_us"),
+        F.max_by("_head", F.when(F.col("_head").isNotNull(), F.struct("us", "event_id"))).alias("head"),
+    )
+    dead = F.col("dead_us").isNotNull()
+    still_open = F.when(~dead & F.col("head.launching"), F.col("head.us") + int(launch_timeout * MICROS))
+    away = (F.col("reach") > F.col("base")) & (F.col("reach.kind") == UNREACHABLE)
+    return per_instance.where(F.col("base").isNotNull()).select(
+        "instance_id",
+        F.col("base.kind").alias("base"),
+        still_open.alias("deadline"),
+        dead.alias("dead"),
+        F.coalesce(F.col("removed") > F.col("base"), F.lit(False)).alias("removed"),
+        F.coalesce(away, F.lit(False)).alias("away"),
+    )
+
+
 def heartbeat_liveness(
     beats: DataFrame,
     timeout: float = HEARTBEAT_TIMEOUT,
@@ -329,11 +367,18 @@ def match_members(events: DataFrame, reg: DataFrame, policy: SkewPolicy = DEFAUL
     )
 
 
+def _is_exiting(events: DataFrame) -> Column:
+    """An exiting member that gets unreachable, which is expected; false where ``events`` have no such column."""
+    if "exiting" not in events.columns:
+        return F.lit(False)
+    return (F.col("kind") == UNREACHABLE) & F.coalesce("exiting", F.lit(False))
+
+
 def unreachable_episodes(
     events: DataFrame, policy: SkewPolicy = DEFAULT_SKEW, hot: HotKeys | None = None
 ) -> DataFrame:
-    """Episodes (instance_id, start_us, end_us) from member events; an open episode has no end."""
-    rows = events.where(F.col("kind").isin(*MEMBER_KINDS)).select(
+    """Episodes (instance_id, start_us, end_us) from member events; an open episode has no end, exiting members have none."""
+    rows = events.where(F.col("kind").isin(*MEMBER_KINDS) & ~_is_exiting(events)).select(
         "instance_id", micros("ts").alias("us"), "event_id", (F.col("kind") == UNREACHABLE).alias("away")
     )
     changes = (
@@ -349,10 +394,12 @@ def unreachable_episodes(
 def auto_down(
     events: DataFrame, deregistered: DataFrame, poll: float = AUTO_DOWN_POLL, policy: SkewPolicy = DEFAULT_SKEW
 ) -> DataFrame:
-    """Per unreachable episode (instance_id, unreachable_at, ended_at) the poll that downs the member, if any.
+    """Per unreachable episode (instance_id, unreachable_at, ended_at, down_at, outcome) the poll that downs the member, if any.
 
     ``deregistered`` is (instance_id, deregistered_at): null is still registered, no row never was. Polls come at once and
-    then every ``poll`` seconds; the first one at or after deregistration downs the member if the episode still lasts.
+    then every ``poll`` seconds; the first one at or after deregistration downs the member if the episode still lasts: it is
+    DOWNED, else ENDED or still WAITING. A member that is ``exiting`` (a column of ``events``) when it gets unreachable is
+    downed at once: EXITING, a row for each such event, without an episode or a poll.
     """
     poll_us = int(poll * MICROS)
     gone = deregistered.select("instance_id", micros("deregistered_at").alias("gone_us"), F.lit(True).alias("_listed"))
@@ -362,9 +409,37 @@ def auto_down(
     first_poll = F.col("start_us") + waited + F.pmod(-waited, F.lit(poll_us))  # waited, rounded up to whole polls
     at = F.when(F.col("_listed").isNull(), F.col("start_us")).when(F.col("gone_us").isNotNull(), first_poll)
     in_time = F.col("end_us").isNull() | (F.col("_at") < F.col("end_us"))
-    return joined.withColumn("_at", at).select(
+    outcome = F.when(F.col("_down").isNotNull(), DOWNED).when(F.col("end_us").isNotNull(), ENDED).otherwise(WAITING)
+    polled = joined.withColumn("_at", at).withColumn("_down", F.when(in_time, F.col("_at"))).select(
         "instance_id",
         to_timestamp(F.col("start_us")).alias("unreachable_at"),
         to_timestamp(F.col("end_us")).alias("ended_at"),
-        to_timestamp(F.when(in_time, F.col("_at"))).alias("down_at"),
+        to_timestamp(F.col("_down")).alias("down_at"),
+        outcome.alias("outcome"),
+    )
+    if "exiting" not in events.columns:
+        return polled
+    at_once = to_timestamp(micros("ts"))
+    left = events.where(_is_exiting(events)).select(
+        "instance_id",
+        at_once.alias("unreachable_at"),
+        F.lit(None).cast("timestamp").alias("ended_at"),
+        at_once.alias("down_at"),
+        F.lit(EXITING).alias("outcome"),
+    )
+    return polled.unionByName(left)
+
+
+def auto_down_carry(events: DataFrame, deregistered: DataFrame, policy: SkewPolicy = DEFAULT_SKEW) -> DataFrame:
+    """What a stream needs to go on with: (instance_id, since, gone, done) of members that are away or deregistered.
+
+    The open episodes of ``events`` are the stream's to end; those that are over are in ``auto_down`` with ``ended_at``.
+    """
+    away = unreachable_episodes(events, policy).where(F.col("end_us").isNull())
+    gone = deregistered.where(F.col("deregistered_at").isNotNull())
+    sides = away.select("instance_id", F.col("start_us").alias("since"), F.lit(None).cast("bigint").alias("gone")).unionByName(
+        gone.select("instance_id", F.lit(None).cast("bigint").alias("since"), micros("deregistered_at").alias("gone"))
+    )
+    return sides.groupBy("instance_id").agg(
+        F.min("since").alias("since"), F.min("gone").alias("gone"), F.lit(False).alias("done")
     )

@@ -2,33 +2,102 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.timing import MICROS
-from ..model import REQUEST_TIMEOUT
+from ..functions.timing import MICROS, to_timestamp
+from ..model import ANSWERED, ORPHAN, REQUEST_TIMEOUT, SUPERSEDED, TIMED_OUT, UNANSWERED
+from ..operators.correlate import sender_not_found
+from .fold import BUCKETS, SLOT, Fold, folded, in_slots, ship_by_value
+
+
+class OpenRequest(Fold):
+    """State: since when a request of the id is open."""
+
+    state_schema = "asked bigint"
+    start = (None,)
+    columns = ["us", "is_answer", "response_id"]
+    output_schema = "asked_us bigint, outcome string, response_id string, answered_us bigint"
+
+    def __init__(self, timeout_us: int, give_up_us: int, given_up: str):
+        self.timeout_us, self.give_up_us, self.given_up = timeout_us, give_up_us, given_up
+
+    def deadline(self, state):
+        return None if state[0] is None else state[0] + self.give_up_us
+
+    def expire(self, state):
+        return self.start, [[state[0]], [self.given_up], [None], [None]]
 
+    def fold_keys(self, states, slots):
+        """All keys at once: rows in order by key, an open request first; what follows a row of its key decides."""
+        size = [sum(len(r["us"]) for r in rows) for rows in slots]
+        every = list(chain.from_iterable(slots))
+        us, is_answer, response_id = (list(chain.from_iterable(r[c] for r in every)) for c in self.columns)
+        key = np.repeat(np.arange(len(slots)), size)
+        held = [k for k, state in enumerate(states) if state[0] is not None]
+        at = (np.cumsum(size) - size)[held]
+        us = np.insert(np.array(us), at, [states[k][0] for k in held])
+        is_answer = np.insert(np.array(is_answer, bool), at, False)
+        response_id = np.insert(np.array(response_id, object), at, None)
+        key = np.insert(key, at, held)
 
-def stream_correlate(requests: DataFrame, responses: DataFrame, timeout: float = REQUEST_TIMEOUT) -> DataFrame:
-    """Per request (request_id, asked_at): ANSWERED by its first response in time, else TIMED_OUT at the deadline.
+        followed = np.append(key[1:] == key[:-1], False)
+        asked = np.flatnonzero(~is_answer & followed)
+        following = us[asked + 1]
+        kept = following <= us[asked] + self.give_up_us
+        answered = is_answer[asked + 1] & kept
+        outcome = np.where(following <= us[asked] + self.timeout_us, ANSWERED, TIMED_OUT)
+        outcome = np.where(is_answer[asked + 1], outcome, SUPERSEDED)
+        outcome = np.where(kept, outcome, self.given_up)
+        taken = np.zeros(len(us), bool)
+        taken[asked[answered] + 1] = True
+        orphans = np.flatnonzero(is_answer & ~taken)
+        out = [
+            us[asked].tolist() + [None] * len(orphans),
+            outcome.tolist() + [ORPHAN] * len(orphans),
+            np.where(answered, response_id[asked + 1], None).tolist() + response_id[orphans].tolist(),
+            np.where(answered, following.astype(object), None).tolist() + us[orphans].tolist(),
+        ]
+        after = [self.start] * len(states)
+        for k in np.flatnonzero(~is_answer & ~followed).tolist():
+            after[key[k]] = (int(us[k]),)
+        return after, [*key[asked].tolist(), *key[orphans].tolist()], out
 
-    Inputs are (request_id, ts) and (request_id, response_id, ts), each with a watermark on ``ts``. The outer join keeps a
-    request until its deadline has passed; the aggregation after it keeps the first of several responses. A request id
-    that comes again is a request of its own.
+
+ship_by_value(__name__)
+
+
+def stream_correlate(
+    requests: DataFrame,
+    responses: DataFrame,
+    timeout: float = REQUEST_TIMEOUT,
+    give_up: float | None = None,
+    slot: float = SLOT,
+    buckets: int = BUCKETS,
+) -> DataFrame:
+    """What became of every request and every response (request_id, asked_at, outcome, response_id, answered_at, message).
+
+    Inputs are (request_id, ts) and (request_id, response_id, ts), each with a watermark on ``ts``. As in
+    ``correlate_responses``, a request is open to its first answer or the next request of its id: ANSWERED, TIMED_OUT by
+    a late answer, or SUPERSEDED. One that stays open is dropped ``give_up`` seconds after it was asked, as UNANSWERED. By
+    default that is the deadline itself, where it is TIMED_OUT without an answer. Answers that no open request takes are
+    rows of their own, ORPHAN with a message.
     """
-    asked = requests.select("request_id", F.col("ts").alias("asked_at"))
-    answers = responses.select(F.col("request_id").alias("answer_to"), "response_id", F.col("ts").alias("answered_at"))
-    in_time = (F.col("answered_at") >= F.col("asked_at")) & (
-        F.col("answered_at") <= F.col("asked_at") + F.expr(f"interval {int(timeout * MICROS)} microseconds")
-    )
-    joined = asked.join(answers, (F.col("request_id") == F.col("answer_to")) & in_time, "left")
-    first = joined.groupBy("request_id", "asked_at").agg(
-        F.min(F.when(F.col("answered_at").isNotNull(), F.struct("answered_at", "response_id"))).alias("first")
-    )
-    return first.select(
+    slot_us, timeout_us = int(slot * MICROS), int(timeout * MICROS)
+    asked = requests.select("request_id", "ts", F.lit(False).alias("is_answer"), F.lit(None).cast("string").alias("response_id"))
+    answers = responses.select("request_id", "ts", F.lit(True).alias("is_answer"), F.col("response_id").cast("string").alias("response_id"))
+    log = asked.unionByName(answers).where(F.col("request_id").isNotNull())
+    give_up_us, given_up = (timeout_us, TIMED_OUT) if give_up is None else (int(give_up * MICROS), UNANSWERED)
+    slots = in_slots(log, "request_id", "ts", slot_us, "is_answer", "response_id")
+    rows = folded(slots, "request_id", OpenRequest(timeout_us, give_up_us, given_up), slot_us, buckets=buckets)
+    return rows.select(
         "request_id",
-        "asked_at",
-        F.when(F.col("first").isNull(), "TIMED_OUT").otherwise("ANSWERED").alias("outcome"),
-        F.col("first.response_id").alias("response_id"),
-        F.col("first.answered_at").alias("answered_at"),
+        to_timestamp(F.col("asked_us")).alias("asked_at"),
+        "outcome",
+        "response_id",
+        to_timestamp(F.col("answered_us")).alias("answered_at"),
+        F.when(F.col("outcome") == ORPHAN, sender_not_found(F.col("request_id"))).alias("message"),
     )

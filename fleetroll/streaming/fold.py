@@ -1,131 +1,213 @@
-"""Folding the events of a key in event-time order, whatever order they arrive in."""
+"""Folding the events of a key in event-time order, whatever order they arrive in.
+
+The JVM does the waiting and the ordering: a streaming aggregation files events by key and time slot, combines map-side, and
+gives a slot up, sorted, once the watermark has passed its end. A processor then takes the closed slots of a key as arrays and
+folds them by NumPy operations, so no Python runs per event. Calls to the state store cost more than folding a few events, so
+the states of some keys, a bucket of them, are read and written together, and a bucket's results are one row of arrays that the
+JVM spreads into rows again.
+"""
 
 from __future__ import annotations
 
 import sys
-import uuid
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain
 
+import numpy as np
 from pyspark import cloudpickle
-from pyspark.sql import Row
+from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-CHUNK = 10_000
-SLOT_US = 60_000_000
+from ..functions.timing import micros
 
+#: Width of a time slot: results wait for the end of their slot, and memory for one key is bounded by the events of a slot.
+SLOT = 60.0
+#: Buckets of keys. A bucket's states are written together, so there should be one bucket for every 16 to 250 live keys.
+BUCKETS = 1 << 16
+#: Values in one row of results.
+ROW_VALUES = 10_000
 
-class OrderedFold(StatefulProcessor):
-    """Holds events back until the watermark has passed them, then folds them by (us, event_id).
 
-    A subclass keeps one state tuple per key. ``step(state, event)`` returns the new state and output rows;
-    ``expire(state)`` does the same at the deadline ``deadline(state)`` (microseconds or None), which takes effect when an
-    event or the watermark is beyond it: an event right on the deadline still comes first.
+class Fold:
+    """A rule that folds the closed slots of a key into a state tuple, with one open deadline per key.
 
-    Pending events are those within the watermark delay. They are kept in parts, each filed under the time slot of its
-    first event; many events at once are filed slot by slot. Only parts that the watermark has reached are read.
+    ``fold(state, *columns)`` gets the arrays of a key's events in order and returns the new state and output lists (or None);
+    ``deadline(state)`` is the time (microseconds) after which ``expire(state)`` applies, or None. An event right on a deadline
+    still comes first, so a deadline is safe once the slot that holds it is closed. A key in the ``start`` state takes no space.
     """
 
-    event_columns = ["us", "event_id", "kind"]
-    event_schema = "events array<struct<us:bigint,event_id:bigint,kind:string>>"
+    #: "name type, ..." of a state, of the slots' arrays (names only), and of the output without the key.
     state_schema = ""
     start: tuple = ()
-    output_columns: list[str] = []
+    columns: list[str] = []
+    output_schema = ""
 
     def deadline(self, state: tuple) -> int | None:
         raise NotImplementedError
 
-    def step(self, state: tuple, event: tuple) -> tuple[tuple, list[tuple]]:
+    def fold(self, state: tuple, *columns: np.ndarray) -> tuple[tuple, list[list] | None]:
         raise NotImplementedError
 
-    def expire(self, state: tuple) -> tuple[tuple, list[tuple]]:
+    def expire(self, state: tuple) -> tuple[tuple, list[list] | None]:
         raise NotImplementedError
 
+    def arrays(self, rows: list[Row]) -> list[np.ndarray]:
+        return [np.array(list(chain.from_iterable(r[c] for r in rows))) for c in self.columns]
+
+    def fold_keys(self, states: list[tuple], slots: list[list[Row]]) -> tuple[list[tuple], list[int], list[list]]:
+        """``fold`` for some keys: their new states, and for the output lists put together, which key each place belongs to."""
+        after, owner, out = [], [], None
+        for k, (state, rows) in enumerate(zip(states, slots)):
+            state, found = self.fold(state, *self.arrays(rows))
+            after.append(state)
+            if found is not None:
+                owner += [k] * len(found[0])
+                out = _joined(out, found)
+        return after, owner, out or []
+
+
+class Bucket(StatefulProcessor):
+    """Runs a rule for the keys of a bucket. The state is the list of their states, each with its key."""
+
+    def __init__(self, rule: Fold, key_type: str, slot_us: int):
+        self.rule, self.slot_us = rule, slot_us
+        fields = ", ".join(f.replace(" ", ":", 1) for f in rule.state_schema.split(", "))
+        self.schema = f"held array<struct<key:{key_type}, {fields}>>"
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", self.state_schema)
-        self.pending = handle.getMapState("pending", "slot bigint, part bigint", self.event_schema)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        events = (tuple(row[c] for c in self.event_columns) for row in rows)
-        earliest = None
-        while chunk := list(islice(events, CHUNK)):
-            first = min(chunk)[0]
-            earliest = first if earliest is None else min(earliest, first)
-            if len(chunk) < CHUNK:
-                self._hold(first, chunk)
-            else:
-                by_slot = defaultdict(list)
-                for event in chunk:
-                    by_slot[event[0] // SLOT_US].append(event)
-                for slot, part in by_slot.items():
-                    self._hold(slot * SLOT_US, part)
-        if earliest is not None:
-            self._wake_after(earliest)
-        return iter(())
+        self.state = handle.getValueState("state", self.schema)
+
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        held = {r[0]: tuple(r[1:]) for r in map(_values, initialState["held"])}
+        self._keep(held, True)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held, had = self._held()
+        by_key = defaultdict(list)
+        for row in rows:
+            by_key[row["key"]].append(row)
+        names = list(by_key)
+        for slots in by_key.values():
+            slots.sort(key=lambda r: r["slot_us"])
+        states = [held.pop(name, self.rule.start) for name in names]
+        states, owner, out = self.rule.fold_keys(states, list(by_key.values()))
+        held |= {name: state for name, state in zip(names, states) if state != self.rule.start}
+        self._keep(held, had)
+        yield from _rows([names[k] for k in owner], out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        named = Row(*self.output_columns)
-        state = self.state.get() or self.start
-        held = sorted(tuple(k) for k in self.pending.keys())
-        events: list[tuple] = []  # read, but not yet folded
-        out: list[tuple] = []
-        end = 0
-        while end < passed:
-            slots = [held[0][0]] if held else []
-            if events:
-                slots.append(min(events)[0] // SLOT_US)
-            if not slots or min(slots) * SLOT_US >= passed:
-                break
-            slot = min(slots)
-            end = (slot + 1) * SLOT_US
-            while held and held[0][0] == slot:
-                part = held.pop(0)
-                events += [tuple(e) for e in self.pending.getValue(part)[0]]
-                self.pending.removeKey(part)
-            due = sorted(e for e in events if e[0] < min(end, passed))
-            events = [e for e in events if e[0] >= min(end, passed)]
-            for event in due:
-                state = self._expire_before(state, event[0], out)
-                state, rows = self.step(state, event)
-                out += rows
-            for row in out:
-                yield named(*key, *row)
-            out.clear()
-        state = self._expire_before(state, passed, out)
-        for row in out:
-            yield named(*key, *row)
-        self.state.update(state)
-        wakes = [self.deadline(state)]
-        if events:
-            wakes.append(min(events)[0])
-            self._hold(wakes[-1], events)
+        held, had = self._held()
+        owner, out = [], None
+        for name, state in list(held.items()):
+            deadline = self.rule.deadline(state)
+            if deadline is not None and self._safe(deadline) < passed:
+                held[name], found = self.rule.expire(state)
+                if held[name] == self.rule.start:
+                    del held[name]
+                if found is not None:
+                    owner += [name] * len(found[0])
+                    out = _joined(out, found)
+        self._keep(held, had)
+        yield from _rows(owner, out or [])
+
+    def _held(self) -> tuple[dict, bool]:
+        state = self.state.get()
+        return ({r[0]: tuple(r[1:]) for r in map(_values, state[0])} if state else {}), state is not None
+
+    def _keep(self, held: dict, had: bool) -> None:
         if held:
-            wakes.append(held[0][0] * SLOT_US)
-        wakes = [t for t in wakes if t is not None]
-        if wakes:
-            self._wake_after(min(wakes))
-
-    def _hold(self, first_us: int, events: list[tuple]) -> None:
-        part = uuid.uuid4().int >> 65  # parts of one slot only have to differ
-        self.pending.updateValue((first_us // SLOT_US, part), (events,))
-
-    def _expire_before(self, state: tuple, us: int, out: list[tuple]) -> tuple:
-        deadline = self.deadline(state)
-        if deadline is not None and us > deadline:
-            state, rows = self.expire(state)
-            out += rows
-        return state
+            self.state.update(([(name, *state) for name, state in held.items()],))
+        elif had:
+            self.state.clear()
+        deadlines = [d for d in map(self.rule.deadline, held.values()) if d is not None]
+        if deadlines:
+            self.handle.registerTimer(self._safe(min(deadlines)) // 1000 + 1)
 
-    def _wake_after(self, us: int) -> None:
-        self.handle.registerTimer(us // 1000 + 1)
+    def _safe(self, deadline: int) -> int:
+        """End of the slot that holds the deadline."""
+        return (deadline // self.slot_us + 1) * self.slot_us
 
     def close(self) -> None:
         pass
 
 
+def _joined(out: list[list] | None, found: list[list]) -> list[list]:
+    if out is None:
+        return [list(c) for c in found]
+    for have, more in zip(out, found):
+        have += more
+    return out
+
+
+def _values(row) -> tuple:
+    return tuple(row.values()) if isinstance(row, dict) else tuple(row)
+
+
+def _rows(keys: list, columns: list[list]) -> Iterator[Row]:
+    """Outputs as rows of arrays, the first of them the keys."""
+    columns = [keys, *columns]
+    named = Row(*[f"c{k}" for k in range(len(columns))])
+    for at in range(0, len(keys), ROW_VALUES):
+        yield named(*[c[at : at + ROW_VALUES] for c in columns])
+
+
+def in_slots(events: DataFrame, key: str, ts: str, slot_us: int, *order: str) -> DataFrame:
+    """(key, slot_ts, slot_us, arrays of ``us`` and the ``order`` columns): closed slots with events in order of both."""
+    timed = events.select(key, ts, F.struct(micros(ts).alias("us"), *order).alias("event"))
+    slots = timed.groupBy(key, F.window(ts, f"{slot_us} microseconds")).agg(
+        F.array_sort(F.collect_list("event")).alias("events")
+    )
+    return slots.select(
+        key,
+        F.window_time("window").alias("slot_ts"),
+        F.unix_micros("window.start").alias("slot_us"),
+        *[F.col(f"events.{c}").alias(c) for c in ("us", *order)],
+    )
+
+
+def folded(
+    slots: DataFrame, key: str, rule: Fold, slot_us: int, initial: DataFrame | None = None, buckets: int = BUCKETS
+) -> DataFrame:
+    """(key, output columns of the rule) of a fold over slots.
+
+    ``initial`` is a table with a row per key and the columns of the state, to start from.
+    """
+    key_type = slots.schema[key].dataType.simpleString()
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket")
+    names = [f.split()[0] for f in rule.state_schema.split(", ")]
+    started = None
+    if initial is not None:
+        state = F.collect_list(F.struct(F.col(key).alias("key"), *names)).alias("held")
+        started = initial.select(bucket, key, *names).groupBy("bucket").agg(state).groupBy("bucket")
+    output = [f.split(maxsplit=1) for f in f"{key} {key_type}, {rule.output_schema}".split(", ")]
+    arrays = ", ".join(f"c{k} array<{kind}>" for k, (_, kind) in enumerate(output))
+    found = (
+        slots.select(bucket, F.col(key).alias("key"), *[c for c in slots.columns if c != key])
+        .groupBy("bucket")
+        .transformWithState(Bucket(rule, key_type, slot_us), arrays, "Append", "EventTime", initialState=started)
+    )
+    spread = found.select(F.inline(F.arrays_zip(*[f"c{k}" for k in range(len(output))])))
+    return spread.toDF(*[name for name, _ in output])
+
+
+def coded(kind: Column, codes: list[str]) -> Column:
+    """The place of a text in ``codes``; null for others."""
+    return F.when(kind.isin(*codes), F.array_position(F.array(*[F.lit(c) for c in codes]), kind).cast("int") - 1)
+
+
+def decoded(code: Column, codes: list[str]) -> Column:
+    return F.element_at(F.array(*[F.lit(c) for c in codes]), code + 1)
+
+
+def last_before(is_one: np.ndarray) -> np.ndarray:
+    """For every place the last place up to it where ``is_one`` holds, else -1."""
+    return np.maximum.accumulate(np.where(is_one, np.arange(len(is_one)), -1))
+
+
 def ship_by_value(module: str) -> None:
     """Lets executors run the processors of a module without having the package installed."""
     cloudpickle.register_pickle_by_value(sys.modules[module])

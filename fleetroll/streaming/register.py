@@ -2,14 +2,91 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.timing import MICROS, micros
+from ..model import ALREADY_EXISTS, REGISTERED
+from .fold import BUCKETS, SLOT, Fold, folded, ship_by_value
+
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
+class Registered(Fold):
+    """State: whether the id is held, and until when it is remembered (null: for ever)."""
+
+    state_schema = "known boolean, until bigint"
+    start = (False, None)
+    columns = ["us", "row"]
+    output_schema = "row string, first boolean"
+
+    def __init__(self, forget_us: int | None):
+        self.forget_us = forget_us
+
+    def arrays(self, rows):
+        return [np.concatenate([np.asarray(r["us"]) for r in rows]), [x for r in rows for x in r["row"]]]
+
+    def deadline(self, state):
+        return state[1]
+
+    def expire(self, state):
+        return self.start, None
+
+    def fold(self, state, us, row):
+        known, until = state
+        first = np.zeros(len(us), bool)
+        at = 0
+        while True:
+            if known:  # the next record that is not remembered any more
+                at = len(us) if until is None else max(at, int(np.searchsorted(us, until, "right")))
+            if at == len(us):
+                return (known, until), [row, first.tolist()]
+            first[at] = True
+            known, until = True, None if self.forget_us is None else int(us[at]) + self.forget_us
+            at += 1
+
+
+ship_by_value(__name__)
 
 
-def stream_register(new: DataFrame, reg: DataFrame | None = None, forever: bool = True) -> DataFrame:
-    """The first record of each ``instance_id`` that the registry table ``reg`` does not hold.
+def stream_register(
+    new: DataFrame,
+    reg: DataFrame | None = None,
+    order: Sequence[str] = (),
+    forget_after: float | None = None,
+    slot: float = SLOT,
+    buckets: int = BUCKETS,
+) -> DataFrame:
+    """Every record of ``new`` with its ``outcome``: REGISTERED for the first of an id in event time, else ALREADY_EXISTS.
 
-    ``forever`` remembers every id; otherwise an id is remembered as long as the watermark of ``new`` lasts, which bounds
-    the state. The memory of ids is Spark's own deduplication state.
+    ``new`` has instance_id, ts with a watermark, and any further columns; records of one time go by the columns ``order``. A
+    slot is closed before its records are looked at, so arrival order does not matter. Ids of the table ``reg`` are taken from
+    the start. An id is remembered for ever, or ``forget_after`` seconds from its registration, which bounds the state.
     """
-    fresh = new if reg is None else new.join(reg.select("instance_id"), "instance_id", "left_anti")
-    return fresh.dropDuplicates(["instance_id"]) if forever else fresh.dropDuplicatesWithinWatermark(["instance_id"])
+    slot_us = int(slot * MICROS)
+    forget_us = None if forget_after is None else int(forget_after * MICROS)
+    place = F.struct(micros("ts").alias("us"), *order)
+    record = F.struct(place.alias("at"), F.to_json(F.struct("*"), _JSON).alias("row"))
+    earlier = F.array_sort(
+        F.collect_list("record"), lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)
+    )
+    slots = (
+        new.select("instance_id", "ts", record.alias("record"))
+        .groupBy("instance_id", F.window("ts", f"{slot_us} microseconds"))
+        .agg(earlier.alias("records"))
+        .select(
+            "instance_id", F.window_time("window").alias("slot_ts"), F.unix_micros("window.start").alias("slot_us"),
+            F.col("records.at.us").alias("us"), F.col("records.row").alias("row"),
+        )
+    )
+    held = None
+    if reg is not None:
+        held = reg.select("instance_id").distinct().select(
+            "instance_id", F.lit(True).alias("known"), F.lit(None).cast("bigint").alias("until")
+        )
+    rows = folded(slots, "instance_id", Registered(forget_us), slot_us, held, buckets)
+    outcome = F.when(F.col("first"), REGISTERED).otherwise(ALREADY_EXISTS)
+    return rows.select(F.from_json("row", new.schema, _JSON).alias("r"), outcome.alias("outcome")).select("r.*", "outcome")

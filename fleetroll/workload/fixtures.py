@@ -195,6 +195,13 @@ def requests_and_responses(spark: SparkSession, sf: str) -> tuple[DataFrame, Dat
     return asked, answers
 
 
+def repeated_requests_and_responses(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """F6 with one id for every four orders: ids come again, and answers come early, twice and after the next request."""
+    asked, answers = requests_and_responses(spark, sf)
+    folded = F.col("request_id") - F.col("request_id") % 4
+    return asked.withColumn("request_id", folded), answers.withColumn("request_id", folded)
+
+
 def children(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("parent"),
@@ -220,7 +227,6 @@ def offers(spark: SparkSession, sf: str) -> DataFrame:
     """F7."""
     return (
         table(spark, sf, "lineitem")
-        .where(F.col("l_partkey") % 3 == 0)
         .select(
             F.col("l_orderkey").alias("slot"),
             F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("offered_us"),
@@ -232,7 +238,7 @@ def offers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pending_slots(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").where(F.col("o_orderkey") % 2 == 0).select(F.col("o_orderkey").alias("slot"))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("slot"))
 
 
 def deploy_results(instances: DataFrame) -> DataFrame:
@@ -276,14 +282,25 @@ def uris(spark: SparkSession, sf: str) -> DataFrame:
     return pages.select("page_id", F.inline(forms))
 
 
+def lookup_ids(spark: SparkSession, sf: str) -> Column:
+    """How many ids lookups draw from: a third more than there are customers, so some are unknown at every scale."""
+    return table(spark, sf, "customer").select(F.expr("count(1) * 4 div 3")).scalar()
+
+
 def lookups(spark: SparkSession, sf: str) -> DataFrame:
     """(request_id, instance_id, seq); ids above the table size are unknown."""
     k = F.col("c_custkey")
     return table(spark, sf, "customer").select(
-        k.alias("request_id"), instance_id((k * 7) % 2000).alias("instance_id"), k.alias("seq")
+        k.alias("request_id"), instance_id((k * 7) % lookup_ids(spark, sf)).alias("instance_id"), k.alias("seq")
     )
 
 
+def clock_starts(spark: SparkSession, sf: str) -> DataFrame:
+    """(key, ts): every customer's heartbeat clock starts with the first event of all."""
+    start = events(spark, sf).select(F.min("ts")).scalar()
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), start.alias("ts"))
+
+
 def filter_requests(spark: SparkSession, sf: str) -> DataFrame:
     """one filter request per nation, with a role, a container or neither."""
     n = F.col("n_nationkey")

@@ -85,9 +85,9 @@ def win_6_split(spark, sf):
 
 
 JN_9_SQL = """SELECT l_orderkey AS slot, epoch_us(l_shipdate) AS offered_us, l_partkey, l_suppkey, l_linenumber::BIGINT AS l_linenumber,
-  CASE WHEN l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0) AND row_number() OVER
+  CASE WHEN l_orderkey IN (SELECT o_orderkey FROM orders) AND row_number() OVER
     (PARTITION BY l_orderkey ORDER BY l_shipdate, l_partkey, l_suppkey, l_linenumber) = 1 THEN 'LAUNCHED' ELSE 'RELEASED' END AS outcome
-FROM lineitem WHERE l_partkey % 3 = 0"""
+FROM lineitem"""
 
 
 def _match_offers(spark, sf, policy=DEFAULT_SKEW):
@@ -110,6 +110,16 @@ def jn_9_split(spark, sf):
 YEAR_US = 365 * 86_400_000_000
 
 
+def _correlate_sql(requests: str, answers: str) -> str:
+    """Every request with the answer that it owns: the first one after it, if no request of its id comes before that."""
+    return f"""SELECT q.request_id, q.us AS asked_at, CASE WHEN p.us IS NOT NULL AND nth_same = 1 THEN
+          CASE WHEN p.us <= q.us + {YEAR_US} THEN 'ANSWERED' ELSE 'TIMED_OUT' END
+        WHEN nth_same > 1 OR last_us > q.us THEN 'SUPERSEDED' ELSE 'UNANSWERED' END AS outcome,
+      CASE WHEN nth_same = 1 THEN p.response_id END AS response_id, CASE WHEN nth_same = 1 THEN p.us END AS answered_at
+    FROM (SELECT *, row_number() OVER (PARTITION BY request_id, us) AS nth_same, max(us) OVER (PARTITION BY request_id) AS last_us FROM {requests}) q
+    LEFT JOIN (SELECT * FROM {answers} WHERE asked_us IS NOT NULL AND nth = 1) p ON p.request_id = q.request_id AND p.asked_us = q.us"""
+
+
 @query(
     "jn_6",
     with_views(
@@ -125,15 +135,29 @@ def jn_6(spark, sf):
     return ops.correlate_responses(asked, answers, timeout=365 * DAY)
 
 
-@query(
-    "jn_6_orphans",
-    """SELECT l_orderkey AS request_id, l_linenumber || '-' || l_partkey || '-' || l_suppkey AS response_id, epoch_us(l_shipdate) AS ts,
-      'Sender with ID ' || l_orderkey || ' was not found' AS message
-    FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 5 <> 0)""",
+JN_6_REPEATED = with_views("f6_owned", _correlate_sql("f6_repeated", "f6_owned"))
+JN_6_ORPHANS = with_views(
+    "f6_owned",
+    """SELECT request_id, response_id, us AS ts, 'Sender with ID ' || request_id || ' was not found' AS message
+    FROM f6_owned WHERE asked_us IS NULL OR nth > 1""",
 )
+
+
+@query("jn_6_repeated", JN_6_REPEATED)
+def jn_6_repeated(spark, sf):
+    """Ids that are asked again."""
+    return ops.correlate_responses(*fx.repeated_requests_and_responses(spark, sf), timeout=365 * DAY)
+
+
+@query("jn_6_repeated_split", JN_6_REPEATED)
+def jn_6_repeated_split(spark, sf):
+    policy = SkewPolicy(group_rows=6, probe_bytes=0)
+    return ops.correlate_responses(*fx.repeated_requests_and_responses(spark, sf), timeout=365 * DAY, policy=policy)
+
+
+@query("jn_6_orphans", JN_6_ORPHANS)
 def jn_6_orphans(spark, sf):
-    asked, answers = fx.requests_and_responses(spark, sf)
-    return ops.orphan_responses(asked.where(F.col("request_id") % 5 != 0), answers)
+    return ops.orphan_responses(*fx.repeated_requests_and_responses(spark, sf))
 
 
 TOP_2_SQL = with_views(
@@ -254,10 +278,12 @@ def win_1_counts(spark, sf):
     return _fleet_state(spark, sf).groupBy("state").agg(F.count(F.lit(1)).alias("instances"))
 
 
-def transitions_sql(as_of: str) -> str:
+def transitions_sql(as_of: str, clustered: bool = True) -> str:
+    # Without a cluster the local registry holds an instance only until it is UP, so member events do not meet it.
+    steps = STEPS if clustered else STEPS.replace("WHEN removed THEN", "WHEN true THEN 'STORED' WHEN removed THEN")
     return with_views(
         "f3",
-        f"""WITH {DEATHS.format(as_of=as_of)}, {STEPS}
+        f"""WITH {DEATHS.format(as_of=as_of)}, {steps}
         SELECT instance_id, us AS ts, event_id, state FROM steps
         UNION ALL SELECT instance_id, dead_us, NULL, 'DEAD' FROM deaths""",
     )
@@ -273,6 +299,11 @@ def win_1_transitions_split(spark, sf):
     return ops.fleet_transitions(fx.lifecycle_events(spark, sf), SIX_HOURS, _last_ts(spark, sf), policy=TINY)
 
 
+@query("win_1_unclustered", transitions_sql(LAST, clustered=False))
+def win_1_unclustered(spark, sf):
+    return ops.fleet_transitions(fx.lifecycle_events(spark, sf), SIX_HOURS, _last_ts(spark, sf), clustered=False)
+
+
 @query("win_2", with_views("f3", f"WITH {DEATHS.format(as_of=LAST)} SELECT instance_id, dead_us AS dead_at FROM deaths"))
 def win_2(spark, sf):
     return ops.launch_timeouts(fx.lifecycle_events(spark, sf), SIX_HOURS, _last_ts(spark, sf))
@@ -298,16 +329,28 @@ def win_2_rejected_split(spark, sf):
 BEAT_US = 16 * 3_600_000_000
 
 
-def liveness_sql(as_of: str) -> str:
-    return f"""WITH gaps AS (SELECT user_id AS key, epoch_us(ts) AS us,
-        coalesce(lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id), {as_of}) - epoch_us(ts) AS gap FROM events),
+def _liveness_sql(gaps: str) -> str:
+    """``gaps`` has key, us, gap to the next beat, and n: 1 for a beat, 0 for the start of a clock."""
+    return f"""WITH gaps AS ({gaps}),
       ends AS (SELECT key, min(us + 3 * {BEAT_US}) FILTER (gap > 3 * {BEAT_US}) AS end_us FROM gaps GROUP BY 1)
-    SELECT key, count(*) FILTER (end_us IS NULL OR us <= end_us) AS beats,
+    SELECT key, coalesce(sum(n) FILTER (end_us IS NULL OR us <= end_us), 0)::BIGINT AS beats,
       sum(CASE WHEN end_us IS NULL OR us <= end_us THEN least(gap // {BEAT_US}, 3) ELSE 0 END)::BIGINT AS missed,
-      end_us AS terminated_at, count(*) FILTER (us > end_us) AS late_beats
+      end_us AS terminated_at, coalesce(sum(n) FILTER (us > end_us), 0)::BIGINT AS late_beats
     FROM gaps JOIN ends USING (key) GROUP BY key, end_us"""
 
 
+def liveness_sql(as_of: str) -> str:
+    return _liveness_sql(f"""SELECT user_id AS key, epoch_us(ts) AS us, 1 AS n,
+        coalesce(lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id), {as_of}) - epoch_us(ts) AS gap FROM events""")
+
+
+def started_liveness_sql(as_of: str) -> str:
+    """Every customer's clock starts with the first event of all."""
+    log = """SELECT user_id AS key, epoch_us(ts) AS us, 1 AS n FROM events
+        UNION ALL SELECT c_custkey, (SELECT epoch_us(min(ts)) FROM events), 0 FROM customer"""
+    return _liveness_sql(f"SELECT *, coalesce(lead(us) OVER (PARTITION BY key ORDER BY us, n), {as_of}) - us AS gap FROM ({log})")
+
+
 @query("win_3", liveness_sql(LAST))
 def win_3(spark, sf):
     beats = fx.events(spark, sf).select(F.col("user_id").alias("key"), "ts")
@@ -331,6 +374,13 @@ def coordinator_events(spark, sf):
     )
 
 
+@query("win_3_silent", started_liveness_sql(LAST))
+def win_3_silent(spark, sf):
+    """With a clock that starts before the first beat, keys without any beat end as well."""
+    beats = fx.events(spark, sf).select(F.col("user_id").alias("key"), "ts")
+    return ops.heartbeat_liveness(beats, 16 * HOUR, 3, starts=fx.clock_starts(spark, sf))
+
+
 @query("win_4", outage_sql("(SELECT max(epoch_us(ts)) FROM events WHERE event_type IN ('error', 'view'))"))
 def win_4(spark, sf):
     return ops.outage_terminations(coordinator_events(spark, sf), 24 * HOUR)
@@ -376,11 +426,11 @@ def jn_4_unknown(spark, sf):
     return unknown.select("event_id", "kind", address_text("address").alias("address"))
 
 
-def auto_down_sql(poll_us: int) -> str:
+def auto_down_sql(poll_us: int, members: str = "f5_matched") -> str:
     return with_views(
         "f5_matched",
         f"""WITH turns AS (SELECT *, kind = 'UNREACHABLE' AS away, coalesce(lag(kind) OVER w = 'UNREACHABLE', false) AS was_away
-            FROM f5_matched WINDOW w AS (PARTITION BY instance_id ORDER BY us, event_id)),
+            FROM {members} WINDOW w AS (PARTITION BY instance_id ORDER BY us, event_id)),
           episodes AS (SELECT instance_id, c_custkey, us AS start_us, lead(us) OVER (PARTITION BY instance_id ORDER BY us, event_id) AS end_us, away
             FROM turns WHERE away <> was_away),
           polls AS (SELECT *, CASE WHEN c_custkey % 4 <> 0 THEN start_us + ((greatest(0, gone - start_us) + {poll_us} - 1) // {poll_us}) * {poll_us} END AS poll_us
@@ -389,16 +439,40 @@ def auto_down_sql(poll_us: int) -> str:
     )
 
 
+IS_EXITING = "(kind = 'UNREACHABLE' AND event_id % 7 = 0)"
+
+
+def exiting_sql(poll_us: int) -> str:
+    """Every seventh event that an exiting member causes has no episode; it downs the member at once."""
+    polled = auto_down_sql(poll_us, f"(SELECT * FROM f5_matched WHERE NOT {IS_EXITING})")
+    left = with_views("f5_matched", f"SELECT instance_id, us FROM f5_matched WHERE {IS_EXITING}")
+    return f"""SELECT *, CASE WHEN down_at IS NOT NULL THEN 'DOWNED' WHEN ended_at IS NOT NULL THEN 'ENDED' ELSE 'WAITING' END AS outcome
+      FROM ({polled}) UNION ALL SELECT instance_id, us, NULL, us, 'EXITING' FROM ({left})"""
+
+
 def matched_members(spark, sf):
     matched, _ = ops.match_members(fx.member_events(spark, sf), fx.registry(spark, sf))
     return matched.select("instance_id", "ts", "event_id", "kind")
 
 
+def exiting_members(spark, sf):
+    return matched_members(spark, sf).withColumn("exiting", F.col("event_id") % 7 == 0)
+
+
+def _auto_down(spark, sf, policy=DEFAULT_SKEW):
+    return ops.auto_down(matched_members(spark, sf), fx.deregistrations(spark, sf), policy=policy).drop("outcome")
+
+
 @query("jn_8", auto_down_sql(30_000_000))
 def jn_8(spark, sf):
-    return ops.auto_down(matched_members(spark, sf), fx.deregistrations(spark, sf))
+    return _auto_down(spark, sf)
 
 
 @query("jn_8_split", auto_down_sql(30_000_000))
 def jn_8_split(spark, sf):
-    return ops.auto_down(matched_members(spark, sf), fx.deregistrations(spark, sf), policy=TINY)
+    return _auto_down(spark, sf, TINY)
+
+
+@query("jn_8_exiting", exiting_sql(30_000_000))
+def jn_8_exiting(spark, sf):
+    return ops.auto_down(exiting_members(spark, sf), fx.deregistrations(spark, sf))

@@ -19,6 +19,9 @@ def address_text(key: str, uid: str) -> str:
     return f"('tcp://fleet@' || {host} || ':' || (2550 + ({key}) % 7) || '#' || ({uid}))"
 
 
+#: Lookups draw from a third more ids than there are customers, so some are unknown at every scale.
+LOOKUP_IDS = "(SELECT (count(*) * 4) // 3 FROM customer)"
+
 KIND = """CASE event_type WHEN 'signup' THEN 'DEPLOYING' WHEN 'click' THEN 'LAUNCHING' WHEN 'view' THEN 'UP'
   WHEN 'error' THEN 'UNREACHABLE' WHEN 'purchase' THEN CASE WHEN value >= 50 THEN 'REMOVED' ELSE 'DEPLOY_FAILED' END END"""
 
@@ -76,6 +79,13 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         [],
         "SELECT l_orderkey AS request_id, l_linenumber || '-' || l_partkey || '-' || l_suppkey AS response_id, epoch_us(l_shipdate) AS us FROM lineitem",
     ),
+    "f6_repeated": (["f6_requests"], "SELECT request_id - request_id % 4 AS request_id, us FROM f6_requests"),
+    "f6_owned": (
+        ["f6_repeated", "f6_responses"],
+        """SELECT p.*, q.us AS asked_us, row_number() OVER (PARTITION BY p.request_id, q.us ORDER BY p.us, p.response_id) AS nth
+        FROM (SELECT request_id - request_id % 4 AS request_id, response_id, us FROM f6_responses) p
+        ASOF LEFT JOIN (SELECT DISTINCT * FROM f6_repeated) q ON p.request_id = q.request_id AND p.us >= q.us""",
+    ),
     "expanded": (
         ["f4", "defs"],
         f"""SELECT f4.request_id, seq, f4.name AS container_name, ordinal, priority, cpus, memory, actors, jvm_args, s_nationkey,
@@ -95,7 +105,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     ),
     "f11": (
         [],
-        f"SELECT c_custkey AS request_id, {instance_id('(c_custkey * 7) % 2000')} AS instance_id, c_custkey AS seq FROM customer",
+        f"SELECT c_custkey AS request_id, {instance_id('(c_custkey * 7) % ' + LOOKUP_IDS)} AS instance_id, c_custkey AS seq FROM customer",
     ),
     "f11_filters": (
         [],

@@ -99,3 +99,24 @@ def attempts(events):
         if ok:
             return n, ts
     return n, None
+
+
+def senders(asked, answers, timeout, give_up=None):
+    """(outcomes, orphans) by walking through time with a map of the open senders, dropped after ``give_up``."""
+    log = sorted([(t, 0, "", i) for i, t in asked] + [(t, 1, a, i) for i, a, t in answers])
+    open_at, done, orphans = {}, [], []
+    for t, is_answer, response, i in log:
+        since = open_at.pop(i, None)
+        if since is not None and give_up is not None and t > since + give_up:
+            done.append((i, since, "TIMED_OUT", None, None))
+            since = None
+        if not is_answer:
+            if since is not None:
+                done.append((i, since, "SUPERSEDED", None, None))
+            open_at[i] = t
+        elif since is None:
+            orphans.append((i, response, t, f"Sender with ID {i} was not found"))
+        else:
+            done.append((i, since, "ANSWERED" if t <= since + timeout else "TIMED_OUT", response, t))
+    done += [(i, since, "UNANSWERED" if give_up is None else "TIMED_OUT", None, None) for i, since in open_at.items()]
+    return sorted(done, key=str), sorted(orphans, key=str)

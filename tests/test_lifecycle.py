@@ -126,12 +126,35 @@ def test_auto_down_against_polls(spark, policy):
     gone = {f"k{k}": rng.choice([None, "never", rng.randint(-5, 35) / 2]) for k in range(300)}
     events = table(spark, rows, EVENTS, "ts")
     listed = table(spark, [(k, d) for k, d in gone.items() if d != "never"], "instance_id string, deregistered_at double", "deregistered_at")
-    got = seconds(ops.auto_down(events, listed, 1.5, policy))
+    got = seconds(ops.auto_down(events, listed, 1.5, policy).drop("outcome"))
     members = by_key([r for r in rows if r[3] != "UP"])
     want = [(k, *e) for k, ev in members.items() for e in folds.auto_down(ev, gone[k], 1.5)]
     assert got == sorted(want, key=str)
 
 
+def test_exiting_members_are_downed_at_once(spark):
+    rows = [("a", 0.0, 1, "UNREACHABLE", True), ("b", 0.0, 2, "UNREACHABLE", False), ("b", 1.0, 3, "UNREACHABLE", True), ("c", 5.0, 4, "UNREACHABLE", None)]
+    rows += [("c", 7.0, 5, "REACHABLE", None)]
+    events = table(spark, rows, EVENTS + ", exiting boolean", "ts")
+    listed = table(spark, [("a", 40.0), ("b", 40.0), ("c", 40.0)], "instance_id string, deregistered_at double", "deregistered_at")
+    assert seconds(ops.auto_down(events, listed, 30)) == [
+        ("a", 0.0, None, 0.0, "EXITING"),
+        ("b", 0.0, None, 60.0, "DOWNED"),
+        ("b", 1.0, None, 1.0, "EXITING"),
+        ("c", 5.0, 7.0, None, "ENDED"),
+    ]
+
+
+def test_unclustered_instances_leave_the_local_registry(spark):
+    """Member events do not meet an instance that is UP; its next report brings it back."""
+    rows = [("a", 0.0, 1, "LAUNCHING"), ("a", 1.0, 2, "UP"), ("a", 2.0, 3, "UNREACHABLE"), ("a", 3.0, 4, "REMOVED"), ("a", 4.0, 5, "LAUNCHING")]
+    rows += [("a", 5.0, 6, "DEPLOY_FAILED"), ("b", 0.0, 7, "LAUNCHING"), ("b", 9.0, 8, "UP")]
+    steps = ops.fleet_transitions(table(spark, rows, EVENTS, "ts"), 2, at(spark, 100), clustered=False)
+    assert [r[3] for r in sorted(seconds(steps), key=lambda r: (r[0], r[1]))] == [
+        "LAUNCHING", "STORED", "STORED", "STORED", "LAUNCHING", "ABSENT", "LAUNCHING", "DEAD", "REJECTED",
+    ]
+
+
 @POLICIES
 def test_registration_attempts(spark, policy):
     rng = random.Random(9)
