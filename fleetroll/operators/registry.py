@@ -6,7 +6,7 @@ known. A storage table has the same columns, optionally with ``error`` (text of
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -152,28 +152,18 @@ def _with_error(storage: DataFrame) -> DataFrame:
     return storage if "error" in storage.columns else storage.withColumn("error", F.lit(None).cast("string"))
 
 
-def _local_and_storage(reg: DataFrame, storage: DataFrame) -> DataFrame:
-    """One row per id of either table, from one aggregation: is it local, its local info, its storage info and error."""
-    local = reg.select(
-        "instance_id", F.lit(True).alias("is_local"), F.col("info").alias("local_info"),
-        F.lit(False).alias("in_storage"), F.lit(None).cast(reg.schema["info"].dataType).alias("stored_info"),
-        F.lit(None).cast("string").alias("error"),
-    )
-    stored = _with_error(storage).select(
-        "instance_id", F.lit(False).alias("is_local"), F.lit(None).cast(reg.schema["info"].dataType).alias("local_info"),
-        F.lit(True).alias("in_storage"), F.col("info").alias("stored_info"), "error",
-    )
-    return (
-        local.unionByName(stored)
-        .groupBy("instance_id")
-        .agg(
-            F.bool_or("is_local").alias("is_local"),
-            F.first("local_info", ignorenulls=True).alias("local_info"),
-            F.bool_or("in_storage").alias("in_storage"),
-            F.first("stored_info", ignorenulls=True).alias("stored_info"),
-            F.max("error").alias("error"),
-        )
-    )
+def _asked(ids: DataFrame, reg: DataFrame, storage: DataFrame, kept: Callable[[Column], Column]) -> DataFrame:
+    """One row per requested id that either table knows, with what ``kept`` takes of the infos, and the storage's error.
+
+    ``ids`` are the distinct requested ids. Both tables are cut down to them by semi joins before anything else, so a few
+    requests cost a scan of the id columns, not an aggregation of both tables, and Catalyst broadcasts the ids when they are
+    small. Ids are unique in each table, so the two meet in a join.
+    """
+    local = reg.select("instance_id", F.lit(True).alias("is_local"), kept(F.col("info")).alias("local_info"))
+    stored = _with_error(storage).select("instance_id", F.lit(True).alias("in_storage"), kept(F.col("info")).alias("stored_info"), "error")
+    local = local.join(ids, "instance_id", "left_semi")
+    stored = stored.join(ids, "instance_id", "left_semi")
+    return local.join(stored, "instance_id", "full")
 
 
 def get_instances(
@@ -183,7 +173,8 @@ def get_instances(
 
     Ids known without info are looked up in the storage; ids unknown locally only when not ``clustered``.
     """
-    known = skew_join(requests, _local_and_storage(reg, storage), ["instance_id"], "left", policy)
+    ids = requests.select("instance_id").distinct()
+    known = skew_join(requests, _asked(ids, reg, storage, lambda info: info), ["instance_id"], "left", policy)
     is_local = F.coalesce("is_local", F.lit(False))
     ask_storage = is_local | F.lit(not clustered)
     outcome = (
@@ -208,19 +199,20 @@ def resolve_terminations(
     """Per request (request_id, instance_id, seq): TERMINATED, NOT_FOUND, FAILED or SUPERSEDED.
 
     An instance with a local address ends at once. Otherwise the storage decides, and of several requests waiting for the
-    same id only the last one is answered with the termination.
+    same id only the last one is answered with the termination. Of the infos only whether there is an address is read.
     """
-    state = _local_and_storage(reg, storage)
     last = requests.groupBy("instance_id").agg(F.max(F.struct("seq", "request_id")).alias("last_request"))
+    # True with an address, false without one, null where nothing is known of the instance.
+    state = _asked(last.select("instance_id"), reg, storage, lambda info: F.when(info.isNotNull(), info["address"].isNotNull()))
     asked = skew_join(requests, last.join(state, "instance_id", "left"), ["instance_id"], "left", policy)
     ask_storage = F.coalesce("is_local", F.lit(False)) | F.lit(not clustered)
     is_last = F.col("last_request") == F.struct("seq", "request_id")
     outcome = (
-        F.when(F.col("local_info.address").isNotNull(), "TERMINATED")
+        F.when(F.col("local_info"), "TERMINATED")
         .when(~ask_storage, "NOT_FOUND")
         .when(F.col("error").isNotNull(), "FAILED")
         .when(F.col("stored_info").isNull(), "NOT_FOUND")
-        .when(F.col("stored_info.address").isNull(), "FAILED")
+        .when(~F.col("stored_info"), "FAILED")
         .when(is_last, "TERMINATED")
         .otherwise("SUPERSEDED")
     )

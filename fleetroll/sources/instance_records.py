@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import instance_id_parts
 from ..model import INSTANCE_DOCUMENT, UNIQUE_ADDRESS
 from ..operators.columns import status_of
 
@@ -20,17 +23,20 @@ def _text_set(col: Column | str) -> Column:
 def read_instance_records(df: DataFrame, json_col: str) -> tuple[DataFrame, DataFrame]:
     """(registry rows, malformed rows) of stored documents.
 
-    A document is malformed when it is no JSON of this shape, lacks its id or container, or has an unknown status. The
-    malformed rows keep all input columns and get a ``message``.
+    A document is malformed when it is no JSON of this shape, lacks its id or container, has an id that is not a container
+    name and a uuid, or an unknown status. The malformed rows keep all input columns and get a ``message``.
     """
     doc = F.from_json(json_col, _PARSED, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
     # Filters are not pushed through a generator, so each text is parsed once and not once per condition.
     parsed = df.withColumn("_doc", F.explode(F.array(doc))).withColumn("_status", status_of(F.col("_doc.status")))
     broken = F.col(json_col).isNull() | F.col("_doc").isNull() | F.col(f"_doc.{_CORRUPT}").isNotNull()
     bad_status = F.concat(F.lit("Unexpected instance status "), F.coalesce("_doc.status", F.lit("null")))
+    instance_id = F.col("_doc.instanceId")
+    _, uuid = instance_id_parts(instance_id)
     message = (
         F.when(broken, "malformed document")
-        .when(F.col("_doc.instanceId").isNull(), "missing instanceId")
+        .when(instance_id.isNull(), "missing instanceId")
+        .when(uuid.isNull(), F.concat(F.lit("Unexpected instance ID "), instance_id))
         .when(F.col("_doc.containerName").isNull(), "missing containerName")
         .when(F.col("_status").isNull(), bad_status)
     )
@@ -83,6 +89,38 @@ def write_instance_records(reg: DataFrame, path: str, mode: str = "errorifexists
     spread.drop("instance_id").write.partitionBy("container_name").mode(mode).text(path)
 
 
+def stored_documents(spark: SparkSession, path: str, containers: Sequence[str] | None = None) -> DataFrame:
+    """(value, container_name) below a folder of ``write_instance_records``; of the given containers, other folders are not read.
+
+    Container names stay texts, whatever they look like.
+    """
+    stored = spark.read.schema("value string, container_name string").text(path)
+    return stored if containers is None else stored.where(F.col("container_name").isin(*containers))
+
+
+def read_stored_instances(
+    spark: SparkSession, path: str, containers: Sequence[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(registry rows, malformed rows) of the given containers, by default of all."""
+    return read_instance_records(stored_documents(spark, path, containers).select("value"), "value")
+
+
+def lookup_stored_instances(requests: DataFrame, path: str) -> DataFrame:
+    """Per request (request_id, instance_id): ``outcome`` FOUND with the info, or NOT_FOUND.
+
+    An id names its container, so the join is on both, and Spark prunes the scan to the folders of the containers that
+    requests ask for (dynamic partition pruning).
+    """
+    container, _ = instance_id_parts(F.col("instance_id"))
+    asked = requests.withColumn("container_name", container)
+    wanted = asked.select("container_name").where("container_name IS NOT NULL").distinct()
+    documents = stored_documents(requests.sparkSession, path).join(wanted, "container_name", "left_semi")
+    found, _ = read_instance_records(documents.select("value"), "value")
+    joined = asked.join(found.select("container_name", "instance_id", "info"), ["container_name", "instance_id"], "left")
+    outcome = F.when(F.col("info").isNotNull(), "FOUND").otherwise("NOT_FOUND")
+    return joined.select(*requests.columns, outcome.alias("outcome"), "info")
+
+
 def split_failures(df: DataFrame, failed: str = "FAILED") -> tuple[DataFrame, DataFrame]:
     """(other rows, failure rows) of an outcome table with ``request_id``, ``outcome`` and optionally ``error``.
 

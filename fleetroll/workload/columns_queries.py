@@ -44,6 +44,7 @@ def _documents(spark, sf):
         F.when(k % 23 == 0, F.substring(doc, 1, 20))
         .when(k % 29 == 0, F.replace(doc, F.lit('"status":"'), F.lit('"status":"X')))
         .when(k % 31 == 0, F.replace(doc, F.lit(',"extra":{}'), F.lit("")))
+        .when(k % 37 == 0, F.regexp_replace(doc, '"instanceId":"[^"]*"', '"instanceId":"garbage"'))
         .otherwise(doc)
     )
     return fx.full_registry(spark, sf).select("c_custkey", damaged.alias("document"))
@@ -64,7 +65,10 @@ REGISTRY_SQL = """SELECT instance_id, container_name, status, array_to_string(ro
   '/user/a0' AS actors, 0::BIGINT AS extras FROM full_registry WHERE """
 
 
-@query("src_2", with_views("full_registry", REGISTRY_SQL + "c_custkey % 23 <> 0 AND c_custkey % 29 <> 0"))
+MALFORMED = "c_custkey % 23 = 0 OR c_custkey % 29 = 0 OR (c_custkey % 31 <> 0 AND c_custkey % 37 = 0)"
+
+
+@query("src_2", with_views("full_registry", REGISTRY_SQL + f"NOT ({MALFORMED})"))
 def src_2(spark, sf):
     good, _ = sources.read_instance_records(_documents(spark, sf), "document")
     return _plain_registry(good)
@@ -74,9 +78,9 @@ def src_2(spark, sf):
     "src_2_malformed",
     with_views(
         "full_registry",
-        """SELECT c_custkey, CASE WHEN c_custkey % 23 = 0 THEN 'malformed document'
-          ELSE 'Unexpected instance status X' || status END AS message
-        FROM full_registry WHERE c_custkey % 23 = 0 OR c_custkey % 29 = 0""",
+        f"""SELECT c_custkey, CASE WHEN c_custkey % 23 = 0 THEN 'malformed document'
+          WHEN c_custkey % 29 = 0 THEN 'Unexpected instance status X' || status ELSE 'Unexpected instance ID garbage' END AS message
+        FROM full_registry WHERE {MALFORMED}""",
     ),
 )
 def src_2_malformed(spark, sf):
@@ -92,6 +96,32 @@ def snk_1(spark, sf):
     return _plain_registry(good)
 
 
+def _written_records(spark, sf):
+    path = sources.scratch_path(spark, "records")
+    sources.write_instance_records(fx.registry(spark, sf), path)
+    return path
+
+
+@query("snk_1_pruned", with_views("full_registry", REGISTRY_SQL + "known AND container_name IN ('cont_7', 'cont_11')"))
+def snk_1_pruned(spark, sf):
+    """Two containers, without reading the folders of the others."""
+    good, _ = sources.read_stored_instances(spark, _written_records(spark, sf), ["cont_7", "cont_11"])
+    return _plain_registry(good)
+
+
+@query(
+    "snk_1_lookup",
+    with_views(
+        "f11 full_registry",
+        """SELECT request_id, f11.instance_id, CASE WHEN known THEN 'FOUND' ELSE 'NOT_FOUND' END AS outcome,
+          CASE WHEN known THEN status END AS status FROM f11 LEFT JOIN full_registry USING (instance_id)""",
+    ),
+)
+def snk_1_lookup(spark, sf):
+    found = sources.lookup_stored_instances(fx.lookups(spark, sf).drop("seq"), _written_records(spark, sf))
+    return found.select("request_id", "instance_id", "outcome", F.col("info.status").alias("status"))
+
+
 @query(
     "snk_3",
     with_views(

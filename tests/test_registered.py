@@ -52,7 +52,7 @@ def test_known_state_counts(spark):
         ("jn_6", "outcome", {"ANSWERED": 6368, "TIMED_OUT": 5282, "UNANSWERED": 3350}),
         ("agg_3", "finished", {True: 1706, False: 13037}),
         ("agg_4", "outcome", {"RUNNING": 766, "FAILED": 731, "PENDING": 3}),
-        ("jn_9", "outcome", {"LAUNCHED": 5525, "RELEASED": 14757}),
+        ("jn_9", "outcome", {"LAUNCHED": 14743, "RELEASED": 45257}),
         ("top_2", "outcome", {"JOINED": 2007, "TIMED_OUT": 12993}),
         ("set_3", "change", {"KEPT": 500, "ADDED": 500, "DROPPED": 500}),
         ("win_5", "layer", {0: 43, 1: 82, 2: 25}),

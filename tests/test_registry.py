@@ -204,3 +204,19 @@ def test_strict_status(spark):
     assert {tuple(r) for r in ops.parse_statuses(df, "s").collect()} == {("up", "UP"), ("bad", None), (None, None)}
     with pytest.raises(PySparkException, match="Unexpected instance status bad"):
         ops.parse_statuses(df, "s", strict=True).collect()
+
+
+def test_lookups_read_no_more_than_was_asked(spark, tmp_path):
+    """Both tables are cut to the requested ids first; nothing is aggregated but requests."""
+    rows = [instance(f"c-{n}", "c", "UP", addr=address(n)) for n in range(20)]
+    registry(spark, rows).write.parquet(str(tmp_path / "local"))
+    registry(spark, rows).write.parquet(str(tmp_path / "stored"))
+    local, stored = spark.read.parquet(str(tmp_path / "local")), spark.read.parquet(str(tmp_path / "stored"))
+    spark.createDataFrame([(1, "c-1", 1), (2, "c-99", 2)], "request_id int, instance_id string, seq int").write.parquet(str(tmp_path / "asked"))
+    asked = spark.read.parquet(str(tmp_path / "asked"))
+    for found in (ops.get_instances(asked, local, stored), ops.resolve_terminations(asked, local, stored)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("LeftSemi") == 2
+        assert not any("local_info" in line for line in plan.splitlines() if "Aggregate" in line)
+        aggregates = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "SortAggregate(" in line]
+        assert all("last_request" in line or "partial_max(struct(seq" in line for line in aggregates)  # of requests only

@@ -26,8 +26,13 @@ def test_container_defs(spark, tmp_path):
         assert got["twice"]["cpus"] == 9 and got["twice"]["actors"] == []
 
 
+def an_id(container, n):
+    return f"{container}-00000000-0000-0000-0000-{n:012d}"
+
+
 def test_instance_records_round_trip(spark, tmp_path):
-    reg = registry(spark, [instance("c1-x", "c1", "UP", ["b", "a", "b"], address(1)), instance("c2-y", "c2", "DEPLOYING", addr=address(2, None)), ("c2-z", "c2", None)])
+    x, y, z = an_id("c1", 1), an_id("c2", 2), an_id("c2", 3)
+    reg = registry(spark, [instance(x, "c1", "UP", ["b", "a", "b"], address(1)), instance(y, "c2", "DEPLOYING", addr=address(2, None)), (z, "c2", None)])
     path = str(tmp_path / "records")
     sources.write_instance_records(reg, path)
     stored = spark.read.text(path)
@@ -35,21 +40,46 @@ def test_instance_records_round_trip(spark, tmp_path):
     good, bad = sources.read_instance_records(stored, "value")
     assert bad.count() == 0
     got = {r["instance_id"]: r["info"] for r in good.collect()}
-    assert set(got) == {"c1-x", "c2-y"}
-    assert got["c1-x"]["roles"] == ["a", "b"] and got["c1-x"]["address"]["long_uid"] == 1
-    assert got["c2-y"]["address"]["address"]["host"] is None and got["c2-y"]["extra"] == {}
-    only = spark.read.text(path).where(F.col("container_name") == "c1")
-    assert "PartitionFilters: [isnotnull(container_name" in only._jdf.queryExecution().executedPlan().toString()
+    assert set(got) == {x, y}
+    assert got[x]["roles"] == ["a", "b"] and got[x]["address"]["long_uid"] == 1
+    assert got[y]["address"]["address"]["host"] is None and got[y]["extra"] == {}
+
+
+def test_one_container_is_read_alone(spark, tmp_path):
+    """Other folders are neither listed as input nor parsed; names that look like numbers stay texts."""
+    rows = [instance(an_id(c, n), c, "UP") for c in ("007", "7", "c-2") for n in range(3)]
+    path = str(tmp_path / "records")
+    sources.write_instance_records(registry(spark, rows), path)
+    good, bad = sources.read_stored_instances(spark, path, ["007"])
+    assert {r["instance_id"] for r in good.collect()} == {an_id("007", n) for n in range(3)} and bad.count() == 0
+    plan = good._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(container_name" in plan and "(container_name#" in plan and "= 007)]" in plan
+    assert {f.split("/")[-2] for f in sources.stored_documents(spark, path, ["007"]).inputFiles()} >= {"container_name=007"}
+    read = sources.stored_documents(spark, path, ["c-2"]).select(F.input_file_name().alias("f")).distinct().collect()
+    assert {r["f"].split("/")[-2] for r in read} == {"container_name=c-2"}
+    assert sources.read_stored_instances(spark, path)[0].count() == 9
+    assert sources.read_stored_instances(spark, path, ["none"])[0].count() == 0
+
+
+def test_lookup_stored_instances(spark, tmp_path):
+    path = str(tmp_path / "records")
+    sources.write_instance_records(registry(spark, [instance(an_id("c1", 1), "c1", "UP"), instance(an_id("c2", 1), "c2", "UP")]), path)
+    asked = [(1, an_id("c1", 1)), (2, an_id("c1", 2)), (3, "garbage"), (4, None), (5, an_id("c1", 1))]
+    found = sources.lookup_stored_instances(spark.createDataFrame(asked, "request_id int, instance_id string"), path)
+    got = {r["request_id"]: (r["outcome"], r["info"] and r["info"]["status"]) for r in found.collect()}
+    assert got == {1: ("FOUND", "UP"), 2: ("NOT_FOUND", None), 3: ("NOT_FOUND", None), 4: ("NOT_FOUND", None), 5: ("FOUND", "UP")}
 
 
 def test_malformed_records(spark):
-    full = '{"instanceId":"a","status":"up","containerName":"c","roles":[],"actors":[]}'
-    rows = [(1, full), (2, "{broken"), (3, None), (4, full.replace("up", "gone")), (5, full.replace('"instanceId":"a",', "")), (6, "[]"), (7, full.replace('"containerName":"c",', ""))]
+    full = '{"instanceId":"%s","status":"up","containerName":"c","roles":[],"actors":[]}' % an_id("c", 1)
+    rows = [(1, full), (2, "{broken"), (3, None), (4, full.replace("up", "gone")), (5, full.replace('"instanceId":"%s",' % an_id("c", 1), "")), (6, "[]"), (7, full.replace('"containerName":"c",', ""))]
+    rows += [(8, full.replace(an_id("c", 1), bad)) for bad in ("garbage",)] + [(9, full.replace(an_id("c", 1), "c-0-0-0-0-0"))]
     good, bad = sources.read_instance_records(spark.createDataFrame(rows, "n int, doc string"), "doc")
-    assert [(r["instance_id"], r["info"]["status"], r["info"]["address"]) for r in good.collect()] == [("a", "UP", None)]
+    assert [(r["instance_id"], r["info"]["status"], r["info"]["address"]) for r in good.collect()] == [(an_id("c", 1), "UP", None)]
     messages = {r["n"]: r["message"] for r in bad.collect()}
-    assert set(messages) == {2, 3, 4, 5, 6, 7}
+    assert set(messages) == {2, 3, 4, 5, 6, 7, 8, 9}
     assert messages[4] == "Unexpected instance status gone" and messages[5] == "missing instanceId"
+    assert messages[8] == "Unexpected instance ID garbage"
 
 
 def test_split_failures(spark):
