@@ -197,7 +197,8 @@ def parse_arc(archive: str, data: bytes) -> Iterator[tuple]:
             else:
                 version = int(found[1])
         if not error:
-            if len(fields) != len(_FIELDS[version]):
+            known = [len(_FIELDS[version]), *([len(_FIELDS[1])] if first else [])]  # some files begin with a short line
+            if len(fields) not in known:
                 error = f"{len(fields)} fields in a header of version {version}"
             elif size < 0:
                 error = "no length"
