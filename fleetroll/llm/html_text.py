@@ -9,13 +9,15 @@ decide instead. An element named after an article excludes the rest of the page
 longer blocks do and no prose stands elsewhere.
 
 Null html has no blocks, so its text is empty. Malformed html is read as far as it goes: end tags that fit nothing are skipped,
-elements left open end with their parent, an unfinished comment or script runs to the end. Rows that repeat are extracted one
+elements left open end with their parent, an unfinished comment or script runs to the end, a tag with over 200 quoted attributes
+ends at its first ``>``. Time grows with the length of a page, whatever it holds. Rows that repeat are extracted one
 by one; rows are never joined, so null or repeated page ids do no harm. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -61,9 +63,11 @@ ROLES = {"navigation": -1, "banner": -1, "contentinfo": -1, "complementary": -1,
 
 TOKEN = re.compile(
     r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"""
-    r"""|<(/?)([A-Za-z][^\s/>]*+)([^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>""",
+    r"""|<(/?)([A-Za-z][^\s/>]*+)([^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+){0,200}+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>""",
     re.S,
 )
+#: What still is markup where no ``>`` follows any more: it runs to the end.
+UNENDED = re.compile(r"<!--|<!\[CDATA\[|<[!?]")
 ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -104,9 +108,48 @@ def _zone(tag: str, attributes: str, inside: int) -> int:
     return 1 if tag in CONTENT or zone > 0 or names & CONTENT_NAMES else 0
 
 
+class _Open:
+    """The open elements, with what the rules ask of them at hand, so that no tag walks through all of them."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int, int]] = []  # tag, zone, part
+        self.places: defaultdict[str, list[int]] = defaultdict(list)  # by tag
+        self.containers: list[int] = []  # places of what is no inline element
+        self.outside = 0  # elements outside the article, but for forms
+
+    def push(self, tag: str, zone: int, part: int) -> None:
+        self.places[tag].append(len(self.stack))
+        if tag not in INLINE:
+            self.containers.append(len(self.stack))
+        self.outside += zone < 0 and tag != "form"
+        self.stack.append((tag, zone, part))
+
+    def close(self, tag: str) -> bool:
+        """Closes the innermost element of that tag with all inside it; False where none is open."""
+        if not self.places[tag]:
+            return False
+        down_to = self.places[tag][-1]
+        while len(self.stack) > down_to:
+            name, zone, _ = self.stack.pop()
+            self.places[name].pop()
+            if name not in INLINE:
+                self.containers.pop()
+            self.outside -= zone < 0 and name != "form"
+        return True
+
+    def beside(self, tag: str) -> bool:
+        """An element of that tag is open, and no container stands between."""
+        places = self.places[tag]
+        return bool(places) and places[-1] >= (self.containers[-1] if self.containers else 0)
+
+    def top(self) -> tuple[int, int]:
+        """Zone and part."""
+        return self.stack[-1][1:] if self.stack else (0, 0)
+
+
 def _blocks(html: str) -> list[tuple[str, int, int, bool, float]]:
     """(text, zone, part, heading, share of link text) of every block with text, in page order."""
-    stack: list[tuple[str, int, int]] = []  # tag, zone, part
+    elements = _Open()
     zone, part, parts, links = 0, 0, 0, 0
     pieces: list[str] = []
     linked: list[str] = []
@@ -122,15 +165,15 @@ def _blocks(html: str) -> list[tuple[str, int, int, bool, float]]:
         pieces.clear(), linked.clear()
         heading = False
 
-    at, size = 0, len(html)
+    at, size, last = 0, len(html), html.rfind(">")
     while at < size:
-        m = TOKEN.search(html, at)
+        m = (TOKEN if at <= last else UNENDED).search(html, at)
         text = html[at : m.start() if m else size]
         if text:
             pieces.append(text)
             if links:
                 linked.append(text)
-        if not m:
+        if not m or at > last:
             break
         at = m.end()
         tag = m[2] or m[5]
@@ -143,38 +186,28 @@ def _blocks(html: str) -> list[tuple[str, int, int, bool, float]]:
         if tag not in INLINE:
             end_block()
         if closing:
-            if any(t == tag for t, _, _ in stack):
-                while stack:
-                    top = stack.pop()
-                    if top[0] == tag:
-                        break
-                zone, part = (stack[-1][1], stack[-1][2]) if stack else (0, 0)
-                links = sum(t == "a" for t, _, _ in stack)
+            if elements.close(tag):
+                zone, part = elements.top()
+                links = len(elements.places["a"])
             continue
         if tag in RAW:
             if not attributes.endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
+                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at) if at <= last else None
                 at = end.end() if end else size
             continue
         if tag in VOID or attributes.endswith("/"):
             continue
-        if tag in ("p", "li", "a", "option", "tr", "td", "th", "dt", "dd") and stack:
-            # these end an open one of their kind, unless a container stands between
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    zone, part = (stack[-1][1], stack[-1][2]) if stack else (0, 0)
-                    links = sum(t == "a" for t, _, _ in stack)
-                    break
-                if stack[k][0] not in INLINE:
-                    break
+        if tag in ("p", "li", "a", "option", "tr", "td", "th", "dt", "dd") and elements.beside(tag):
+            elements.close(tag)  # these end an open one of their kind
+            zone, part = elements.top()
+            links = len(elements.places["a"])
         own = _zone(tag, attributes, zone)
-        if zone < 0 and not (own > 0 and tag in CONTENT and all(t == "form" for t, z, _ in stack if z < 0)):
+        if zone < 0 and not (own > 0 and tag in CONTENT and not elements.outside):
             own = 0  # what stands outside the article stays outside, but for an article in a page-wide form
         if own and own != zone:
             zone, parts = own, parts + 1
             part = parts
-        stack.append((tag, zone, part))
+        elements.push(tag, zone, part)
         links += tag == "a"
         heading = heading or tag in HEADINGS
     end_block()
