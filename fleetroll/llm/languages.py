@@ -8,7 +8,8 @@ is best is chosen. ``languages`` has the set with its shares, largest first, ``f
 prediction is the language with the largest share, the score its share.
 
 Null texts and texts without a letter are ``und`` with score 0, no languages and a null fit, as is everything where there are no training rows. Rows that
-repeat are predicted one by one. An empty table gives no rows. Only the text enters a prediction.
+repeat are predicted one by one. Of languages with equal shares the first in code-point order is predicted. A text longer than
+a slice is counted in slices. An empty table gives no rows. Only the text enters a prediction.
 """
 
 from __future__ import annotations
@@ -43,8 +44,25 @@ def _is_letter() -> np.ndarray:
 
 
 def trigram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts (a row per text) of hashed trigrams around a letter, and which texts have a letter."""
-    lowered = [t.lower() for t in texts]
+    """Counts (a row per text) of hashed trigrams around a letter, and how many trigrams each text has."""
+    if all(len(t) <= SLICE for t in texts):
+        counts = _counted([t.lower() for t in texts])
+    else:
+        counts = np.stack([_counted_in_slices(t.lower()) for t in texts])
+    return counts, counts.sum(axis=1)
+
+
+def _counted_in_slices(text: str) -> np.ndarray:
+    """Counts of one long text, so that no array is longer than a slice."""
+    total = np.zeros(BUCKETS, np.int64)
+    for at in range(0, len(text), SLICE):
+        begin = max(at - 1, 0)
+        total += _counted([text[begin : at + SLICE + 1]], at - begin, at - begin + SLICE)[0]
+    return total
+
+
+def _counted(lowered: list[str], first: int = 0, last: int | None = None) -> np.ndarray:
+    """Counts around the letters from place ``first`` to before ``last``; the characters beside them are only context."""
     joined = "  ".join([*lowered, ""])
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _is_letter().take(codes)
@@ -56,10 +74,11 @@ def trigram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         h[0] = np.uint32((32 * 0x9E3779B1 + int(x[0]) * 0x85EBCA77 + (int(x[1]) if len(x) > 1 else 32) * 0xC2B2AE3D) & 0xFFFFFFFF)
     h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
     at = np.flatnonzero(letter)
+    if first or last is not None:
+        at = at[(at >= first) & (at < last)]
     text = np.searchsorted(ends, at, "right")
-    bucket = (h[at] >> np.uint32(32 - 12)).astype(np.int64)
-    counts = np.bincount(text * BUCKETS + bucket, minlength=len(lowered) * BUCKETS).reshape(len(lowered), BUCKETS)
-    return counts, np.bincount(text, minlength=len(lowered)) > 0
+    bucket = (h[at] >> np.uint32(32 - BUCKETS.bit_length() + 1)).astype(np.int64)
+    return np.bincount(text * BUCKETS + bucket, minlength=len(lowered) * BUCKETS).reshape(len(lowered), BUCKETS)
 
 
 def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -157,7 +176,7 @@ def least_fit(model: np.ndarray) -> tuple[float, float]:
 
 
 def predict(docs: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
-    """``docs`` as a column ``row`` with ``lang_pred``, ``score``, ``languages`` and ``fit``."""
+    """``docs`` as a column ``row`` with ``lang_pred``, ``score``, ``languages``, ``fit`` and the number of ``trigrams``."""
     held = docs.sparkSession.sparkContext.broadcast((langs, model))  # languages * BUCKETS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +186,8 @@ def predict(docs: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
                 some = batch.slice(at, 250).column("row")
                 texts = [t or "" for t in pc.struct_field(some, "text").to_pylist()]
                 for a, b in _slices(texts):
-                    counts, some_letter = trigram_counts(texts[a:b])
+                    counts, trigrams = trigram_counts(texts[a:b])
+                    some_letter = trigrams > 0
                     if names:
                         mix, fit = shares(counts, distributions)
                     else:
@@ -182,9 +202,9 @@ def predict(docs: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
                     ]
                     columns = [
                         some.slice(a, b - a), pa.array(pred, pa.string()), pa.array(score), pa.array(sets, SET),
-                        pa.array(fit.astype(float), pa.float64(), mask=~some_letter),
+                        pa.array(fit.astype(float), pa.float64(), mask=~some_letter), pa.array(trigrams, pa.int64()),
                     ]
-                    yield pa.record_batch(columns, ["row", "lang_pred", "score", "languages", "fit"])
+                    yield pa.record_batch(columns, ["row", "lang_pred", "score", "languages", "fit", "trigrams"])
 
     kind = docs.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
-    return docs.select(F.struct("*").alias("row")).mapInArrow(run, f"row {kind}, lang_pred string, score double, languages {LANGUAGES}, fit double")
+    return docs.select(F.struct("*").alias("row")).mapInArrow(run, f"row {kind}, lang_pred string, score double, languages {LANGUAGES}, fit double, trigrams bigint")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -308,6 +309,16 @@ def test_empty_tables(spark, tmp_path, name):
     assert QUERIES[name](spark, str(tmp_path)).count() == (1 if name == "op10_chat" else 0)
 
 
+def test_long_texts_are_counted_in_slices(monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abc É日.") for _ in range(n)) for n in (0, 1, 9, 10, 11, 20, 21, 500)]
+    whole = languages.trigram_counts(texts)
+    monkeypatch.setattr(languages, "SLICE", 10)
+    cut = languages.trigram_counts(texts)
+    assert np.array_equal(whole[0], cut[0]) and np.array_equal(whole[1], cut[1])
+    assert whole[1].tolist() == [sum(c.isalpha() for c in t) for t in texts]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
@@ -432,3 +443,68 @@ def test_named_elements_without_prose_exclude_nothing():
     page = f"<body><h1 class='entry-title'>Head</h1><div class='post-meta'>By Ann, May 2</div><div><p>{PROSE * 3}</p><p>{PROSE * 3}</p></div>"
     assert [x for x in kept_text(page) if len(x) > 70] == [PROSE * 3] * 2
     assert kept_text(f"<body><div><p>{PROSE * 2}</p></div><article><p>{PROSE * 3}</p></article>") == [PROSE * 3]
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 350_000, "<div>" * 100_000 + "</span>" * 70_000, '<a ">"' * 170_000, "<script>" + "</script " * 110_000,
+     "<nav>" + "<article>" * 110_000, "<p><div>" + "<b>" * 100_000 + "<p></p>" * 90_000, "<p>x<![CDATA[" * 80_000],
+)
+def test_malformed_pages_take_time_in_proportion(page):
+    """A megabyte each; in the square of its length any of these would take minutes."""
+    begin = time.process_time()
+    html_text.main_blocks(page)
+    assert time.process_time() - begin < 15
+
+
+def test_tags_end_as_they_begin():
+    """Open elements by a plain walk through the stack."""
+    rng = random.Random(8)
+    tags = ["p", "a", "b", "div", "li", "nav", "form", "td"]
+    for _ in range(300):
+        elements, stack = html_text._Open(), []
+        for _ in range(40):
+            tag = rng.choice(tags)
+            beside = False
+            for name in reversed(stack):
+                if name == tag or name not in html_text.INLINE:
+                    beside = name == tag
+                    break
+            assert elements.beside(tag) == beside
+            if rng.random() < 0.6:
+                stack.append(tag)
+                elements.push(tag, -1 if tag in ("nav", "form") else 0, 0)
+            else:
+                assert elements.close(tag) == (tag in stack)
+                if tag in stack:
+                    while stack.pop() != tag:
+                        pass
+            assert [t for t, _, _ in elements.stack] == stack and elements.outside == stack.count("nav")
+
+
+def test_letters_of_newer_alphabets_through_the_pipeline(spark):
+    """U+10570 is a letter for Python and none for older Java."""
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    rows = [(k, sentences(rng, "abcde", 40), "p") for k in range(40)] + [(99, "\U00010570\U00010571", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()}
+    assert kept >= set(range(40))
+
+
+def test_pipeline_on_odd_tables(spark):
+    """Empty tables, null ids and texts, repeated rows, and columns whose names the operators use inside."""
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    base = "doc_id bigint, text string, lang string, source string"
+    odd = base + ", uid string, hash int, row string, times int, component int, size int"
+    texts = [sentences(rng, x, 60) for x in ("abcde", "fghij") for _ in range(30)]
+    rows = [(k, t, "pq"[k >= 30], "s") for k, t in enumerate(texts)] + [(None, texts[0] + " x", None, None), (None, None, None, None), (3, texts[3], "p", "s")]
+    for docs in (spark.createDataFrame([], base), spark.createDataFrame([(*r, "u", 1, "r", 2, 3, 4) for r in rows], odd)):
+        names, empty = docs.columns, docs.isEmpty()
+        for name, stage in corpus_pipeline.STAGES:
+            docs = corpus_pipeline.saved(stage(spark, docs, SMALL), name)
+            assert name == "packed" or docs.columns == names
+        assert docs.isEmpty() == empty
