@@ -20,8 +20,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     langs, model = languages.train(docs.where(~languages.held_out()))
     found = languages.predict(docs, langs, model)
     least, deviation = languages.least_fit(model)
-    trigrams = F.length(F.regexp_replace("row.text", r"\P{L}", ""))  # one around each letter
-    fits = F.col("fit") >= F.lit(least) - F.lit(3 * deviation) / F.sqrt(trigrams)
+    fits = F.col("fit") >= F.lit(least) - F.lit(3 * deviation) / F.sqrt(F.greatest("trigrams", F.lit(1)))
     return found.where((F.col("lang_pred") != languages.UNKNOWN) & fits).select("row.*")
 
 
