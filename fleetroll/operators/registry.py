@@ -75,13 +75,9 @@ def instances_by_requests(
     by_container, by_role, by_status = F.col("container") != "", F.size("roles") > 0, F.size("statuses") > 0
     question = ["container", "roles", "statuses", "everything"]
     filters = wanted.select(*question).distinct()
-    shapes = (
-        filters.select(
-            by_container.alias("c"), by_role.alias("r"), by_status.alias("s"), F.col("everything").alias("e")
-        )
-        .distinct()
-        .collect()
-    )
+    # At most nine, as a scalar subquery of the plan: nothing runs while it is built.
+    shape = F.struct(by_container.alias("c"), by_role.alias("r"), by_status.alias("s"), F.col("everything").alias("e"))
+    shapes = filters.select(F.collect_set(shape)).scalar()
 
     # A probe key spells out the filtered fields, has a star for the others, and a plus to list everything.
     star = F.array(F.lit("*"))
@@ -105,9 +101,6 @@ def instances_by_requests(
         .withColumn("p_status", F.explode(F.when(by_status, each(F.col("statuses"))).otherwise(star)))
         .select(*question, probe())
     )
-    if not shapes:
-        return requests.select("request_id", F.lit(None).cast("string").alias("instance_id")).limit(0)
-    shape_list = F.array(*[F.struct(*[F.lit(x[f]).alias(f) for f in "crse"]) for x in shapes])
     entries = (
         reg.select(
             "instance_id",
@@ -116,7 +109,7 @@ def instances_by_requests(
             F.coalesce("info.roles", none).alias("has_roles"),
             F.col("info").isNotNull().alias("known"),
         )
-        .withColumn("shape", F.explode(shape_list))
+        .withColumn("shape", F.explode(shapes))
         .where(F.col("known") | F.col("shape.e"))
         .withColumn(
             "p_container", F.when(F.col("shape.e"), "+").when(F.col("shape.c"), one(F.col("container"))).otherwise("*")

@@ -9,7 +9,7 @@ from .instance_records import (
     write_instance_records,
 )
 from .registry_table import compact_registry, read_registry, upsert_registry
-from .scratch import scratch_path
+from .scratch import release_scratch, scratch_path
 from .updates import malformed_updates, stream_updates
 
 __all__ = [
@@ -22,6 +22,7 @@ __all__ = [
     "read_instance_records",
     "read_registry",
     "read_stored_instances",
+    "release_scratch",
     "scratch_path",
     "split_failures",
     "stored_documents",

@@ -220,3 +220,23 @@ def test_lookups_read_no_more_than_was_asked(spark, tmp_path):
         assert not any("local_info" in line for line in plan.splitlines() if "Aggregate" in line)
         aggregates = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "SortAggregate(" in line]
         assert all("last_request" in line or "partial_max(struct(seq" in line for line in aggregates)  # of requests only
+
+
+def test_filter_requests_run_nothing_while_the_plan_is_built(spark, tmp_path):
+    schema = "request_id int, container string, roles array<string>, statuses array<string>"
+    asked = [(1, "container2", ["role22"], ["up"]), (2, None, None, None), (3, None, ["role11", "role22"], [])]
+    registry(spark, FIVE).write.parquet(str(tmp_path / "reg"))
+    spark.createDataFrame(asked, schema).write.parquet(str(tmp_path / "asked"))
+    reg, asked = (spark.read.parquet(str(tmp_path / name)) for name in ("reg", "asked"))
+    group = "built"
+    spark.sparkContext.setJobGroup(group, "building")
+    try:
+        found = ops.instances_by_requests(reg, asked)
+        none = ops.instances_by_requests(reg, asked.where("request_id > 9"))
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted((r[0], r[1]) for r in found.collect()) == sorted(
+        [(1, "i5"), *[(2, r[0]) for r in FIVE], (3, "i1"), (3, "i4"), (3, "i5")]
+    )
+    assert none.count() == 0 and none.columns == ["request_id", "instance_id"]

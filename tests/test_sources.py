@@ -132,3 +132,13 @@ def test_malformed_updates(spark, tmp_path):
     bad = streaming.run_to_table(sources.malformed_updates(spark, str(tmp_path / "in")), "bad").collect()
     assert sorted(r["message"] for r in bad) == ["malformed message", "missing instance_id", "missing instance_id"]
     assert "{broken" in {r["record"] for r in bad}
+
+
+def test_intermediate_tables_are_released_on_request(spark):
+    one, two, never = (sources.scratch_path(spark, name) for name in ("one", "two", "never"))
+    for path in (one, two):
+        spark.range(3).write.parquet(path)
+    assert set(sources.release_scratch(spark, keep=[two])) >= {one}
+    assert spark.read.parquet(two).count() == 3
+    assert sources.release_scratch(spark) == [two]  # what was never written is no error
+    assert sources.release_scratch(spark) == []
