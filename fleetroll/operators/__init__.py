@@ -30,6 +30,7 @@ from .lifecycle import (
 )
 from .registry import (
     exclude_container,
+    filter_answers,
     get_containers,
     get_instances,
     instances_by,

@@ -49,14 +49,42 @@ def instances_by(
     return found
 
 
+_QUESTION = ["container", "roles", "statuses", "everything"]
+
+
 def instances_by_requests(
     reg: DataFrame, requests: DataFrame, role_match: str = "any", policy: SkewPolicy = DEFAULT_SKEW
 ) -> DataFrame:
     """One answer set per filter request (request_id, container, roles, statuses): rows (request_id, instance_id).
 
     Bad status texts are dropped; a request left without any filter lists everything, unknown info included (an empty
-    container name is a filter that all known instances pass). Requests that ask the same are answered once. Every filter becomes equality on up to three fields, so this is an equi-join on
-    probe keys and never a nested loop; only the filter shapes in use (at most nine) make the registry side wider.
+    container name is a filter that all known instances pass). Requests that ask the same are answered once, and the answer is
+    repeated for each; ``filter_answers`` keeps it single.
+    """
+    wanted, answers = _answered(reg, requests, role_match, policy)
+    return skew_join_both(answers, wanted, _QUESTION, policy).select("request_id", "instance_id")
+
+
+def filter_answers(
+    reg: DataFrame, requests: DataFrame, role_match: str = "any", policy: SkewPolicy = DEFAULT_SKEW
+) -> tuple[DataFrame, DataFrame]:
+    """(request_id, asked_first) and (asked_first, instance_id): many requests with few different filters share their answers.
+
+    ``asked_first`` is the smallest request id with the same filter. Request ids must not be null.
+    """
+    wanted, answers = _answered(reg, requests, role_match, policy)
+    first = wanted.groupBy(*_QUESTION).agg(F.min("request_id").alias("asked_first"))
+    shared = wanted.join(first, _QUESTION).select("request_id", "asked_first")
+    return shared, answers.join(first, _QUESTION).select("asked_first", "instance_id")
+
+
+def _answered(
+    reg: DataFrame, requests: DataFrame, role_match: str, policy: SkewPolicy
+) -> tuple[DataFrame, DataFrame]:
+    """The requests in canonical form, and the instances of every different filter in them.
+
+    Every filter becomes equality on up to three fields, so this is an equi-join on probe keys and never a nested loop; only
+    the filter shapes in use (at most nine) make the registry side wider.
     """
     if role_match not in ("any", "all"):
         raise ValueError(f"unknown role_match {role_match!r}")
@@ -73,8 +101,7 @@ def instances_by_requests(
         F.col("container").isNull().alias("everything"),
     ).withColumn("everything", F.col("everything") & (F.size("roles") == 0) & (F.size("statuses") == 0))
     by_container, by_role, by_status = F.col("container") != "", F.size("roles") > 0, F.size("statuses") > 0
-    question = ["container", "roles", "statuses", "everything"]
-    filters = wanted.select(*question).distinct()
+    filters = wanted.select(*_QUESTION).distinct()
     # At most nine, as a scalar subquery of the plan: nothing runs while it is built.
     shape = F.struct(by_container.alias("c"), by_role.alias("r"), by_status.alias("s"), F.col("everything").alias("e"))
     shapes = filters.select(F.collect_set(shape)).scalar()
@@ -99,7 +126,7 @@ def instances_by_requests(
         )
         .withColumn("p_role", F.explode(F.when(by_role, each(searched)).otherwise(star)))
         .withColumn("p_status", F.explode(F.when(by_status, each(F.col("statuses"))).otherwise(star)))
-        .select(*question, probe())
+        .select(*_QUESTION, probe())
     )
     entries = (
         reg.select(
@@ -126,8 +153,7 @@ def instances_by_requests(
         hits = hits.where((F.size("roles") == 0) | (F.col("p_role") == one(first)))
     else:
         hits = hits.where(_role_match(F.col("has_roles"), F.col("roles"), "all"))
-    answers = hits.select(*question, "instance_id")
-    return skew_join_both(answers, wanted, question, policy).select("request_id", "instance_id")
+    return wanted, hits.select(*_QUESTION, "instance_id")
 
 
 def exclude_container(df: DataFrame, name: str) -> DataFrame:

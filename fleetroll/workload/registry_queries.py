@@ -65,6 +65,21 @@ def flt_2_all(spark, sf):
     return ops.instances_by_requests(fx.registry(spark, sf), fx.filter_requests(spark, sf), role_match="all")
 
 
+@query(
+    "flt_2_shared",
+    with_views(
+        "full_registry f11_filters",
+        f"""WITH asked AS (SELECT *, min(request_id) OVER (PARTITION BY container, roles, status) AS asked_first FROM f11_filters)
+        SELECT asked_first, instance_id, (SELECT count(*) FROM asked b WHERE b.asked_first = a.asked_first) AS requests
+        FROM ({ANY_ROLE}) JOIN asked a USING (request_id) WHERE request_id = asked_first""",
+    ),
+)
+def flt_2_shared(spark, sf):
+    """Each answer once, with how many requests share it."""
+    shared, answers = ops.filter_answers(fx.registry(spark, sf), fx.filter_requests(spark, sf))
+    return answers.join(shared.groupBy("asked_first").agg(F.count(F.lit(1)).alias("requests")), "asked_first")
+
+
 @query("flt_3", with_views("full_registry", "SELECT instance_id FROM full_registry WHERE container_name <> 'cont_0'"))
 def flt_3(spark, sf):
     return ops.exclude_container(fx.registry(spark, sf), "cont_0").select("instance_id")
