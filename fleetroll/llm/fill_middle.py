@@ -31,8 +31,8 @@ _MARKS = tuple(m.encode() for m in (PREFIX, SUFFIX, MIDDLE))
 
 #: Bytes a hash sees, bits of it that are zero at a cut, and the least and most bytes of a chunk.
 WINDOW, ZEROS, LEAST, MOST = 32, 10, 256, 8192
-#: Bytes hashed at once, and bytes of chunks whose summaries a task keeps in each of its two generations.
-SLICE, KEPT = 1 << 20, 16 << 20
+#: Bytes hashed at once, bytes that a task keeps in each of its two generations of chunks, and bytes an entry takes besides.
+SLICE, KEPT, ENTRY = 1 << 20, 32 << 20, 300
 #: Documents or bytes of text in a batch of results.
 BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 
@@ -95,7 +95,7 @@ class Summaries:
             if self.size > self.kept:
                 self.old, self.young, self.size = self.young, {}, 0
             self.young[chunk] = found
-            self.size += len(chunk)
+            self.size += len(chunk) + ENTRY
         return found
 
 
