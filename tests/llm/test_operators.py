@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import struct
 import time
@@ -508,3 +509,56 @@ def test_pipeline_on_odd_tables(spark):
             docs = corpus_pipeline.saved(stage(spark, docs, SMALL), name)
             assert name == "packed" or docs.columns == names
         assert docs.isEmpty() == empty
+
+
+def brute_verdicts(rows):
+    """kept per row, with quartiles of sorted values instead of merged sketches."""
+    facts = []
+    for doc_id, text, lang, source in rows:
+        n, chars, symbols, lines, dup, again = quality.measures(text)
+        values = {
+            "word_length": chars / max(n, 1), "symbols": symbols / max(chars, 1), "dup_lines": dup / max(lines, 1), "repeats": again / max(n, 1),
+        }
+        facts.append((doc_id, lang, source, n < 10 or 100 * again > 20 * n, values))
+
+    def rounded(v):
+        return 0.0 if v <= 1e-9 else 2 * quality.GAMMA ** math.ceil(math.log(v) / math.log(quality.GAMMA)) / (quality.GAMMA + 1)
+
+    def fence(group, name):
+        ordered = sorted(rounded(f[4][name]) for f in group)
+        q1, q3 = (ordered[math.ceil(share * len(ordered)) - 1] for share in (0.25, 0.75))
+        least, both = quality.MEASURES[name]
+        reach = quality.REACH * max(q3 - q1, least)
+        return (q1 - reach if both else -1.0), q3 + reach
+
+    kept = []
+    for doc_id, lang, source, failed, values in facts:
+        passed = [f for f in facts if not f[3]]
+        groups = [[f for f in passed if f[1:3] == (lang, source)], [f for f in passed if f[1] == lang], passed]
+        group = next((g for g in groups[:2] if len(g) >= quality.LEAST_GROUP), passed)
+        inside = all(low <= values[m] <= high for m in values for low, high in [fence(group, m)])
+        kept.append((doc_id, failed, not failed and inside))
+    return kept
+
+
+def test_quality_verdicts_against_brute_force(spark):
+    """Groups with fences of their own, small ones with their language's, and a small language with those of all."""
+    rng = random.Random(15)
+
+    def text(letters, marks):
+        words = ["".join(rng.choices("abcdefgh", k=rng.randint(*letters))) for _ in range(rng.randint(8, 60))]
+        for _ in range(rng.randint(0, marks)):
+            words[rng.randrange(len(words))] += rng.choice("#*$%")
+        if rng.random() < 0.1:
+            words += words[:7]
+        lines = [" ".join(words[k : k + 8]) for k in range(0, len(words), 8)]
+        return "\n".join(lines + lines[:1] * (rng.random() < 0.2))
+
+    kinds = [("en", "a", 130, (3, 7), 1), ("en", "b", 60, (3, 7), 30), ("de", "a", 140, (6, 14), 2), ("de", None, 9, (3, 4), 0), (None, "c", 30, (1, 2), 3)]
+    rows = [(text(letters, marks), lang, source) for lang, source, n, letters, marks in kinds for _ in range(n)]
+    rows += [(text((20, 30), 0), "en", "a"), ("word " * 40, "en", "a"), ("", "xx", "a"), (None, None, None)]
+    rows = [(k, *r) for k, r in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    got = sorted((r.doc_id, r.base_failed, r.kept) for r in quality.judge(docs).collect())
+    assert got == brute_verdicts(rows)
+    assert 20 < sum(not failed and not kept for _, failed, kept in got) < len(got) / 2
