@@ -562,3 +562,54 @@ def test_quality_verdicts_against_brute_force(spark):
     got = sorted((r.doc_id, r.base_failed, r.kept) for r in quality.judge(docs).collect())
     assert got == brute_verdicts(rows)
     assert 20 < sum(not failed and not kept for _, failed, kept in got) < len(got) / 2
+
+
+def near_groups(rows, width):
+    """The number of each row's group of near duplicates, and each row's shingles."""
+    sets = [shingles(t, width) for _, t, _ in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    return [find(k) for k in range(len(rows))], sets
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    """The rows that the second to the fourth stage keep, each on what its predecessor kept."""
+    import corpus_pipeline
+
+    rows = [*rows_of(16, 60), (500, " ".join(f"u{k}" for k in range(90)), "c"), (501, " ".join(f"u{k}" for k in range(60)), "c")]
+    docs = documents(spark, tmp_path, rows).withColumn("n_chars", F.char_length("text"))
+
+    docs = corpus_pipeline.saved(corpus_pipeline.near_duplicates(spark, docs, ""), "near")
+    group, sets = near_groups(rows, 5)
+    members = defaultdict(list)
+    for k, row in enumerate(rows):
+        members[group[k] if sets[k] else ("alone", k)].append(row)
+    stay = [min(own, key=lambda r: (r[0] is None, r[0] or 0)) for own in members.values()]
+    got = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    assert Counter(r[0] for r in got) == Counter(r[0] for r in stay)
+    known = {(r[0], r[1]) for r in rows}
+    assert all((d, t) in known for d, t, _ in got)
+
+    docs = corpus_pipeline.saved(corpus_pipeline.repeated_passages(spark, docs, ""), "passages")
+    want = Counter()
+    for (doc_id, _, _, _, kept), n in brute_repeats(got, 200).items():
+        want[doc_id, kept.decode(errors="ignore"), len(kept.decode(errors="ignore"))] += n
+    assert Counter((r.doc_id, r.text or "", r.n_chars) for r in docs.collect()) == want
+    assert any(n < 400 for d, _, n in want if d == 500)  # a passage that two documents share
+
+    mix = Counter()
+    for r in mixing.mix(docs).collect():
+        mix[r.doc_id, r.taken] += 1
+    size = {(r.doc_id, r.text): len(quality.WORDS.findall(r.text or "")) for r in docs.collect()}
+    times = Counter((r.doc_id, r.text) for r in corpus_pipeline.mixture(spark, docs, "").collect())
+    taken = Counter((d, n * size[d, t]) for (d, t), n in times.items() if size[d, t])
+    assert taken == Counter({k: n for k, n in mix.items() if k[1]})
