@@ -132,6 +132,110 @@ def test_repeats(spark, tmp_path, most):
     assert Counter((r.row.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == brute_repeats(rows, 200)
 
 
+def brute_groups(rows, length):
+    """The strings of all maximal repeats of at least ``length`` bytes, with all their (document, place)."""
+    places = defaultdict(list)
+    for d, (_, text, _) in enumerate(rows):
+        data = (text or "").encode()
+        for p in range(len(data) - length + 1):
+            places[data[p : p + length]].append((d, p))
+    data = [(t or "").encode() for _, t, _ in rows]
+    found = {}
+    for own in places.values():
+        for k, (d, p) in enumerate(own):
+            for e, q in own[:k]:
+                if p and q and data[d][p - 1] == data[e][q - 1]:
+                    continue  # a pair that goes on to the left
+                n = length
+                while p + n < len(data[d]) and q + n < len(data[e]) and data[d][p + n] == data[e][q + n]:
+                    n += 1
+                found.setdefault(data[d][p : p + n], set()).update({(d, p), (e, q)})
+    for text, own in found.items():  # pairs that are longer hold it as well
+        for d, p in places[text[:length]]:
+            if data[d][p : p + len(text)] == text:
+                own.add((d, p))
+    return found
+
+
+def test_repeat_groups_are_all_maximal_repeats(spark, tmp_path):
+    """Groups that do not reach the limits of their contexts are those of brute force, with all occurrences."""
+    rng = random.Random(11)
+
+    def letters(n):
+        return "".join(rng.choice("abcdefgh") for _ in range(n))
+
+    length, rows = 80, []
+    shared = [letters(rng.randint(85, 110)) for _ in range(12)]
+    shared += [x[:k] + letters(9) for x in shared[:6] for k in (81, 88)] + [letters(7) + x[5:] for x in shared[3:9]]
+    shared += [shared[0] + "\0\0", shared[0] + "\0", shared[1]]
+    for k in range(90):
+        rows.append((k, letters(rng.randint(0, 40)) + rng.choice(shared) + letters(rng.randint(0, 40)), "a"))
+    rows += [(200, shared[0], "a"), (201, shared[0], "b"), (202, None, "a"), (None, "", None), rows[5]]
+    want = brute_groups(rows, length)
+    found = repeats.search(documents(spark, tmp_path, rows), length)
+    number = {}  # uids in the order of the rows of one text
+    texts = [(r.uid, r.text) for r in found.rows.select("uid", "text").collect()]
+    left = defaultdict(list)
+    for d, (_, text, _) in enumerate(rows):
+        left[text].append(d)
+    for uid, text in sorted(texts, key=lambda x: x[0]):
+        number[uid] = left[text].pop(0)
+    got, whole = defaultdict(set), set()
+    named = repeats.occurrences(found, repeats.repeat_groups(found)).collect()
+    groups = defaultdict(set)
+    for r in named:
+        groups[r.key, r["from"], r.to, r.first, r.last, r.left_first, r.left_last].add((number[r.uid], r.start, r.end))
+    back = length - repeats.GRAM
+    for (_, start, end, *_), own in groups.items():
+        d, x, y = next(iter(own))
+        data = rows[d][1].encode()
+        assert {rows[e][1].encode()[u:v] for e, u, v in own} == {data[x:y]}  # one string
+        if -start < back and end < length:
+            got[data[x:y]] |= {(e, u) for e, u, _ in own}
+            whole.add(data[x:y])
+        else:
+            assert {(e, u) for e, u, _ in own} <= {(e, p) for t, w in want.items() for e, q in w for p in range(q, q + len(t))}
+    texts = {k: v for k, v in got.items() if k in want}
+    assert len(texts) > 15 and all(v == want[k] for k, v in texts.items())
+    assert {k for k in got if k not in want} == set()
+    # Every maximal repeat whose anchors allow it is there; the others appear as parts, which removal is tested on.
+    anchored = 0
+    for text, own in want.items():
+        d, p = next(iter(own))
+        data = np.frombuffer(rows[d][1].encode(), np.uint8)
+        _, place, _ = repeats.anchors(data, np.array([len(data)]), length)
+        if any(a - p < back and p + len(text) - a < length and a >= p and a + repeats.GRAM <= p + len(text) for a in place.tolist()):
+            anchored += 1
+            assert text in got
+    assert anchored > 15
+
+
+@pytest.mark.parametrize("period", [1, 10, 32, 33, 150])
+def test_periodic_texts_by_brute_force(spark, tmp_path, period):
+    rng = random.Random(period)
+    unit = "".join(rng.choice("abcdefgh") for _ in range(period))
+    long = unit * (1500 // period)
+    other = "".join(rng.choice("xyz") for _ in range(300))
+    rows = [
+        (1, other[:150] + long + other[150:], "a"), (2, long[3 % period :][:200], "a"), (3, unit * 2, "a"), (4, long[: 200 + period], "a"),
+        (5, long[: 199 + period], "b"), (6, other + long[5:1200] + "q" + long[:900], "b"), (7, None, None), (8, long[:650] + "r" + long, None),
+    ]
+    for some in (rows, rows[:1], rows[3:4], rows[4:5], rows[7:]):
+        got = repeats.remove_repeats(documents(spark, tmp_path / str(rng.random()), some), 200).collect()
+        assert Counter((r.row.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == brute_repeats(some, 200)
+
+
+@pytest.mark.parametrize("period", [1, 10, 100])
+def test_long_periodic_texts_have_few_contexts(spark, tmp_path, period):
+    """Two megabytes of a run lose all bytes, by a bounded number of contexts where the period is at most a gram."""
+    unit = "".join(random.Random(period).sample("abcdefghijklmnopqrstuvwxyz" * 4, period))
+    text = unit * (2_000_000 // period)
+    found = repeats.search(documents(spark, tmp_path, [(1, text, "a"), (2, "other", "a")]), 200)
+    assert found.places.count() <= (60_000 if period > repeats.GRAM else 1_000)
+    got = repeats.remove_repeats(documents(spark, tmp_path / "again", [(1, text, "a")]), 200).collect()
+    assert [(r.n_bytes, r.n_removed, r.n_spans) for r in got] == [(len(text), len(text), 1)]
+
+
 def shingles(text, width):
     lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = quality.WORDS.findall(lowered)
