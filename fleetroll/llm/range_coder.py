@@ -2,8 +2,10 @@
 
 Ids are cut into blocks. Every block starts from the same state, has its own byte string and the crc32 of its ids, so it can be
 decoded alone. Within a block each id is coded with a mixture of three predictions: the id that followed the last two ids
-(order 2), the id that followed the last one (order 1), and the id frequencies of the segment (order 0, in its header). The
-mixture's weights adapt: each context keeps how often its guess held, and each level of that has its own adaptive probability.
+(order 2), the id that followed the last one (order 1), and the id frequencies of the segment (order 0, in its header). That
+first state has each context's most frequent successor in the segment, from the header as well; from there a block's contexts
+learn its own. The mixture's weights adapt: each context keeps how often its guess held, and each level of that has its own
+adaptive probability.
 
 All blocks of a segment are coded side by side: a step codes one id of every block with array operations.
 """
@@ -15,12 +17,13 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"FRT3"
-BLOCK = 512
-SLOTS = 128  # contexts a block remembers; four times as many save less than one byte in a hundred and miss the processor's caches
+MAGIC = b"FRT4"
+BLOCK = 2048
+SLOTS = 512  # contexts a block remembers; four times as many save half a byte in a hundred and miss the processor's caches
 WEIGHT = 12  # bits of the mixture's weights
 TOP, FORCED = np.uint64(1 << 48), np.uint64(1 << 32)
 _16, _32, _48 = np.uint64(16), np.uint64(32), np.uint64(48)
+_ONE, _TWO = np.int32(40503), np.int32(30011)  # of the hashes of contexts
 _LOW32 = np.uint64((1 << 32) - 1)
 
 
@@ -43,12 +46,27 @@ def _symbols(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return symbols, place.take(ids), counts[symbols]
 
 
+def _successors(syms: np.ndarray, n: int) -> np.ndarray:
+    """For each order and slot the most frequent symbol after the slot's contexts (the larger of equals), ``n`` after none."""
+    h1 = syms[:-1] * _ONE
+    best = np.full((2, SLOTS), n, np.int64)
+    for order, slot in enumerate((h1 >> 4, h1[1:] + syms[:-2] * _TWO >> 4)):
+        pairs = np.sort((slot & SLOTS - 1).astype(np.int64) << 32 | syms[order + 1 :])
+        if not len(pairs):
+            continue
+        begin = np.flatnonzero(np.diff(pairs, prepend=-1))
+        pairs, counts = pairs[begin], np.diff(begin, append=len(pairs))
+        first = np.flatnonzero(np.diff(pairs >> 32, prepend=-1))
+        best[order, pairs[first] >> 32] = np.maximum.reduceat(counts << 32 | pairs & 0xFFFFFFFF, first) & 0xFFFFFFFF
+    return best
+
+
 class _Model:
     """Contexts and weights of all blocks of a segment; ``n`` symbols. A slot holds its guess and, in two bits, its level."""
 
-    def __init__(self, blocks: int, n: int):
-        self.t1 = np.full(blocks * SLOTS, n << 2, np.int32)
-        self.t2 = self.t1.copy()
+    def __init__(self, blocks: int, n: int, first: np.ndarray):
+        """``first`` has the guesses that all blocks begin with, a row for each order; ``n`` where there is none."""
+        self.t1, self.t2 = (np.tile(row.astype(np.int32) << 2, blocks) for row in first)
         self.a1 = np.tile(np.array([8000, 24000, 36000, 50000], np.int32), blocks)
         self.a2 = self.a1.copy()
         self.base = np.arange(blocks, dtype=np.int32) * SLOTS
@@ -58,10 +76,10 @@ class _Model:
 
     def guess(self, m: int) -> tuple[np.ndarray, np.ndarray]:
         """Weights of the guesses ``g2`` and ``g1`` for the first ``m`` blocks, of 4096."""
-        h1 = self.p1[:m] * np.int32(40503)
+        h1 = self.p1[:m] * _ONE
         self.i1 = (h1 >> 4 & SLOTS - 1) + self.base[:m]
         self.i2 = (h1 + self.h2[:m] >> 4 & SLOTS - 1) + self.base[:m]
-        self.h2[:m] = self.p1[:m] * np.int32(30011)
+        self.h2[:m] = self.p1[:m] * _TWO
         self.v1, self.v2 = self.t1.take(self.i1), self.t2.take(self.i2)
         self.g1, self.g2 = self.v1 >> 2, self.v2 >> 2
         self.l1, self.l2 = self.v1 & 3, self.v2 & 3
@@ -92,7 +110,7 @@ def _renew(lo: np.ndarray, r: np.ndarray) -> np.ndarray | None:
 
 
 def encode(ids: np.ndarray) -> bytes:
-    """A segment: header, symbols with frequencies, block table, blocks. ``ids`` are uint32, any number of them."""
+    """A segment: header, symbols with frequencies, block table, first guesses, blocks. ``ids`` are uint32, any number of them."""
     ids = np.ascontiguousarray(ids, np.uint32)
     n = len(ids)
     blocks = -(-n // BLOCK)
@@ -106,7 +124,8 @@ def encode(ids: np.ndarray) -> bytes:
     step_syms[:n] = seq
     step_syms = np.ascontiguousarray(step_syms.reshape(blocks, BLOCK).T)
     last = n - (blocks - 1) * BLOCK
-    model = _Model(blocks, len(symbols))
+    first = _successors(seq.astype(np.int32, copy=False), len(symbols))
+    model = _Model(blocks, len(symbols), first)
     low, rng = np.zeros(blocks, np.uint64), np.full(blocks, (1 << 63) - 1, np.uint64)
     room = 3 * BLOCK + 8
     out, pos = np.empty(blocks * room, np.uint16), np.arange(blocks, dtype=np.int64) * room
@@ -142,7 +161,8 @@ def encode(ids: np.ndarray) -> bytes:
     crcs = np.array([zlib.crc32(ids[b * BLOCK : (b + 1) * BLOCK].astype("<u4").tobytes()) for b in range(blocks)], "<u4")
     body = b"".join(out[a:b].astype("<u2").tobytes() for a, b in zip(begin, pos))
     head = MAGIC + struct.pack("<IIBI", n, blocks, bits, len(symbols))
-    return b"".join([head, symbols.astype("<u4").tobytes(), freq.astype("<u4").tobytes(), words.tobytes(), crcs.tobytes(), body])
+    tables = [x.astype("<u4").tobytes() for x in (symbols, freq, words, crcs, first)]
+    return b"".join([head, *tables, body])
 
 
 def decode(data: bytes) -> np.ndarray:
@@ -154,7 +174,7 @@ def decode(data: bytes) -> np.ndarray:
         return np.empty(0, np.uint32)
     at = 4 + struct.calcsize("<IIBI")
     parts = []
-    for count in (many, many, blocks, blocks):
+    for count in (many, many, blocks, blocks, 2 * SLOTS):
         parts.append(np.frombuffer(data, "<u4", count, at))
         at += 4 * count
     symbols, freq, words, crcs = parts[0], parts[1].astype(np.int64), parts[2].astype(np.int64), parts[3]
@@ -163,7 +183,7 @@ def decode(data: bytes) -> np.ndarray:
     stream = np.concatenate([np.frombuffer(data, "<u2", int(words.sum()), at), np.zeros(8, "<u2")]).astype(np.uint64)
     pos = np.cumsum(words) - words
     last = n - (blocks - 1) * BLOCK
-    model = _Model(blocks, many)
+    model = _Model(blocks, many, np.minimum(parts[4].reshape(2, SLOTS), many))
     low, rng, code = np.zeros(blocks, np.uint64), np.full(blocks, (1 << 63) - 1, np.uint64), np.zeros(blocks, np.uint64)
     for _ in range(4):
         code = code << _16 | stream[pos]
