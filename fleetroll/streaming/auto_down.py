@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timing import MICROS, to_timestamp
 from ..model import AUTO_DOWN_POLL, DOWNED, EXITING, MEMBER_KINDS, UNREACHABLE
-from .fold import BUCKETS, SLOT, Fold, coded, folded, in_slots, ship_by_value
+from .fold import BUCKETS, SLOT, Fold, coded, folded, ship_by_value, timed
 
 DEREGISTERED = "DEREGISTERED"
 CODES = [DEREGISTERED, *MEMBER_KINDS]
@@ -90,8 +90,8 @@ def stream_auto_down(
         F.lit(DEREGISTERED).alias("kind"),
     )
     rows = member.unionByName(gone).withColumn("code", coded(F.col("kind"), CODES))
-    slots = in_slots(rows, "instance_id", "ts", slot_us, "event_id", "code")
-    downs = folded(slots, "instance_id", AutoDown(int(poll * MICROS)), slot_us, initial, buckets)
+    rule = AutoDown(int(poll * MICROS))
+    downs = folded(timed(rows, "ts"), "instance_id", rule, slot_us, ["event_id", "code"], initial, buckets)
     polled = downs.select(
         "instance_id",
         to_timestamp(F.col("since_us")).alias("unreachable_at"),

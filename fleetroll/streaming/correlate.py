@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.timing import MICROS, to_timestamp
 from ..model import ANSWERED, ORPHAN, REQUEST_TIMEOUT, SUPERSEDED, TIMED_OUT, UNANSWERED
 from ..operators.correlate import sender_not_found
-from .fold import BUCKETS, SLOT, Fold, folded, in_slots, ship_by_value
+from .fold import BUCKETS, SLOT, Fold, folded, ship_by_value, timed
 
 
 class OpenRequest(Fold):
@@ -31,17 +29,14 @@ class OpenRequest(Fold):
     def expire(self, state):
         return self.start, [[state[0]], [self.given_up], [None], [None]]
 
-    def fold_keys(self, states, slots):
+    def fold_keys(self, states, sizes, us, is_answer, response_id):
         """All keys at once: rows in order by key, an open request first; what follows a row of its key decides."""
-        size = [sum(len(r["us"]) for r in rows) for rows in slots]
-        every = list(chain.from_iterable(slots))
-        us, is_answer, response_id = (list(chain.from_iterable(r[c] for r in every)) for c in self.columns)
-        key = np.repeat(np.arange(len(slots)), size)
+        key = np.repeat(np.arange(len(sizes)), sizes)
         held = [k for k, state in enumerate(states) if state[0] is not None]
-        at = (np.cumsum(size) - size)[held]
-        us = np.insert(np.array(us), at, [states[k][0] for k in held])
-        is_answer = np.insert(np.array(is_answer, bool), at, False)
-        response_id = np.insert(np.array(response_id, object), at, None)
+        at = (np.cumsum(sizes) - sizes)[held]
+        us = np.insert(us, at, [states[k][0] for k in held])
+        is_answer = np.insert(is_answer, at, False)
+        response_id = np.insert(response_id.astype(object), at, None)
         key = np.insert(key, at, held)
 
         followed = np.append(key[1:] == key[:-1], False)
@@ -64,7 +59,7 @@ class OpenRequest(Fold):
         after = [self.start] * len(states)
         for k in np.flatnonzero(~is_answer & ~followed).tolist():
             after[key[k]] = (int(us[k]),)
-        return after, [*key[asked].tolist(), *key[orphans].tolist()], out
+        return after, np.append(key[asked], key[orphans]), out
 
 
 ship_by_value(__name__)
@@ -91,8 +86,8 @@ def stream_correlate(
     answers = responses.select("request_id", "ts", F.lit(True).alias("is_answer"), F.col("response_id").cast("string").alias("response_id"))
     log = asked.unionByName(answers).where(F.col("request_id").isNotNull())
     give_up_us, given_up = (timeout_us, TIMED_OUT) if give_up is None else (int(give_up * MICROS), UNANSWERED)
-    slots = in_slots(log, "request_id", "ts", slot_us, "is_answer", "response_id")
-    rows = folded(slots, "request_id", OpenRequest(timeout_us, give_up_us, given_up), slot_us, buckets=buckets)
+    rule = OpenRequest(timeout_us, give_up_us, given_up)
+    rows = folded(timed(log, "ts"), "request_id", rule, slot_us, ["is_answer", "response_id"], buckets=buckets)
     return rows.select(
         "request_id",
         to_timestamp(F.col("asked_us")).alias("asked_at"),

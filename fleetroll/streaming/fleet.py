@@ -21,7 +21,7 @@ from ..model import (
     UNREACHABLE,
     UP,
 )
-from .fold import BUCKETS, SLOT, Fold, coded, decoded, folded, in_slots, last_before, ship_by_value
+from .fold import BUCKETS, SLOT, Fold, coded, decoded, folded, last_before, ship_by_value, timed
 
 CODES = [*BASE_KINDS, UNREACHABLE, REACHABLE, REMOVED, ABSENT, STORED, DEAD, REJECTED]
 _CODE = {name: code for code, name in enumerate(CODES)}
@@ -115,6 +115,6 @@ def stream_fleet_state(
         # An exiting member is expected to become unreachable.
         kinds = kinds & ~((F.col("kind") == UNREACHABLE) & F.coalesce("exiting", F.lit(False)))
     rows = updates.where(kinds).select("instance_id", "ts", "event_id", coded(F.col("kind"), CODES).alias("code"))
-    slots = in_slots(rows, "instance_id", "ts", slot_us, "event_id", "code")
-    steps = folded(slots, "instance_id", FleetState(int(launch_timeout * MICROS), clustered), slot_us, initial, buckets)
+    rule = FleetState(int(launch_timeout * MICROS), clustered)
+    steps = folded(timed(rows, "ts"), "instance_id", rule, slot_us, ["event_id", "code"], initial, buckets)
     return steps.select("instance_id", to_timestamp(F.col("us")).alias("ts"), "event_id", decoded(F.col("code"), CODES).alias("state"))

@@ -24,15 +24,12 @@ class SilenceAfterSlots(Fold):
 
     state_schema = "last_us bigint, alarming boolean, ended boolean"
     start = (None, False, False)
-    columns = ["first_us", "last_us", "alarming", "n"]
+    columns = ["us", "last_us", "alarming", "n"]
     output_schema = "n bigint, missed bigint, last_us bigint, late bigint"
 
     def __init__(self, slot_us: int, limit_us: int):
         self.slot_us, self.limit_us = slot_us, limit_us
 
-    def arrays(self, rows):
-        return [np.array([r[c] for r in rows]) for c in self.columns]
-
     def deadline(self, state):
         last_us, alarming, ended = state
         return last_us + self.limit_us if alarming and not ended else None
@@ -65,25 +62,18 @@ def _silences(
     events: DataFrame, alarming: Column, slot_us: int, limit_us: int, buckets: int, initial: DataFrame | None = None
 ) -> DataFrame:
     """(key, n, missed, last_us, late): parts of sums, and the last event before the end of a key."""
-    timed = events.select("key", "ts", micros("ts").alias("us"), "event_id", alarming.alias("alarming"), "n")
+    times = events.select("key", "ts", micros("ts").alias("us"), "event_id", alarming.alias("alarming"), "n")
     slots = (
-        timed.groupBy("key", F.window("ts", f"{slot_us} microseconds"))
+        times.groupBy("key", F.window("ts", f"{slot_us} microseconds"))
         .agg(
-            F.min("us").alias("first_us"),
+            F.min("us").alias("us"),
             F.max(F.struct("us", "event_id", "alarming")).alias("last"),
             F.sum("n").alias("n"),
         )
-        .select(
-            "key",
-            F.window_time("window").alias("slot_ts"),
-            F.unix_micros("window.start").alias("slot_us"),
-            "first_us",
-            F.col("last.us").alias("last_us"),
-            F.col("last.alarming").alias("alarming"),
-            "n",
-        )
+        .select("key", "us", F.col("last.us").alias("last_us"), F.col("last.alarming").alias("alarming"), "n")
     )
-    return folded(slots, "key", SilenceAfterSlots(slot_us, limit_us), slot_us, initial, buckets)
+    rule = SilenceAfterSlots(slot_us, limit_us)
+    return folded(slots, "key", rule, slot_us, initial=initial, buckets=buckets)
 
 
 def stream_heartbeat(

@@ -26,9 +26,6 @@ class Registered(Fold):
     def __init__(self, forget_us: int | None):
         self.forget_us = forget_us
 
-    def arrays(self, rows):
-        return [np.concatenate([np.asarray(r["us"]) for r in rows]), [x for r in rows for x in r["row"]]]
-
     def deadline(self, state):
         return state[1]
 
@@ -43,7 +40,7 @@ class Registered(Fold):
             if known:  # the next record that is not remembered any more
                 at = len(us) if until is None else max(at, int(np.searchsorted(us, until, "right")))
             if at == len(us):
-                return (known, until), [row, first.tolist()]
+                return (known, until), [row.tolist(), first.tolist()]
             first[at] = True
             known, until = True, None if self.forget_us is None else int(us[at]) + self.forget_us
             at += 1
@@ -68,25 +65,17 @@ def stream_register(
     """
     slot_us = int(slot * MICROS)
     forget_us = None if forget_after is None else int(forget_after * MICROS)
-    place = F.struct(micros("ts").alias("us"), *order)
-    record = F.struct(place.alias("at"), F.to_json(F.struct("*"), _JSON).alias("row"))
-    earlier = F.array_sort(
-        F.collect_list("record"), lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)
-    )
-    slots = (
-        new.select("instance_id", "ts", record.alias("record"))
-        .groupBy("instance_id", F.window("ts", f"{slot_us} microseconds"))
-        .agg(earlier.alias("records"))
-        .select(
-            "instance_id", F.window_time("window").alias("slot_ts"), F.unix_micros("window.start").alias("slot_us"),
-            F.col("records.at.us").alias("us"), F.col("records.row").alias("row"),
-        )
+    # Other columns of the same names may be part of the order.
+    place = {f"order{k}": F.col(c) for k, c in enumerate(order)}
+    records = new.select(
+        F.col("instance_id"), micros("ts").alias("us"), F.to_json(F.struct("*"), _JSON).alias("row"),
+        *[c.alias(name) for name, c in place.items()],
     )
     held = None
     if reg is not None:
         held = reg.select("instance_id").distinct().select(
             "instance_id", F.lit(True).alias("known"), F.lit(None).cast("bigint").alias("until")
         )
-    rows = folded(slots, "instance_id", Registered(forget_us), slot_us, held, buckets)
+    rows = folded(records, "instance_id", Registered(forget_us), slot_us, list(place), held, buckets)
     outcome = F.when(F.col("first"), REGISTERED).otherwise(ALREADY_EXISTS)
     return rows.select(F.from_json("row", new.schema, _JSON).alias("r"), outcome.alias("outcome")).select("r.*", "outcome")
