@@ -23,7 +23,8 @@ _SALT = "_salt"
 class SkewPolicy:
     """When a key counts as hot, and how fine its rows are split.
 
-    Inputs that Catalyst estimates below ``probe_bytes`` are not probed: even a single task can hold them whole.
+    Inputs that Catalyst estimates below ``probe_bytes`` are not probed: even a single task can hold them whole. An input
+    without keys, where a single task gets all rows, is counted in any case.
     """
 
     group_rows: int = 2_000_000
@@ -65,11 +66,11 @@ def key_hash(keys: Sequence[str]) -> Column:
 
 def find_hot_keys(df: DataFrame, keys: Sequence[str], policy: SkewPolicy = DEFAULT_SKEW) -> HotKeys:
     """Keys with at least ``group_rows`` rows, found in one pass that combines map-side."""
-    if estimated_bytes(df) < policy.probe_bytes:
-        return HotKeys()
-    if not keys:
+    if not keys:  # one group whatever its size; an estimate in bytes says little about the rows of a narrow column
         total = df.count()
         hot = {0: total} if total >= policy.group_rows else {}
+    elif estimated_bytes(df) < policy.probe_bytes:
+        return HotKeys()
     else:
         sketched = (
             df.select(key_hash(keys).alias("h"))

@@ -103,3 +103,13 @@ def test_given_hot_keys_are_used(spark, skewed):
     hot = HotKeys({skewed.select(F.xxhash64(F.lit(0))).first()[0]: 2000}, 100)
     assert hot.slices(next(iter(hot.rows))) == 20
     assert Ordered(skewed, ["k"], ["t", "id"], hot=hot).sliced
+
+
+def test_a_table_without_keys_is_cut_by_its_rows(spark):
+    """However few bytes Catalyst expects, no task gets all rows."""
+    policy = SkewPolicy(group_rows=1000)
+    rows = Ordered(spark.range(5000), [], ["id"], policy)
+    assert rows.sliced
+    got = rows.scan(nth=RunningSum(F.lit(1))).df
+    assert got.where(F.col("nth") != F.col("id") + 1).count() == 0
+    assert not Ordered(spark.range(999), [], ["id"], policy).sliced
