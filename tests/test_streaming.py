@@ -189,15 +189,16 @@ def test_correlate_gives_up_at_the_deadline(spark, tmp_path):
     assert {r[2] for r in done} == {"ANSWERED", "TIMED_OUT", "SUPERSEDED"}
 
 
-def test_state_is_kept_by_bucket_and_not_by_event(spark, tmp_path):
-    """Two thousand requests of as many ids, each in a slot of its own, in four buckets."""
-    asked = [(f"q{k}", START + 10.0 * k) for k in range(2000)]
+@pytest.mark.parametrize("ids, give_up", [(2000, None), (500, 1000)])
+def test_state_is_kept_by_bucket_and_not_by_event(spark, tmp_path, ids, give_up):
+    """Two thousand requests, each in a slot of its own, in four buckets."""
+    asked = [(f"q{k % ids}", START + 10.0 * k) for k in range(2000)]
     requests = as_stream(spark, str(tmp_path / "q"), asked, "request_id string, ts double", "ts", ("~", FAR), "10 seconds", batches=1)
     responses = as_stream(
-        spark, str(tmp_path / "p"), [(f"q{k}", f"p{k}", START + 10.0 * k + 1) for k in range(2000)],
+        spark, str(tmp_path / "p"), [(f"q{k % ids}", f"p{k}", START + 10.0 * k + 1) for k in range(2000)],
         "request_id string, response_id string, ts double", "ts", ("~~", None, FAR), "10 seconds", batches=1,
     )
-    found = streaming.stream_correlate(requests, responses, 8, slot=4, buckets=4)
+    found = streaming.stream_correlate(requests, responses, 8, give_up=give_up, slot=4, buckets=4)
     query = found.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination()
     operators = [o for p in query.recentProgress for o in json.loads(p.json)["stateOperators"]]
