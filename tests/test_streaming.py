@@ -205,6 +205,19 @@ def test_state_is_kept_by_bucket_and_not_by_event(spark, tmp_path, ids, give_up)
     assert 0 < sum(o["numRowsUpdated"] for o in operators) < 200
 
 
+def state_rows(stream, checkpoint):
+    query = stream.writeStream.format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return sum(o["numRowsUpdated"] for p in query.recentProgress for o in json.loads(p.json)["stateOperators"])
+
+
+def test_registration_keeps_state_by_bucket(spark, tmp_path):
+    rows = [(f"i{k % 900}", START + 10.0 * k, k) for k in range(2000)]
+    schema = "instance_id string, ts double, event_id bigint"
+    new = as_stream(spark, str(tmp_path / "in"), rows, schema, "ts", ("~", FAR, 0), "10 seconds", batches=1)
+    assert 0 < state_rows(streaming.stream_register(new, None, ["event_id"], slot=4, buckets=4), str(tmp_path / "c")) < 200
+
+
 @pytest.mark.parametrize("forget", [None, 12])
 def test_register(spark, tmp_path, forget):
     """The earliest record of an id by event time wins, whatever file it comes in."""
