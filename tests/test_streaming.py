@@ -218,6 +218,12 @@ def test_registration_keeps_state_by_bucket(spark, tmp_path):
     assert 0 < state_rows(streaming.stream_register(new, None, ["event_id"], slot=4, buckets=4), str(tmp_path / "c")) < 200
 
 
+def test_fleet_state_is_kept_by_bucket(spark, tmp_path):
+    rows = [(f"i{k % 900}", START + 10.0 * k, k, "UP") for k in range(2000)]
+    updates = as_stream(spark, str(tmp_path / "in"), rows, EVENTS, "ts", ("~", FAR, 0, "REACHABLE"), "10 seconds", batches=1)
+    assert 0 < state_rows(streaming.stream_fleet_state(updates, 3, slot=4, buckets=4), str(tmp_path / "c")) < 200
+
+
 @pytest.mark.parametrize("forget", [None, 12])
 def test_register(spark, tmp_path, forget):
     """The earliest record of an id by event time wins, whatever file it comes in."""
