@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 from .common import numbered, part_starts, saved, with_columns
 from .cutting_stock import patterns
-from .tokens import encoder, with_end
+from .tokens import encoder, some_texts, with_end
 
 GRAIN = 4
 
@@ -39,8 +39,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, length: int) -> DataFra
         part, full = TaskContext.get().partitionId(), 0
         enc = encoder(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
+            for some in some_texts(batch):
                 ids, sizes = with_end(*enc.encode(some.column("text").to_pylist()), end_id)
                 ends = np.cumsum(sizes)
                 bytes_at = np.concatenate([[0], ends * 4]).astype(np.int32)
@@ -54,7 +53,6 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, length: int) -> DataFra
                 ]
                 full += int(whole[-1]) if len(whole) else 0
                 yield pa.record_batch(columns, ["uid", "doc_id", "part", "full_before", "n", "ids"])
-        enc.release()
 
     rows = numbered(docs, F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, ENCODED)

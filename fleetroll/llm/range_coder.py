@@ -4,8 +4,8 @@ Ids are cut into blocks. Every block starts from the same state, has its own byt
 decoded alone. Within a block each id is coded with a mixture of three predictions: the id that followed the last two ids
 (order 2), the id that followed the last one (order 1), and the id frequencies of the segment (order 0, in its header). That
 first state has each context's most frequent successor in the segment, from the header as well; from there a block's contexts
-learn its own. The mixture's weights adapt: each context keeps how often its guess held, and each level of that has its own
-adaptive probability.
+learn its own. Each context keeps how often its guess held, in four levels. The mixture's weights adapt to the levels of both
+orders and to the place in the block: the header has those that fit the segment's blocks best, for every ``SPAN`` ids or more.
 
 All blocks of a segment are coded side by side: a step codes one id of every block with array operations.
 """
@@ -17,14 +17,14 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"FRT4"
+MAGIC = b"FRT5"
 BLOCK = 2048
 SLOTS = 512  # contexts a block remembers; four times as many save half a byte in a hundred and miss the processor's caches
 WEIGHT = 12  # bits of the mixture's weights
-TOP, FORCED = np.uint64(1 << 48), np.uint64(1 << 32)
-_16, _32, _48 = np.uint64(16), np.uint64(32), np.uint64(48)
-_ONE, _TWO = np.int32(40503), np.int32(30011)  # of the hashes of contexts
+SPAN, SHARING = 64, 1 << 15  # at least so many ids of a block, and of all blocks, share weights
 _LOW32 = np.uint64((1 << 32) - 1)
+_WEIGHT, _WORD = np.uint64(WEIGHT), np.uint64(32)
+_ONE, _TWO = np.int32(40503), np.int32(30011)  # of the hashes of contexts
 
 
 def _frequencies(counts: np.ndarray, bits: int) -> np.ndarray:
@@ -50,67 +50,97 @@ def _successors(syms: np.ndarray, n: int) -> np.ndarray:
     """For each order and slot the most frequent symbol after the slot's contexts (the larger of equals), ``n`` after none."""
     h1 = syms[:-1] * _ONE
     best = np.full((2, SLOTS), n, np.int64)
+    wide = np.uint64 if n > 1 << 23 else np.uint32  # slot and symbol side by side
+    bits = wide(n.bit_length())
     for order, slot in enumerate((h1 >> 4, h1[1:] + syms[:-2] * _TWO >> 4)):
-        pairs = np.sort((slot & SLOTS - 1).astype(np.int64) << 32 | syms[order + 1 :])
+        pairs = np.sort((slot & SLOTS - 1).astype(wide) << bits | syms[order + 1 :].astype(wide))
         if not len(pairs):
             continue
-        begin = np.flatnonzero(np.diff(pairs, prepend=-1))
-        pairs, counts = pairs[begin], np.diff(begin, append=len(pairs))
-        first = np.flatnonzero(np.diff(pairs >> 32, prepend=-1))
-        best[order, pairs[first] >> 32] = np.maximum.reduceat(counts << 32 | pairs & 0xFFFFFFFF, first) & 0xFFFFFFFF
+        begin = np.append(0, np.flatnonzero(pairs[1:] != pairs[:-1]) + 1)
+        pairs, counts = pairs[begin].astype(np.int64), np.diff(begin, append=len(pairs))
+        slot, sym = pairs >> int(bits), pairs & (1 << int(bits)) - 1
+        first = np.flatnonzero(np.diff(slot, prepend=-1))
+        best[order, slot[first]] = np.maximum.reduceat(counts << 32 | sym, first) & 0xFFFFFFFF
     return best
 
 
 class _Model:
-    """Contexts and weights of all blocks of a segment; ``n`` symbols. A slot holds its guess and, in two bits, its level."""
+    """Contexts of all blocks of a segment; ``n`` symbols. A slot holds its guess and, in two bits, its level."""
 
     def __init__(self, blocks: int, n: int, first: np.ndarray):
         """``first`` has the guesses that all blocks begin with, a row for each order; ``n`` where there is none."""
-        self.t1, self.t2 = (np.tile(row.astype(np.int32) << 2, blocks) for row in first)
-        self.a1 = np.tile(np.array([8000, 24000, 36000, 50000], np.int32), blocks)
-        self.a2 = self.a1.copy()
-        self.base = np.arange(blocks, dtype=np.int32) * SLOTS
-        self.four = np.arange(blocks, dtype=np.int32) * 4
+        self.kind = np.uint16 if n < 1 << 14 else np.uint32  # the smaller, the more of the slots stay in the caches
+        self.slots = np.repeat(first.astype(self.kind) << 2, blocks, axis=0).reshape(-1)
+        self.base = np.arange(2 * blocks, dtype=np.int32).reshape(2, blocks) * SLOTS
         self.p1 = np.full(blocks, n, np.int32)
         self.h2 = np.zeros(blocks, np.int32)
 
     def guess(self, m: int) -> tuple[np.ndarray, np.ndarray]:
-        """Weights of the guesses ``g2`` and ``g1`` for the first ``m`` blocks, of 4096."""
+        """The guesses of orders 1 and 2 for the first ``m`` blocks, and their levels."""
         h1 = self.p1[:m] * _ONE
-        self.i1 = (h1 >> 4 & SLOTS - 1) + self.base[:m]
-        self.i2 = (h1 + self.h2[:m] >> 4 & SLOTS - 1) + self.base[:m]
+        at = np.stack([h1, h1 + self.h2[:m]])
+        at >>= 4
+        at &= SLOTS - 1
+        at += self.base[:, :m]
         self.h2[:m] = self.p1[:m] * _TWO
-        self.v1, self.v2 = self.t1.take(self.i1), self.t2.take(self.i2)
-        self.g1, self.g2 = self.v1 >> 2, self.v2 >> 2
-        self.l1, self.l2 = self.v1 & 3, self.v2 & 3
-        self.j1, self.j2 = self.l1 + self.four[:m], self.l2 + self.four[:m]
-        self.w1, self.w2 = self.a1.take(self.j1), self.a2.take(self.j2)
-        f2 = self.w2 >> 4
-        return f2, np.maximum((4096 - f2) * (self.w1 >> 4) >> 12, 1)
-
-    def learn(self, m: int, sym: np.ndarray, hit1: np.ndarray, hit2: np.ndarray) -> None:
-        fresh = sym << 2
-        for t, i, v, level, a, j, w, hit in (
-            (self.t1, self.i1, self.v1, self.l1, self.a1, self.j1, self.w1, hit1),
-            (self.t2, self.i2, self.v2, self.l2, self.a2, self.j2, self.w2, hit2),
-        ):
-            t[i] = np.where(hit, v + (level < 3), np.where(level > 0, v - 1, fresh))
-            a[j] = w + ((hit * np.int32(64512) - w + 512) >> 5)
+        self.at = at.astype(np.intp)
+        self.value = self.slots.take(self.at)
+        self.level = self.value & 3
+        return self.value >> 2, self.level
+
+    def learn(self, m: int, sym: np.ndarray, hit: np.ndarray) -> None:
+        # Without branches: one up or one down, or at level 0 the symbol in place of the guess.
+        change = (self.level < 3) & hit
+        fresh = (self.level == 0) > hit
+        value = (sym << 2) - self.value
+        value *= fresh
+        value += self.value
+        value += change
+        value -= (self.level > 0) > hit
+        self.slots[self.at] = value
         self.p1[:m] = sym
 
 
-def _renew(lo: np.ndarray, r: np.ndarray) -> np.ndarray | None:
-    """Where a word is due: the first word of low and high agree, or the range got small and is cut to where they do."""
-    go = (lo ^ (lo + r)) < TOP
-    forced = np.greater(r < FORCED, go)
-    if forced.any():
-        r[forced] = (~lo[forced] + np.uint64(1)) & _LOW32
-        go |= forced
-    return go if go.any() else None
+def _weights(seen: np.ndarray, bits: int) -> np.ndarray:
+    """For each span and pair of levels: where the part of order 2 ends and where that of order 1 does, of 4096.
+
+    ``seen`` counts, for each span and pair of levels, the ids by what guessed them: neither, order 1, or order 2.
+    """
+    # What a pair of levels did in the whole segment counts as some ids of every span.
+    whole = seen.sum(axis=0, keepdims=True) + [1.0, 0.5, 0.5]
+    seen = seen + 64 * whole / whole.sum(axis=2, keepdims=True)
+    share = seen / seen.sum(axis=2, keepdims=True)
+    most = (1 << WEIGHT) - _least(bits)
+    end1 = np.clip(np.rint((share[..., 1] + share[..., 2]) * (1 << WEIGHT)), 2, most)
+    end2 = np.clip(np.rint(share[..., 2] * (1 << WEIGHT)), 1, end1 - 1)
+    return np.stack([end2, end1], axis=2).astype(np.int64)
+
+
+def _least(bits: int) -> int:
+    """What order 0 keeps of 4096 at least, so that the range holds all frequencies."""
+    return 1 << bits - 16
+
+
+def _span(blocks: int) -> int:
+    """Ids of a block that share weights: few blocks share them longer, as the weights take space as well."""
+    span = SPAN
+    while span < BLOCK and span * blocks < SHARING:
+        span *= 2
+    return span
+
+
+def _parts(end2: np.ndarray, end1: np.ndarray) -> np.ndarray:
+    """Begin and size among the weights by case: 16 times what guessed the id, and the pair of levels."""
+    return np.concatenate([[end1, np.uint64(1 << WEIGHT) - end1], [end2, end1 - end2], [0 * end2, end2]], axis=1)
+
+
+def _places(freq: np.ndarray) -> np.ndarray:
+    """Begin, in the upper half, and size of each symbol among the frequencies; before all of them a place for what was guessed."""
+    return np.append(1, np.cumsum(freq) - freq << 32 | freq).astype(np.uint64)
 
 
 def encode(ids: np.ndarray) -> bytes:
-    """A segment: header, symbols with frequencies, block table, first guesses, blocks. ``ids`` are uint32, any number of them."""
+    """A segment: header, symbols with frequencies, block table, first guesses, weights, blocks. ``ids`` are uint32, any number of them."""
     ids = np.ascontiguousarray(ids, np.uint32)
     n = len(ids)
     blocks = -(-n // BLOCK)
@@ -119,50 +149,86 @@ def encode(ids: np.ndarray) -> bytes:
     symbols, seq, counts = _symbols(ids)
     bits = max(16, len(symbols).bit_length() + 2)
     freq = _frequencies(counts, bits)
-    both = (np.cumsum(freq) - freq << 32 | freq).astype(np.int64)
-    step_syms = np.full(blocks * BLOCK, 0, np.int32)
-    step_syms[:n] = seq
-    step_syms = np.ascontiguousarray(step_syms.reshape(blocks, BLOCK).T)
+    both = _places(freq)
+    steps = min(n, BLOCK)
     last = n - (blocks - 1) * BLOCK
+    width = [blocks if k < last else blocks - 1 for k in range(steps)]
     first = _successors(seq.astype(np.int32, copy=False), len(symbols))
+
+    # What guesses each id, and at which levels: the coder needs both for the weights.
     model = _Model(blocks, len(symbols), first)
-    low, rng = np.zeros(blocks, np.uint64), np.full(blocks, (1 << 63) - 1, np.uint64)
-    room = 3 * BLOCK + 8
-    out, pos = np.empty(blocks * room, np.uint16), np.arange(blocks, dtype=np.int64) * room
-    begin = pos.copy()
-    shift = np.uint64(WEIGHT + bits)
-    for k in range(min(n, BLOCK)):
-        m = blocks if k < last else blocks - 1
+    step_syms = np.zeros(blocks * BLOCK, model.kind)
+    step_syms[:n] = seq
+    step_syms = np.ascontiguousarray(step_syms.reshape(blocks, BLOCK).T)
+    cases = np.zeros((steps, blocks), np.uint8)
+    span = _span(blocks)
+    seen = np.empty((-(-steps // span), 16, 3))
+    for k, m in enumerate(width):
         sym = step_syms[k, :m]
-        f2, f1 = model.guess(m)
-        hit2, hit1 = model.g2 == sym, model.g1 == sym
-        end1 = f2 + f1
-        f0, own = (4096 - end1).astype(np.int64), both.take(sym)
-        start = np.where(hit1, f2.astype(np.int64) << bits, (end1.astype(np.int64) << bits) + f0 * (own >> 32))
-        width = np.where(hit1, f1.astype(np.int64) << bits, f0 * (own & 0xFFFFFFFF))
-        start[hit2] = 0
-        width = np.where(hit2, f2.astype(np.int64) << bits, width)
-        lo, r, at = low[:m], rng[:m], pos[:m]
-        r >>= shift
-        lo += r * start.view(np.uint64)
-        r *= width.view(np.uint64)
-        while (go := _renew(lo, r)) is not None:
-            out[at] = lo >> _48  # stays where a word is due, else it is written over
-            at += go
-            move = go * _16
-            lo <<= move
-            r <<= move
-        model.learn(m, sym, hit1, hit2)
-    for _ in range(4):
-        out[pos] = low >> _48
+        guesses, levels = model.guess(m)
+        hit = guesses == sym
+        kind = hit.view(np.uint8)
+        cases[k, :m] = (levels[1] << 2) + levels[0]
+        cases[k, :m] += np.maximum(kind[1] << 5, kind[0] << 4)
+        model.learn(m, sym, hit)
+    for k in range(len(seen)):
+        some = cases[k * span : (k + 1) * span]
+        seen[k] = np.bincount(np.concatenate([c[:m] for c, m in zip(some, width[k * span :])]), minlength=48).reshape(3, 16).T
+    weights = _weights(seen, bits)
+
+    low, rng = np.zeros(blocks, np.uint64), np.full(blocks, (1 << 64) - 1, np.uint64)
+    pos = np.zeros(blocks, np.int64)
+    words, lanes, carries = [], [], []
+    every = np.arange(blocks)
+    for k, m in enumerate(width):
+        if k % SPAN == 0:
+            end2, end1 = weights[k // span].T.astype(np.uint64)
+            table = _parts(end2, end1)
+            some = cases[k : k + SPAN].astype(np.intp)
+            begin, part = table[0].take(some), table[1].take(some)
+            alone = some < 16
+            own = both.take((step_syms[k : k + len(some)].astype(np.intp) + 1) * alone)
+            start, size, shift = own >> _WORD, own & _LOW32, alone * np.uint64(bits)
+        j = k % SPAN
+        lo, r = low[:m], rng[:m]
+        r >>= _WEIGHT
+        more = r * begin[j, :m]
+        r *= part[j, :m]
+        r >>= shift[j, :m]
+        more += r * start[j, :m]
+        r *= size[j, :m]
+        lo += more
+        carry = lo < more
+        if carry.any():  # into the words that are out
+            at = np.flatnonzero(carry)
+            carries.append((at, pos[at] - 1))
+        go = r <= _LOW32  # the range got small: a word is due
+        at = np.flatnonzero(go)
+        words.append((lo.take(at) >> _WORD).astype(np.uint32))
+        lanes.append(at)
+        pos[:m] += go
+        move = go * _WORD
+        lo <<= move
+        r <<= move
+    for _ in range(2):
+        words.append((low >> _WORD).astype(np.uint32))
+        lanes.append(every)
+        low <<= _WORD
         pos += 1
-        low <<= _16
-    words = (pos - begin).astype("<u4")
+    lane = np.concatenate(lanes)
+    order = np.argsort(lane.astype(np.uint16) if blocks < 1 << 16 else lane, kind="stable")
+    out = np.concatenate(words)[order].astype(np.uint64)
+    at = np.concatenate([(np.cumsum(pos) - pos)[a] + p for a, p in carries] or [every[:0]])
+    while len(at):
+        np.add.at(out, at, np.uint64(1))
+        at = np.unique(at)
+        over = out[at] >> _WORD > 0
+        out[at] &= _LOW32
+        at = at[over] - 1
     crcs = np.array([zlib.crc32(ids[b * BLOCK : (b + 1) * BLOCK].astype("<u4").tobytes()) for b in range(blocks)], "<u4")
-    body = b"".join(out[a:b].astype("<u2").tobytes() for a, b in zip(begin, pos))
     head = MAGIC + struct.pack("<IIBI", n, blocks, bits, len(symbols))
-    tables = [x.astype("<u4").tobytes() for x in (symbols, freq, words, crcs, first)]
-    return b"".join([head, *tables, body])
+    tables = [x.astype("<u4").tobytes() for x in (symbols, freq, pos, crcs, first)]
+    return b"".join([head, *tables, weights.astype("<u2").tobytes(), out.astype("<u4").tobytes()])
 
 
 def decode(data: bytes) -> np.ndarray:
@@ -177,48 +243,56 @@ def decode(data: bytes) -> np.ndarray:
     for count in (many, many, blocks, blocks, 2 * SLOTS):
         parts.append(np.frombuffer(data, "<u4", count, at))
         at += 4 * count
-    symbols, freq, words, crcs = parts[0], parts[1].astype(np.int64), parts[2].astype(np.int64), parts[3]
-    both = np.cumsum(freq) - freq << 32 | freq
-    by_slot = np.repeat(np.arange(many, dtype=np.int32), freq)
-    stream = np.concatenate([np.frombuffer(data, "<u2", int(words.sum()), at), np.zeros(8, "<u2")]).astype(np.uint64)
-    pos = np.cumsum(words) - words
+    symbols, freq, size, crcs = parts[0], parts[1].astype(np.int64), parts[2].astype(np.int64), parts[3]
+    steps = min(n, BLOCK)
+    span = _span(blocks)
+    weights = np.frombuffer(data, "<u2", -(-steps // span) * 32, at).reshape(-1, 16, 2)
+    at += weights.nbytes
+    both = _places(freq)
+    stream = np.concatenate([np.frombuffer(data, "<u4", int(size.sum()), at), np.zeros(8, "<u4")]).astype(np.uint64)
+    pos = np.cumsum(size) - size
     last = n - (blocks - 1) * BLOCK
     model = _Model(blocks, many, np.minimum(parts[4].reshape(2, SLOTS), many))
-    low, rng, code = np.zeros(blocks, np.uint64), np.full(blocks, (1 << 63) - 1, np.uint64), np.zeros(blocks, np.uint64)
-    for _ in range(4):
-        code = code << _16 | stream[pos]
-        pos += 1
-    shift, most, slots = np.uint64(WEIGHT + bits), np.uint64((1 << WEIGHT + bits) - 1), len(by_slot) - 1
-    found = np.zeros((BLOCK, blocks), np.uint32)
-    for k in range(min(n, BLOCK)):
+    by_slot = np.repeat(np.arange(1, many + 1, dtype=model.kind), freq)
+    # The code's distance from low, and the range.
+    code, rng = stream[pos] << _WORD | stream[pos + 1], np.full(blocks, (1 << 64) - 1, np.uint64)
+    pos += 2
+    slots = np.uint64(len(by_slot) - 1)
+    found = np.zeros((BLOCK, blocks), model.kind)
+    for k in range(steps):
         m = blocks if k < last else blocks - 1
-        f2, f1 = model.guess(m)
-        lo, r, c, at = low[:m], rng[:m], code[:m], pos[:m]
-        r >>= shift
-        target = np.minimum((c - lo) // r, most).view(np.int64)
-        end2, end1 = f2.astype(np.int64) << bits, (f2 + f1).astype(np.int64) << bits
-        f0 = (4096 - f2 - f1).astype(np.int64)
-        hit2 = target < end2
-        hit1 = (target < end1) & ~hit2
-        slot = np.minimum((np.maximum(target - end1, 0) / f0).astype(np.int64), slots)  # exact below 2**53
-        sym = np.where(hit2, model.g2, np.where(hit1, model.g1, by_slot.take(slot)))
-        np.minimum(sym, many - 1, out=sym)  # only a damaged block has others
-        own = both.take(sym)
-        start = np.where(hit1, end2, end1 + f0 * (own >> 32))
-        width = np.where(hit1, end1 - end2, f0 * (own & 0xFFFFFFFF))
-        start[hit2] = 0
-        width = np.where(hit2, end2, width)
-        lo += r * start.view(np.uint64)
-        r *= width.view(np.uint64)
-        while (go := _renew(lo, r)) is not None:
-            move = go * _16
-            lo <<= move
-            r <<= move
-            np.copyto(c, c << _16 | stream.take(at, mode="clip"), where=go)
-            at += go
-        model.learn(m, sym, model.g1 == sym, model.g2 == sym)
+        if k % span == 0:
+            end2, end1 = weights[k // span].T.astype(np.uint64)
+            begin, part = _parts(end2, end1)
+        guesses, levels = model.guess(m)
+        case = ((levels[1] << 2) + levels[0]).astype(np.intp)
+        c, r = code[:m], rng[:m]
+        r >>= _WEIGHT
+        hit2, alone = c < r * end2.take(case), c >= r * end1.take(case)
+        hit1 = ~(hit2 | alone)
+        case += hit2 * 32
+        case += hit1 * 16
+        c -= r * begin.take(case)
+        r *= part.take(case)
+        r >>= alone * np.uint64(bits)
+        place = by_slot.take(np.minimum(c // r, slots).view(np.int64))  # only a damaged block is beyond
+        place *= alone
+        own = both.take(place)
+        c -= r * (own >> _WORD)
+        r *= own & _LOW32
+        sym = place - alone
+        sym += guesses[1] * hit2
+        sym += guesses[0] * hit1
+        go = r <= _LOW32
+        at = np.flatnonzero(go)
+        move = go * _WORD
+        c <<= move
+        r <<= move
+        c[at] |= stream.take(pos[at], mode="clip")
+        pos[:m] += go
+        model.learn(m, sym, guesses == sym)
         found[k, :m] = sym
-    ids = symbols[found.T.reshape(-1)[:n]].astype(np.uint32)
+    ids = symbols.take(found.T.reshape(-1)[:n], mode="clip").astype(np.uint32)
     for b in range(blocks):
         if zlib.crc32(ids[b * BLOCK : (b + 1) * BLOCK].astype("<u4").tobytes()) != crcs[b]:
             raise ValueError(f"block {b} is damaged")

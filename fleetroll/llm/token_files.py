@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from ..sources.scratch import scratch_path
 from . import range_coder
 from .common import part_starts
-from .tokens import encoder, with_end
+from .tokens import encoder, some_texts, with_end
 
 SEGMENT = 1 << 22
 
@@ -72,8 +72,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str |
             return pa.record_batch([pa.array(v, k) for v, k in zip(row, kinds)], SEGMENTS.names)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
+            for some in some_texts(batch):
                 new, size = with_end(*enc.encode(some.column("text").to_pylist()), end_id)
                 names += some.column("doc_id").to_pylist()
                 ids.append(new)
@@ -81,7 +80,6 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str |
                 held += len(new)
                 if held >= SEGMENT:
                     yield segment()
-        # The words stay for the worker's next task; the cache has a bound of its own.
         if names:
             yield segment()
 

@@ -1,7 +1,8 @@
-"""Token ids of whole texts with a public tokenizer, by a cache of words.
+"""Token ids of whole texts with a public tokenizer, by their different words.
 
 The tokenizer splits texts at white space before it merges, so a text's ids are those of its white-space separated parts, one
-after the other. Each part is encoded once and then looked up; a text with unusual white space or control characters, where
+after the other. Arrow splits some texts and numbers their words, each different word is encoded once, and the ids are gathered
+by number, so no Python runs for a word. A text with unusual white space or control characters, where
 two definitions of white space may differ, goes through the tokenizer whole, and so does one with the string of an added token,
 which the tokenizer finds before it splits and turns into that token's id.
 """
@@ -10,34 +11,28 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from itertools import chain
 from unicodedata import is_normalized
 
 import numpy as np
-
-#: Characters that str.split() takes as white space and that are not plain space, tab, newline or carriage return.
-UNUSUAL = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u3000\ufeff]")
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Characters that str.split() takes as white space and that are not plain space, tab, newline or carriage return; and letters
+#: for which str.lower() knows a lower case and the tokenizer, with an older Unicode, does not.
+UNUSUAL = re.compile(
+    "[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u3000\ufeff"
+    "\u1c89\ua7cb\ua7cc\ua7ce\ua7d2\ua7d4\ua7da\ua7dc\U00010d50-\U00010d65\U00016ea0-\U00016eb8]"
+)
 #: Its lower case depends on the place in the word for str.lower() only.
 SIGMA = "\u03a3"
 #: Signs that often end a word; after letters each is a part of its own.
-MARKS = frozenset(".,;:!?")
+MARKS = ".,;:!?"
 #: Words of letters that are encoded as one text.
 TOGETHER = 512
-#: The cache starts anew beyond this many ids; it only saves time.
-CACHE_IDS = 2_000_000
-
-
-class _Index(dict):
-    """Word to number; new words get the next number and wait in ``new``."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        self.new.append(word)
-        return n
+#: Bytes of texts whose words are numbered together.
+TEXTS = 8 << 20
 
 
 class Encoder:
@@ -70,66 +65,54 @@ class Encoder:
         self.ends[[k for token, k in vocabulary.items() if suffix and token.endswith(suffix)]] = True
         self._clear()
 
-    def release(self) -> None:
-        """Forgets all words."""
-        self._clear()
-
     def _clear(self) -> None:
-        self.index = _Index()
         self.ids = np.empty(1 << 16, np.uint32)
-        self.start = np.empty(1 << 14, np.int64)
-        self.size = np.empty(1 << 14, np.int64)
+        self.start = self.size = np.empty(0, np.int64)
         self.used = 0
 
-    def _learn(self) -> None:
-        """Encodes the new words. A word of letters with one mark after it is put together from the two."""
-        new = self.index.new
-        if not new:
-            return
-        first = len(self.index) - len(new)
-        alone: list[int] = []
-        others: list[int] = []
-        whole: list[int] = []
-        pairs: list[tuple[int, int, int]] = []
-        for k, word in enumerate(new):  # grows while it runs
-            if isinstance(word, tuple):
-                whole.append(k)
-            elif self.by_letters and word.isalpha():
-                alone.append(k)
-            elif self.by_letters and word[-1] in MARKS and word[:-1].isalpha():
-                pairs.append((k, self.index[word[:-1]], self.index[word[-1]]))
-            else:
-                others.append(k)
-        self.index.new = []
-        self.start, self.size = _room(self.start, len(self.index)), _room(self.size, len(self.index))
-        self._store_letters(first, alone, [new[k] for k in alone])
-        self._store(first, others, self.words, [new[k] for k in others])
-        self._store(first, whole, self.tokenizer, [new[k][0] for k in whole])
-        if pairs:
-            at, left, right = np.array(pairs, np.int64).T
-            both = np.stack([left, right], axis=1).reshape(-1)
-            sizes = self.size[left] + self.size[right]
-            self._append(first + at, sizes, self._gather(both))
-
-    def _store_letters(self, first: int, at: list[int], words: list[str]) -> None:
+    def _learn(self, words: pa.LargeStringArray) -> None:
+        """Encodes different words. A word of letters with one mark after it is put together from the two."""
+        n = len(words)
+        length = pc.binary_length(words).to_numpy()
+        bare = pc.utf8_rtrim(words, MARKS)
+        marks = length - pc.binary_length(bare).to_numpy() if self.by_letters else np.full(n, 2)
+        letters = np.asarray(pc.utf8_is_alpha(bare)) & (marks < 2)
+        others = np.flatnonzero(~letters & (length > 0))
+        alone = bare.filter(pa.array(letters)).dictionary_encode()
+        first, first_mark = n, n + len(alone.dictionary)
+        self.start, self.size = np.zeros((2, first_mark + len(MARKS)), np.int64)
+        self._store_letters(first, alone.dictionary)
+        self._store(first_mark + np.arange(len(MARKS)), self.words, list(MARKS))
+        self._store(others, self.words, words.take(pa.array(others)).to_pylist())
+        at, left = np.flatnonzero(letters), first + alone.indices.to_numpy()
+        self.start[at], self.size[at] = self.start[left], self.size[left]
+        paired = marks[at] == 1
+        at, left = at[paired], left[paired]
+        mark = pc.utf8_slice_codeunits(words.take(pa.array(at)), -1)
+        right = first_mark + pc.index_in(mark, pa.array(list(MARKS), mark.type)).to_numpy()
+        both = np.stack([left, right], axis=1).reshape(-1)
+        self._append(at, self.size[left] + self.size[right], self._gather(both))
+
+    def _store_letters(self, first: int, words: pa.LargeStringArray) -> None:
         """Words of letters, many in one text: the ids that end a word part them again."""
-        if not words:
+        if not len(words):
             return
-        texts = [" ".join(words[k : k + TOGETHER]) for k in range(0, len(words), TOGETHER)]
+        at = first + np.arange(len(words))
+        parts = pa.ListArray.from_arrays(np.append(np.arange(0, len(words), TOGETHER), len(words)).astype(np.int32), words)
+        texts = pc.binary_join(parts, pa.scalar(" ", words.type)).to_pylist()
         found = [np.array(e.ids, np.uint32) for e in self.letters.encode_batch_fast(texts, add_special_tokens=False)]
         flat = np.concatenate(found)
         last = np.flatnonzero(self.ends[flat])
         if len(last) == len(words) and last[-1] == len(flat) - 1:
-            self._append(first + np.array(at, np.int64), np.diff(last, prepend=-1), flat)
+            self._append(at, np.diff(last, prepend=-1), flat)
         else:  # no such ids in this vocabulary
-            self._store(first, at, self.letters, words)
+            self._store(at, self.letters, words.to_pylist())
 
-    def _store(self, first: int, at: list[int], tokenizer, words: list[str]) -> None:
+    def _store(self, at: np.ndarray, tokenizer, words: list[str]) -> None:
         if words:
             found = [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
-            self._append(first + np.array(at, np.int64), sizes, flat)
+            self._append(at, sizes, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())))
 
     def _append(self, at: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> None:
         self.ids = _room(self.ids, self.used + len(flat))
@@ -146,29 +129,36 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and how many each text has. Null is the empty text."""
-        if self.used > CACHE_IDS:
-            self._clear()
-        words: list[str | tuple[str]] = []
-        counts = np.empty(len(texts), np.int64)
+        self._clear()
+        parts: list[str] = []
+        whole: list[int] = []
         for k, text in enumerate(texts):
-            before = len(words)
+            part = ""
             if text:
                 if UNUSUAL.search(text) or self.lowered and (SIGMA in text or not is_normalized("NFC", text)):
-                    words.append((text,))  # whole
-                    counts[k] = 1
-                    continue
-                lowered = text.lower()
-                own = (lowered if self.lowered else text).split()
-                if any(x in lowered or " " in x and x in " ".join(lowered.split()) for x in self.added):
-                    own = [(text,)]  # whole
-                words.extend(own)
-            counts[k] = len(words) - before
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        self._learn()
+                    whole.append(k)
+                else:
+                    lowered = text.lower()
+                    if any(x in lowered or " " in x and x in " ".join(lowered.split()) for x in self.added):
+                        whole.append(k)
+                    else:
+                        part = lowered if self.lowered else text
+            parts.append(part)
+        # White space at the ends gives empty words, which have no ids.
+        split = pc.ascii_split_whitespace(pa.array(parts, pa.large_string()))
+        number = split.values.dictionary_encode()
+        self._learn(number.dictionary)
+        at, ends = number.indices.to_numpy(), split.offsets.to_numpy()[1:]
+        if whole:  # each takes the place of its one empty word
+            own = len(self.start) + np.arange(len(whole))
+            self.start, self.size = (np.append(a, np.zeros(len(whole), np.int64)) for a in (self.start, self.size))
+            self._store(own, self.tokenizer, [texts[k] for k in whole])
+            at = at.astype(np.int64)
+            at[ends[whole] - 1] = own
+        upto = np.append(0, np.cumsum(self.size.take(at)))[ends]
         ids = self._gather(at)
-        ends = np.cumsum(self.size.take(at))
-        upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return ids, np.diff(upto)
+        self._clear()
+        return ids, np.diff(upto, prepend=0)
 
 
 def _room(a: np.ndarray, n: int) -> np.ndarray:
@@ -183,13 +173,21 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One per Python worker. A task calls ``release`` at its end where other work follows in the same workers; then an idle
-    worker holds no words."""
+    """One per Python worker."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
+def some_texts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch by the size of their ``text``: as few as go together well and fit into a worker."""
+    size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(size) - size) // TEXTS
+    begin = np.flatnonzero(np.diff(part, prepend=-1))
+    for a, n in zip(begin.tolist(), np.diff(begin, append=len(size)).tolist()):
+        yield batch.slice(a, n)
+
+
 def with_end(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The same with the id ``end`` after each text."""
     out = np.full(len(ids) + len(sizes), end, ids.dtype)

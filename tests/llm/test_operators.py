@@ -12,10 +12,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from fleetroll.llm import chat, common, components, html_text, languages, mixing, near_dup, packing, quality, range_coder, repeats, token_files, topk
+from fleetroll.llm import chat, common, components, html_text, languages, mixing, near_dup, packing, quality, range_coder, repeats, token_files
+from fleetroll.llm import tokens, topk
 from fleetroll.llm.queries import CONFLICT, QUERIES, SQL
 from fleetroll.llm.tokens import Encoder
 from pyspark.sql import functions as F
@@ -88,6 +90,56 @@ def test_cached_words_give_the_tokenizer_s_ids():
         assert enc.encode([text])[0].tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_every_character_gives_the_tokenizer_s_ids():
+    texts = [f"a{chr(c)}b {chr(c)}." for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+    enc = Encoder(WORD_BPE)
+    want = [e.ids for e in enc.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    ids, sizes = enc.encode(texts)
+    assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == [k for x in want for k in x]
+
+
+def test_words_are_encoded_once_for_many_texts(monkeypatch):
+    """No Python call looks up a word, and one that comes again in the same texts does not go to the tokenizer again."""
+    words = [f"{a}{b}{c}" for a in "abcdefgh" for b in "ijklmno" for c in "pqrstuvw"]
+    texts = [" ".join(random.Random(k).choices([*words, *(w + "," for w in words)], k=300)) for k in range(1200)]
+    enc = Encoder(WORD_BPE)
+    want = [k for e in enc.tokenizer.encode_batch_fast(texts, add_special_tokens=False) for k in e.ids]
+    given = []
+
+    class Counting:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def encode_batch_fast(self, some, **options):
+            given.extend(w for text in some for w in text.split())
+            return self.tokenizer.encode_batch_fast(some, **options)
+
+    for name in ("tokenizer", "words", "letters"):
+        monkeypatch.setattr(enc, name, Counting(getattr(enc, name)))
+    for _ in range(2):
+        given.clear()
+        assert enc.encode(texts)[0].tolist() == want
+        assert 0 < len(given) <= len(words) + 6
+
+
+def test_texts_go_together_by_size():
+    size = tokens.TEXTS // 3
+    batch = pa.record_batch([pa.array(["a" * size, None, "b" * size, "", "c" * size, "d" * size, "e" * 4 * size, "f"])], ["text"])
+    assert [b.num_rows for b in tokens.some_texts(batch)] == [6, 1, 1]
+    assert not list(tokens.some_texts(batch.slice(0, 0)))
+
+
+def test_range_coder_weights_fit_the_levels():
+    """Guesses that nearly always hold cost little from a block's first ids on, and strays in between still come back."""
+    rng = np.random.default_rng(5)
+    ids = np.where(rng.random(100_000) < 0.01, rng.integers(0, 30_000, 100_000), np.arange(100_000) % 200).astype(np.uint32)
+    data = range_coder.encode(ids)
+    assert np.array_equal(range_coder.decode(data), ids)
+    assert len(data) < 0.22 * len(ids)
+    few = range_coder.encode(ids[:10])
+    assert len(few) < 2 * 4 * range_coder.SLOTS + 400  # weights in the header grow with the ids
+
+
 def ids_of(text, end):
     t = Tokenizer.from_file(WORD_BPE)
     t.encode_special_tokens = True
