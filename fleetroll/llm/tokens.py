@@ -2,7 +2,7 @@
 
 The tokenizer splits texts at white space before it merges, so a text's ids are those of its white-space separated parts, one
 after the other. Arrow splits some texts and numbers their words, each different word is encoded once, and the ids are gathered
-by number, so no Python runs for a word. A text with unusual white space or control characters, where
+by number, so no Python runs for a word; frequent words are kept for the next texts. A text with unusual white space or control characters, where
 two definitions of white space may differ, goes through the tokenizer whole, and so does one with the string of an added token,
 which the tokenizer finds before it splits and turns into that token's id.
 """
@@ -32,7 +32,9 @@ MARKS = ".,;:!?"
 #: Words of letters that are encoded as one text.
 TOGETHER = 512
 #: Bytes of texts whose words are numbered together.
-TEXTS = 8 << 20
+TEXTS = 12 << 20
+#: Words that came so often in some texts are kept for the next ones, up to so many; it only saves time.
+OFTEN, MOST_KEPT = 3, 1 << 16
 
 
 class Encoder:
@@ -63,12 +65,32 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for token, k in vocabulary.items() if suffix and token.endswith(suffix)]] = True
-        self._clear()
-
-    def _clear(self) -> None:
-        self.ids = np.empty(1 << 16, np.uint32)
-        self.start = self.size = np.empty(0, np.int64)
-        self.used = 0
+        # Words that are kept; their ids are the first ones.
+        self.kept = pa.array([], pa.large_string())
+        self.kept_start = self.kept_size = np.empty(0, np.int64)
+        self.ids, self.used = np.empty(0, np.uint32), 0
+
+    def _number(self, words: pa.LargeStringArray) -> np.ndarray:
+        """Sets start and size of different words' ids; which of the words are not kept ones."""
+        place = pc.index_in(words, self.kept)
+        new = np.asarray(place.is_null())
+        self._learn(words.filter(pa.array(new)))
+        start, size = np.empty((2, len(words)), np.int64)
+        n, old = int(new.sum()), place.drop_null().to_numpy()
+        start[new], size[new] = self.start[:n], self.size[:n]
+        start[~new], size[~new] = self.kept_start[old], self.kept_size[old]
+        self.start, self.size = start, size
+        return new
+
+    def _keep(self, words: pa.LargeStringArray, at: np.ndarray) -> None:
+        """Keeps the words numbered ``at`` as well, and forgets all others."""
+        at = at[: MOST_KEPT - len(self.kept)]
+        flat, size, before = self._gather(at), self.size[at], int(self.kept_size.sum())
+        self.kept = pa.concat_arrays([self.kept, words.take(pa.array(at))])
+        self.kept_start = np.append(self.kept_start, before + np.cumsum(size) - size)
+        self.kept_size = np.append(self.kept_size, size)
+        self.ids = np.append(self.ids[:before], flat)
+        self.used = len(self.ids)
 
     def _learn(self, words: pa.LargeStringArray) -> None:
         """Encodes different words. A word of letters with one mark after it is put together from the two."""
@@ -125,11 +147,13 @@ class Encoder:
         sizes = self.size.take(at)
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
-        return self.ids.take(np.repeat(self.start.take(at) - (ends - sizes), sizes) + np.arange(total))
+        kind = np.int32 if max(total, self.used) < 1 << 31 else np.int64
+        place = np.arange(total, dtype=kind)
+        place += np.repeat((self.start.take(at) - (ends - sizes)).astype(kind), sizes)
+        return self.ids.take(place)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and how many each text has. Null is the empty text."""
-        self._clear()
         parts: list[str] = []
         whole: list[int] = []
         for k, text in enumerate(texts):
@@ -146,9 +170,11 @@ class Encoder:
             parts.append(part)
         # White space at the ends gives empty words, which have no ids.
         split = pc.ascii_split_whitespace(pa.array(parts, pa.large_string()))
-        number = split.values.dictionary_encode()
-        self._learn(number.dictionary)
-        at, ends = number.indices.to_numpy(), split.offsets.to_numpy()[1:]
+        number, ends = split.values.dictionary_encode(), split.offsets.to_numpy()[1:]
+        del parts, split  # each is as large as the texts
+        new = self._number(number.dictionary)
+        at = number.indices.to_numpy()
+        often = np.flatnonzero(new & (np.bincount(at, minlength=len(new)) >= OFTEN))
         if whole:  # each takes the place of its one empty word
             own = len(self.start) + np.arange(len(whole))
             self.start, self.size = (np.append(a, np.zeros(len(whole), np.int64)) for a in (self.start, self.size))
@@ -157,7 +183,7 @@ class Encoder:
             at[ends[whole] - 1] = own
         upto = np.append(0, np.cumsum(self.size.take(at)))[ends]
         ids = self._gather(at)
-        self._clear()
+        self._keep(number.dictionary, often)
         return ids, np.diff(upto, prepend=0)
 
 

@@ -116,14 +116,25 @@ def test_words_are_encoded_once_for_many_texts(monkeypatch):
 
     for name in ("tokenizer", "words", "letters"):
         monkeypatch.setattr(enc, name, Counting(getattr(enc, name)))
-    for _ in range(2):
+    for most in (len(words) + 6, 20):  # then the words are kept
         given.clear()
         assert enc.encode(texts)[0].tolist() == want
-        assert 0 < len(given) <= len(words) + 6
+        assert len(given) <= most
+
+
+def test_few_kept_words_give_the_same_ids(monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_KEPT", 5)
+    enc = Encoder(WORD_BPE)
+    for k in range(6):
+        texts = [f"a{k} b{k % 2}, c c c, über. über. über. {k}", "", None, " c\x1cc ", "c. c. c. b0, b0, b0, b1,"]
+        want = [enc.tokenizer.encode(x or "", add_special_tokens=False).ids for x in texts]
+        ids, sizes = enc.encode(texts)
+        assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+        assert len(enc.kept) <= 5
 
 
 def test_texts_go_together_by_size():
-    size = tokens.TEXTS // 3
+    size = tokens.TEXTS // 3 - 1
     batch = pa.record_batch([pa.array(["a" * size, None, "b" * size, "", "c" * size, "d" * size, "e" * 4 * size, "f"])], ["text"])
     assert [b.num_rows for b in tokens.some_texts(batch)] == [6, 1, 1]
     assert not list(tokens.some_texts(batch.slice(0, 0)))
