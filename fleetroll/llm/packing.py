@@ -40,7 +40,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, length: int) -> DataFra
         enc = encoder(tokenizer)
         for batch in batches:
             for some in some_texts(batch):
-                ids, sizes = with_end(*enc.encode(some.column("text").to_pylist()), end_id)
+                ids, sizes = with_end(*enc.encode(some.column("text")), end_id)
                 ends = np.cumsum(sizes)
                 bytes_at = np.concatenate([[0], ends * 4]).astype(np.int32)
                 held = pa.Array.from_buffers(

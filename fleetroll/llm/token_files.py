@@ -73,7 +73,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str |
 
         for batch in batches:
             for some in some_texts(batch):
-                new, size = with_end(*enc.encode(some.column("text").to_pylist()), end_id)
+                new, size = with_end(*enc.encode(some.column("text")), end_id)
                 names += some.column("doc_id").to_pylist()
                 ids.append(new)
                 sizes.append(size)

@@ -1,10 +1,10 @@
 """Token ids of whole texts with a public tokenizer, by their different words.
 
 The tokenizer splits texts at white space before it merges, so a text's ids are those of its white-space separated parts, one
-after the other. Arrow splits some texts and numbers their words, each different word is encoded once, and the ids are gathered
-by number, so no Python runs for a word; frequent words are kept for the next texts. A text with unusual white space or control characters, where
-two definitions of white space may differ, goes through the tokenizer whole, and so does one with the string of an added token,
-which the tokenizer finds before it splits and turns into that token's id.
+after the other. Arrow splits some texts and numbers their words, each different word is encoded once, without the signs after
+its letters, and the ids are gathered by number, so no Python runs for a word; frequent words are kept for the next texts. A text
+with unusual white space or control characters, where two definitions of white space may differ, goes through the tokenizer whole,
+and so does one with the string of an added token, which the tokenizer finds before it splits and turns into that token's id.
 """
 
 from __future__ import annotations
@@ -27,14 +27,14 @@ UNUSUAL = re.compile(
 )
 #: Its lower case depends on the place in the word for str.lower() only.
 SIGMA = "\u03a3"
-#: Signs that often end a word; after letters each is a part of its own.
-MARKS = ".,;:!?"
+#: Signs that end a word, up to so many; after letters a run of them is a part of its own.
+SIGNS, MOST_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", 8
 #: Words of letters that are encoded as one text.
 TOGETHER = 512
 #: Bytes of texts whose words are numbered together.
 TEXTS = 12 << 20
-#: Words that came so often in some texts are kept for the next ones, up to so many; it only saves time.
-OFTEN, MOST_KEPT = 3, 1 << 16
+#: Words that came so often in some texts are kept for the next ones, up to so many and so many bytes long; it only saves time.
+OFTEN, MOST_KEPT, LONGEST_KEPT = 2, 1 << 18, 32
 
 
 class Encoder:
@@ -49,17 +49,18 @@ class Encoder:
         steps = str(self.tokenizer.normalizer)
         # Then texts are lower-cased here, and their words need no other normalisation.
         self.lowered = steps.count("(") <= 5 and all(x in steps for x in ("NFC", "Replace", "Lowercase"))
-        self.words = Tokenizer.from_file(path)
-        self.words.encode_special_tokens = True  # lower-cased words may look like one
-        if self.lowered:
-            self.words.normalizer = None
+        model = self.tokenizer.model  # held once for all
+        self.words = Tokenizer(model)  # without added tokens: lower-cased words may look like one
+        self.words.pre_tokenizer = self.tokenizer.pre_tokenizer
+        if not self.lowered:
+            self.words.normalizer = self.tokenizer.normalizer
         # Words of letters are one part each for this splitting rule, and go to the merges as they are.
         rule = str(self.tokenizer.pre_tokenizer)
         self.by_letters = self.lowered and r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" in rule
-        self.letters = Tokenizer.from_file(path)
-        self.letters.encode_special_tokens = True
-        self.letters.normalizer = None
+        self.letters = Tokenizer(model)
         self.letters.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ascii = Tokenizer(model)  # these letters stand for their own bytes
+        self.ascii.pre_tokenizer = WhitespaceSplit()
         # The ids that end a word, where the merges mark them: then many words are encoded as one text.
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         vocabulary = self.tokenizer.get_vocab()
@@ -70,18 +71,6 @@ class Encoder:
         self.kept_start = self.kept_size = np.empty(0, np.int64)
         self.ids, self.used = np.empty(0, np.uint32), 0
 
-    def _number(self, words: pa.LargeStringArray) -> np.ndarray:
-        """Sets start and size of different words' ids; which of the words are not kept ones."""
-        place = pc.index_in(words, self.kept)
-        new = np.asarray(place.is_null())
-        self._learn(words.filter(pa.array(new)))
-        start, size = np.empty((2, len(words)), np.int64)
-        n, old = int(new.sum()), place.drop_null().to_numpy()
-        start[new], size[new] = self.start[:n], self.size[:n]
-        start[~new], size[~new] = self.kept_start[old], self.kept_size[old]
-        self.start, self.size = start, size
-        return new
-
     def _keep(self, words: pa.LargeStringArray, at: np.ndarray) -> None:
         """Keeps the words numbered ``at`` as well, and forgets all others."""
         at = at[: MOST_KEPT - len(self.kept)]
@@ -92,43 +81,58 @@ class Encoder:
         self.ids = np.append(self.ids[:before], flat)
         self.used = len(self.ids)
 
-    def _learn(self, words: pa.LargeStringArray) -> None:
-        """Encodes different words. A word of letters with one mark after it is put together from the two."""
+    def _learn(self, words: pa.LargeStringArray, times: np.ndarray) -> tuple[int, pa.LargeStringArray, np.ndarray]:
+        """Numbers different words, sets start and size of their ids; the first word's number, and what to keep: ``_keep``'s.
+
+        A word of letters with signs after it is put together from the two; its letters are looked up and kept without them.
+        """
         n = len(words)
-        length = pc.binary_length(words).to_numpy()
-        bare = pc.utf8_rtrim(words, MARKS)
-        marks = length - pc.binary_length(bare).to_numpy() if self.by_letters else np.full(n, 2)
-        letters = np.asarray(pc.utf8_is_alpha(bare)) & (marks < 2)
-        others = np.flatnonzero(~letters & (length > 0))
-        alone = bare.filter(pa.array(letters)).dictionary_encode()
-        first, first_mark = n, n + len(alone.dictionary)
-        self.start, self.size = np.zeros((2, first_mark + len(MARKS)), np.int64)
-        self._store_letters(first, alone.dictionary)
-        self._store(first_mark + np.arange(len(MARKS)), self.words, list(MARKS))
-        self._store(others, self.words, words.take(pa.array(others)).to_pylist())
-        at, left = np.flatnonzero(letters), first + alone.indices.to_numpy()
-        self.start[at], self.size[at] = self.start[left], self.size[left]
-        paired = marks[at] == 1
-        at, left = at[paired], left[paired]
-        mark = pc.utf8_slice_codeunits(words.take(pa.array(at)), -1)
-        right = first_mark + pc.index_in(mark, pa.array(list(MARKS), mark.type)).to_numpy()
+        bare = pc.utf8_rtrim(words, SIGNS)
+        signs = (pc.binary_length(words).to_numpy() - pc.binary_length(bare).to_numpy()) if self.by_letters else np.full(n, MOST_SIGNS + 1)
+        letters = np.asarray(pc.utf8_is_alpha(bare)) & (signs <= MOST_SIGNS)
+        stem = pc.if_else(pa.array(letters), bare, words).dictionary_encode()
+        del bare
+        stems, stem = stem.dictionary, stem.indices.to_numpy()
+        ended = [np.flatnonzero(letters & (signs == k)) for k in range(1, MOST_SIGNS + 1)]
+        end = [pc.utf8_slice_codeunits(words.take(pa.array(at)), -k) for k, at in enumerate(ended, 1)]
+        end, ended = pa.concat_arrays(end).dictionary_encode(), np.concatenate(ended)
+        first_end = len(stems)
+        first = first_end + len(end.dictionary)
+        self.start, self.size = np.zeros((2, first + n), np.int64)
+        self._store(first_end + np.arange(len(end.dictionary)), self.words, end.dictionary.to_pylist())
+
+        place = pc.index_in(stems, self.kept)
+        new = np.asarray(place.is_null())
+        at, old = np.flatnonzero(~new), place.drop_null().to_numpy()
+        self.start[at], self.size[at] = self.kept_start[old], self.kept_size[old]
+        by_letters, plain = np.zeros(len(stems), bool), np.asarray(pc.string_is_ascii(stems))
+        by_letters[stem[letters]] = True
+        self._store_letters(np.flatnonzero(new & by_letters & plain), self.ascii, stems)
+        self._store_letters(np.flatnonzero(new & by_letters & ~plain), self.letters, stems)
+        others = np.flatnonzero(new & ~by_letters)
+        self._store(others, self.words, stems.take(pa.array(others)).to_pylist())
+
+        self.start[first:], self.size[first:] = self.start[stem], self.size[stem]
+        left, right = stem[ended], first_end + end.indices.to_numpy()
         both = np.stack([left, right], axis=1).reshape(-1)
-        self._append(at, self.size[left] + self.size[right], self._gather(both))
+        self._append(first + ended, self.size[left] + self.size[right], self._gather(both))
+        short = pc.binary_length(stems).to_numpy() <= LONGEST_KEPT
+        return first, stems, np.flatnonzero(new & short & (np.bincount(stem, times, len(stems)) >= OFTEN))
 
-    def _store_letters(self, first: int, words: pa.LargeStringArray) -> None:
+    def _store_letters(self, at: np.ndarray, tokenizer, words: pa.LargeStringArray) -> None:
         """Words of letters, many in one text: the ids that end a word part them again."""
-        if not len(words):
+        if not len(at):
             return
-        at = first + np.arange(len(words))
+        words = words.take(pa.array(at))
         parts = pa.ListArray.from_arrays(np.append(np.arange(0, len(words), TOGETHER), len(words)).astype(np.int32), words)
         texts = pc.binary_join(parts, pa.scalar(" ", words.type)).to_pylist()
-        found = [np.array(e.ids, np.uint32) for e in self.letters.encode_batch_fast(texts, add_special_tokens=False)]
+        found = [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         flat = np.concatenate(found)
         last = np.flatnonzero(self.ends[flat])
         if len(last) == len(words) and last[-1] == len(flat) - 1:
             self._append(at, np.diff(last, prepend=-1), flat)
         else:  # no such ids in this vocabulary
-            self._store(at, self.letters, words.to_pylist())
+            self._store(at, tokenizer, words.to_pylist())
 
     def _store(self, at: np.ndarray, tokenizer, words: list[str]) -> None:
         if words:
@@ -152,14 +156,16 @@ class Encoder:
         place += np.repeat((self.start.take(at) - (ends - sizes)).astype(kind), sizes)
         return self.ids.take(place)
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, column: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and how many each text has. Null is the empty text."""
+        column = column if isinstance(column, pa.Array) else pa.array(column, pa.large_string())
+        unusual, texts = pc.match_substring_regex(column, UNUSUAL.pattern).to_pylist(), column.to_pylist()
         parts: list[str] = []
         whole: list[int] = []
         for k, text in enumerate(texts):
             part = ""
             if text:
-                if UNUSUAL.search(text) or self.lowered and (SIGMA in text or not is_normalized("NFC", text)):
+                if unusual[k] or self.lowered and (SIGMA in text or not is_normalized("NFC", text)):
                     whole.append(k)
                 else:
                     lowered = text.lower()
@@ -172,9 +178,10 @@ class Encoder:
         split = pc.ascii_split_whitespace(pa.array(parts, pa.large_string()))
         number, ends = split.values.dictionary_encode(), split.offsets.to_numpy()[1:]
         del parts, split  # each is as large as the texts
-        new = self._number(number.dictionary)
         at = number.indices.to_numpy()
-        often = np.flatnonzero(new & (np.bincount(at, minlength=len(new)) >= OFTEN))
+        first, *keep = self._learn(number.dictionary, np.bincount(at, minlength=len(number.dictionary)))
+        at = at + np.int32(first)
+        del number
         if whole:  # each takes the place of its one empty word
             own = len(self.start) + np.arange(len(whole))
             self.start, self.size = (np.append(a, np.zeros(len(whole), np.int64)) for a in (self.start, self.size))
@@ -183,7 +190,7 @@ class Encoder:
             at[ends[whole] - 1] = own
         upto = np.append(0, np.cumsum(self.size.take(at)))[ends]
         ids = self._gather(at)
-        self._keep(number.dictionary, often)
+        self._keep(*keep)
         return ids, np.diff(upto, prepend=0)
 
 

@@ -133,6 +133,36 @@ def test_few_kept_words_give_the_same_ids(monkeypatch):
         assert len(enc.kept) <= 5
 
 
+def test_letters_are_encoded_once_whatever_signs_follow(monkeypatch):
+    """Letters go to the tokenizer without the signs after them, and those that came twice are kept; ids are the tokenizer's."""
+    letters = [f"{a}{b}ö" if b in "ij" else f"{a}{b}" for a in "abcdefgh" for b in "ijklmnop"]
+    signs = ["", ",", "***", "!?", "'", "')", "...", "]", "#" * 8, '".']
+    texts = [" ".join(w + x for w in letters) for x in signs]
+    long = "z" * 40
+    odd = ["#" * 40 + " ab" + "#" * 40, "ab's ab'. 's 'so ''so ab1*** 12*** é*** ***", f"{long} {long}*** {long}", None, ""]
+    enc = Encoder(WORD_BPE)
+    want = [enc.tokenizer.encode(x or "", add_special_tokens=False).ids for x in [*texts, *odd]]
+    given = []
+
+    class Counting:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def encode_batch_fast(self, some, **options):
+            given.extend(w for text in some for w in text.split())
+            return self.tokenizer.encode_batch_fast(some, **options)
+
+    for name in [name for name, x in vars(enc).items() if isinstance(x, Tokenizer)]:
+        monkeypatch.setattr(enc, name, Counting(getattr(enc, name)))
+    for most in (len(letters) + len(signs), len(signs)):  # the second time all letters are kept
+        given.clear()
+        ids, _ = enc.encode(texts)
+        assert ids.tolist() == [k for x in want[: len(texts)] for k in x] and len(given) <= most
+    ids, sizes = enc.encode(odd)
+    assert ids.tolist() == [k for x in want[len(texts) :] for k in x] and sizes.tolist() == [len(x) for x in want[len(texts) :]]
+    assert long not in enc.kept.to_pylist()
+
+
 def test_texts_go_together_by_size():
     size = tokens.TEXTS // 3 - 1
     batch = pa.record_batch([pa.array(["a" * size, None, "b" * size, "", "c" * size, "d" * size, "e" * 4 * size, "f"])], ["text"])
