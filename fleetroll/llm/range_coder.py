@@ -74,15 +74,17 @@ class _Model:
         self.base = np.arange(2 * blocks, dtype=np.int32).reshape(2, blocks) * SLOTS
         self.p1 = np.full(blocks, n, np.int32)
         self.h2 = np.zeros(blocks, np.int32)
+        self.places = np.empty((2, blocks), np.int32)
 
     def guess(self, m: int) -> tuple[np.ndarray, np.ndarray]:
         """The guesses of orders 1 and 2 for the first ``m`` blocks, and their levels."""
-        h1 = self.p1[:m] * _ONE
-        at = np.stack([h1, h1 + self.h2[:m]])
+        at = self.places[:, :m]
+        np.multiply(self.p1[:m], _ONE, out=at[0])
+        np.add(at[0], self.h2[:m], out=at[1])
         at >>= 4
         at &= SLOTS - 1
         at += self.base[:, :m]
-        self.h2[:m] = self.p1[:m] * _TWO
+        np.multiply(self.p1[:m], _TWO, out=self.h2[:m])
         self.at = at.astype(np.intp)
         self.value = self.slots.take(self.at)
         self.level = self.value & 3
